@@ -101,7 +101,7 @@ def k08(t: Tables) -> DataFrame:
     sums = an.anchors(_lines(t), "l_orderkey", {"net": F.sum(net)})
     both = t["orders"].join(sums, F.col("o_orderkey") == F.col("l_orderkey"))
     gap = F.abs(F.col("net") - F.col("o_totalprice"))
-    return both.filter(gap > 1000).select("o_orderkey", F.round(gap, 2).alias("difference"))
+    return both.filter(gap > 1000).select("o_orderkey", F.round(gap, 4).alias("difference"))
 
 
 @kind("k09_text_format")
@@ -280,7 +280,7 @@ def k30(t: Tables) -> DataFrame:
                      orders, "l_orderkey", "inner", t.hot("lineitem", "l_orderkey"))
     expected = installment("o_totalprice", "l_tax", 12 * (1 + F.col("l_partkey") % 6))
     return rows.filter(F.abs(F.col("l_extendedprice") - expected) > 5000).groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("violations"), F.round(F.max(expected), 2).alias("largest_installment"))
+        F.count(F.lit(1)).alias("violations"), F.round(F.max(expected), 6).alias("largest_installment"))
 
 
 @kind("k31_dispersion")
