@@ -6,7 +6,7 @@ Detection is by sample and only steers the plan: a missed hot key costs time, ne
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,14 +26,14 @@ def _sample_fraction(floor: int) -> float:
     return min(1.0, SAMPLE_PER_KEY / floor)
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> list:
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS, total: int | None = None) -> list:
     """Values of ``key`` (null included) that hold more than the allowed rows.
 
     The row count comes from file footers.  Only tables larger than ``min_rows`` are
     sampled; the sample is about ``HOT_SHARE * SAMPLE_PER_KEY`` keys wide at most and the
     list is shorter than ``2 * HOT_SHARE``.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= min_rows:
         return []
     floor = max(min_rows, total // HOT_SHARE, 1)
@@ -97,54 +97,76 @@ def _split_points(df: DataFrame, key: str, order: Sequence[str], hot: Sequence,
 
 
 def with_previous(df: DataFrame, key: str, order: Sequence[str], values: Sequence[str],
-                  hot: Sequence = (), pieces: int = PIECES) -> DataFrame:
+                  hot: Sequence = (), pieces: int = PIECES, also: Mapping[str, str] | None = None) -> DataFrame:
     """Every row with the ``values`` of the row before it under the same key.
 
     Adds ``prev_<column>`` columns, ``has_prev`` and ``_n`` (number of identical rows a
     row stands for).  ``order`` is completed with ``values`` so that ties are settled.
+    ``also`` maps a prefix to a condition and adds the values of the last row before that
+    meets it, from the same shuffle and sort.
 
     Without hot keys this is one window over ``key``.  With hot keys, their rows are cut
-    at sampled points of the order; each piece gets its own window and the first row of a
-    piece takes the last row of the piece before it.  Exact copies are folded first and
-    unfolded after, a copy's predecessor being its twin.
+    at sampled points of the order; each piece gets its own window and looks to the pieces
+    before it for what it cannot find inside.  Exact copies are folded first and unfolded
+    after, a copy's predecessor being its twin.
     """
+    also = dict(also or {})
     order = list(dict.fromkeys([*order, *values]))
-    prev = F.struct(*[F.col(c).alias(c) for c in values])
+    row = F.struct(*[F.col(c).alias(c) for c in values])
+    lookups = {"prev_": None, **also}
+    plain = df.columns
+
+    def found(prefix: str) -> str:
+        return f"_found_{prefix}"
+
+    def meets(condition: str | None, value: Column) -> Column:
+        return value if condition is None else F.when(F.expr(condition), value)
+
+    def look(window) -> dict[str, Column]:
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        return {found(p): F.lag(row).over(window) if c is None
+                else F.last(meets(c, row), ignorenulls=True).over(before) for p, c in lookups.items()}
 
     def spread(frame: DataFrame) -> DataFrame:
-        kept = [c for c in frame.columns if c not in ("_prev", "_cut", "_cuts", "_first", "_carry")]
         return frame.select(
-            *kept, F.col("_prev").isNotNull().alias("has_prev"),
-            *[F.col("_prev")[c].alias(f"prev_{c}") for c in values])
+            *plain, "_n", F.col(found("prev_")).isNotNull().alias("has_prev"),
+            *[F.col(found(p))[c].alias(p + c) for p in lookups for c in values])
 
     if not hot:
+        # Column by column, so that values nobody asks for are pruned before the shuffle.
+        # A wrapped value tells "the row holds null" from "there is no such row".
         window = Window.partitionBy(key).orderBy(*order)
-        return spread(df.withColumn("_n", F.lit(1).cast("long"))
-                        .withColumn("_prev", F.lag(prev).over(window)))
-
-    folded = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    # At most 2 * HOT_SHARE keys with ``pieces`` cuts each, built from a bounded sample.
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        adds = {"_n": F.lit(1).cast("long"), "has_prev": F.lag(F.lit(True)).over(window).isNotNull()}
+        adds.update({f"prev_{c}": F.lag(c).over(window) for c in values})
+        adds.update({p + c: F.last(F.when(F.expr(condition), F.struct(F.col(c).alias("v"))), ignorenulls=True)
+                     .over(before)["v"] for p, condition in also.items() for c in values})
+        return df.withColumns(adds)
+
+    folded = df.groupBy(*plain).agg(F.count(F.lit(1)).alias("_n"))
+    # Fewer than 2 * HOT_SHARE keys with ``pieces`` cuts each, built from a bounded sample.
     cuts = F.broadcast(_split_points(df, key, order, hot, pieces).withColumnRenamed(key, "_cut_key"))
     position = F.struct(*[F.col(c).alias(c) for c in order])
     cut = (folded.join(cuts, F.col(key).eqNullSafe(F.col("_cut_key")), "left").drop("_cut_key")
            .withColumn("_cut", F.coalesce(
                F.size(F.filter("_cuts", lambda c: c <= position)), F.lit(0))))
-    piece = Window.partitionBy(key, "_cut").orderBy(*order)
-    inside = (cut.withColumn("_prev", F.lag(prev).over(piece))
-                 .withColumn("_first", F.row_number().over(piece) == 1))
-    last = (cut.filter(F.col("_cuts").isNotNull()).groupBy(key, "_cut")
-               .agg(F.max_by(prev, position).alias("_last")))
-    carry = (last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(key).orderBy("_cut")))
-                 .select(F.col(key).alias("_carry_key"), F.col("_cut").alias("_carry_cut"), "_carry"))
+    inside = cut.withColumns(look(Window.partitionBy(key, "_cut").orderBy(*order)))
+    ends = cut.filter(F.col("_cuts").isNotNull()).groupBy(key, "_cut").agg(*[
+        F.max_by(row, meets(c, position)).alias(f"_end_{p}") for p, c in lookups.items()])
+    earlier = Window.partitionBy(key).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(
+        F.col(key).alias("_carry_key"), F.col("_cut").alias("_carry_cut"),
+        *[F.last(f"_end_{p}", ignorenulls=True).over(earlier).alias(f"_carry_{p}") for p in lookups])
     # One row per piece of a hot key.
     joined = inside.join(
         F.broadcast(carry),
         F.col(key).eqNullSafe(F.col("_carry_key")) & (F.col("_cut") == F.col("_carry_cut")), "left",
-    ).withColumn("_prev", F.when(F.col("_first") & F.col("_carry").isNotNull(), F.col("_carry"))
-                 .otherwise(F.col("_prev"))).drop("_carry_key", "_carry_cut")
+    ).withColumns({found(p): F.coalesce(found(p), f"_carry_{p}") for p in lookups})
+    # The first copy of a row looks back; the others see their twin.
+    twin = {p: F.coalesce(meets(c, row), F.col(found(p))) for p, c in lookups.items()}
     copies = F.array(
-        F.struct(F.col("_prev").alias("p"), F.lit(1).cast("long").alias("n")),
-        F.struct(prev.alias("p"), (F.col("_n") - 1).alias("n")))
-    unfolded = (joined.withColumn("_copy", F.explode(copies)).filter(F.col("_copy.n") > 0)
-                .withColumn("_prev", F.col("_copy.p")).withColumn("_n", F.col("_copy.n")).drop("_copy"))
-    return spread(unfolded)
+        F.struct(F.lit(1).cast("long").alias("n"), *[F.col(found(p)).alias(p) for p in lookups]),
+        F.struct((F.col("_n") - 1).alias("n"), *[twin[p].alias(p) for p in lookups]))
+    unfolded = joined.withColumn("_copy", F.explode(copies)).filter(F.col("_copy.n") > 0)
+    return spread(unfolded.withColumns({
+        "_n": F.col("_copy.n"), **{found(p): F.col("_copy")[p] for p in lookups}}))

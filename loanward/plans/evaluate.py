@@ -6,20 +6,17 @@ from collections import defaultdict
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanward.functions.sqltext import literal, over
 from loanward.plans.relations import RELATIONS
-from loanward.plans.rule import FAIL, INFO, PASS, SKIP, WARN, Relation, Rule, columns_read, missing_input
+from loanward.plans.rule import SKIP, Relation, Rule, columns_read, missing_input
 from loanward.sources.tables import Tables
 
 #: Columns of one aggregate; wider ones leave whole-stage code generation.
 AGGREGATES_PER_PASS = 90
 
-RESULT_COLUMNS = ["rule_id", "title", "status", "violations", "tolerance", "details", "severity",
-                  "category", "variant", "matching", "base"]
-
-
 def _words(relation: Relation, tables: Tables) -> DataFrame:
     df = relation.build(tables)
     return df if "_n" in df.columns else df.withColumn("_n", F.lit(1).cast("long"))
@@ -45,102 +42,114 @@ class Plan:
             reason = missing_input(self.relations[name].needs, self.tables)
             if reason:
                 return reason
+        for read in rule.reads:
+            table, column = read.split(".")
+            if column not in self.tables.columns(table):
+                return f"column {read} not found"
         present = set(self.frame(rule.relation).columns)
         absent = [c for c in columns_read(rule) if c not in present]
         return f"column {absent[0]} not found" if absent else None
 
 
-def _amount(rule: Rule) -> Column:
+def _amount(rule: Rule) -> str:
     """What a violating row adds to the count."""
-    weight = F.expr(rule.weight).cast("long") * F.col("_n") if rule.weight else F.col("_n")
-    return F.when(F.expr(rule.predicate), weight)
+    weight = f"CAST({rule.weight} AS BIGINT) * _n" if rule.weight else "_n"
+    return f"CASE WHEN {rule.predicate} THEN {weight} END"
 
 
-def _sums(frame: DataFrame, measures: dict[str, Column], grain: str | None) -> DataFrame:
-    """One row with the sum of every measure.
+def _sums(frame: DataFrame, measures: dict[str, str], grain: str | None) -> DataFrame:
+    """Rows (measure, value): the sum of every measure over the frame.
 
-    With a ``grain``, measures named ``d…`` count keys: the first level keeps one row per
+    With a ``grain``, measures named ``d...`` count keys: the first level keeps one row per
     key (same partitioning as the window or join below it), the second adds up.
     """
     if grain is None:
-        return frame.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in measures.items()])
-    per_key = frame.groupBy(grain).agg(*[
-        (F.max(F.when(c.isNotNull(), F.lit(1).cast("long"))) if n.startswith("d") else F.sum(c)).alias(n)
-        for n, c in measures.items()])
-    return per_key.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in measures])
-
-
-def _measure(plan: Plan, rules: list[Rule]) -> DataFrame:
-    """(measure id, value) of all rules, plus the wiring from rule to measure ids."""
-    wanted: dict[str, dict[tuple, Column]] = defaultdict(dict)
-    wires: list[tuple[str, str, str, str]] = []
+        sums = ", ".join(f"coalesce(sum({c}), 0) AS {n}" for n, c in measures.items())
+        inner = f"SELECT {sums} FROM {{frame}}"
+    else:
+        firsts = ", ".join(
+            f"max(CASE WHEN {c} IS NOT NULL THEN 1L END) AS {n}" if n.startswith("d") else f"sum({c}) AS {n}"
+            for n, c in measures.items())
+        sums = ", ".join(f"coalesce(sum({n}), 0) AS {n}" for n in measures)
+        inner = f"SELECT {sums} FROM (SELECT {firsts} FROM {{frame}} GROUP BY {grain})"
+    pairs = ", ".join(f"struct('{n}' AS measure, CAST({n} AS BIGINT) AS value)" for n in measures)
+    return over({"frame": frame}, f"SELECT inline(array({pairs})) FROM ({inner})")
+
+
+#: Status, violations and details from the matching rows, the base and the tolerance mode.
+_JUDGE = """
+SELECT rule_id, title,
+  CASE WHEN mode = 'info' THEN 'INFO'
+       WHEN mode = 'band' AND base = 0 THEN 'SKIP'
+       WHEN mode = 'band' THEN IF(pct BETWEEN low AND high, 'PASS', 'WARN')
+       WHEN mode = 'strict_lt' THEN IF(matching < allowed, 'PASS', 'FAIL')
+       WHEN matching <= allowed THEN 'PASS' ELSE 'FAIL' END AS status,
+  CAST(CASE WHEN mode = 'info' THEN 0
+       WHEN mode = 'band' AND base = 0 THEN -1
+       WHEN mode = 'band' THEN IF(pct BETWEEN low AND high, 0, 1)
+       ELSE matching END AS BIGINT) AS violations,
+  allowed AS tolerance,
+  CASE WHEN mode = 'info' THEN format_string('%d of %d rows', matching, base)
+       WHEN mode = 'band' AND base = 0 THEN 'no rows to rate'
+       WHEN mode = 'band' THEN format_string('%.2f%% (expect %.0f-%.0f%%)', pct, low, high)
+       ELSE format_string('%d violations', matching) END AS details,
+  severity, category, variant, matching, base
+FROM (SELECT *, try_divide(matching * 100D, base) AS pct,
+        CASE mode WHEN 'limit' THEN CAST(limit_ AS DOUBLE)
+                  WHEN 'floor_le' THEN CAST(floor(greatest(minimum, share * base)) AS DOUBLE)
+                  WHEN 'strict_lt' THEN share * base END AS allowed
+      FROM (SELECT inline(array({facts})) FROM
+             (SELECT map_from_entries(collect_list(struct(measure, value))) AS m FROM {values})))
+"""
+
+
+def _measured(plan: Plan, rules: list[Rule]) -> DataFrame:
+    """Judged result rows of the rules.
+
+    Measures are asked for once per relation, whatever number of rules use them.
+    """
+    wanted: dict[str, dict[tuple, str]] = defaultdict(dict)
     names: dict[tuple, str] = {}
+    facts = []
 
-    def ask(relation: str, key: tuple, column: Column, distinct: str | None) -> str:
+    def ask(relation: str, key: tuple, column: str, distinct: str | None) -> str:
         full = (relation, *key, distinct)
         if full not in names:
             names[full] = f"{'d' if distinct else 'm'}{len(names)}"
             wanted[relation][full] = column
         return names[full]
 
-    for rule in rules:
-        v = ask(rule.relation, (rule.predicate, rule.weight), _amount(rule), rule.distinct)
-        b_rel, b_where = (rule.base.relation, rule.base.where) if rule.base else (rule.relation, "TRUE")
-        if rule.tolerance.mode in ("floor_le", "strict_lt", "band", "info"):
-            b = ask(b_rel, ("base", b_where), F.when(F.expr(b_where), F.col("_n")), None)
+    for r in rules:
+        if r.count:
+            matching = r.count.total
+            for part, (relation, amount) in r.count.parts.items():
+                matching = matching.replace(f"{{{part}}}", f"m['{ask(relation, ('part', amount), amount, None)}']")
         else:
-            b = ""
-        wires.append((rule.id, rule.variant, v, b))
+            matching = f"m['{ask(r.relation, (r.predicate, r.weight), _amount(r), r.distinct)}']"
+        tol = r.tolerance
+        base = "CAST(NULL AS BIGINT)"
+        if tol.mode != "limit":
+            rel, where = (r.base.relation, r.base.where) if r.base else (r.relation, "TRUE")
+            base = f"m['{ask(rel, ('base', where), f'CASE WHEN {where} THEN _n END', None)}']"
+        values = {"rule_id": r.id, "variant": r.variant, "title": r.title, "severity": r.severity,
+                  "category": r.category, "mode": tol.mode, "limit_": tol.limit, "share": float(tol.share),
+                  "minimum": float(tol.minimum), "low": float(tol.low), "high": float(tol.high)}
+        fields = ", ".join(f"{literal(x)} AS {n}" for n, x in values.items())
+        facts.append(f"struct({fields}, CAST({matching} AS BIGINT) AS matching, {base} AS base)")
 
     parts = []
     for relation, columns in wanted.items():
         grains = {full[-1] for full in columns if full[-1]}
         if len(grains) > 1:
             raise ValueError(f"relation {relation} has several distinct keys")
-        grain = next(iter(grains), None)
         items = [(names[full], c) for full, c in columns.items()]
         for start in range(0, len(items), AGGREGATES_PER_PASS):
-            chunk = dict(items[start:start + AGGREGATES_PER_PASS])
-            row = _sums(plan.frame(relation), chunk, grain)
-            pairs = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("long").alias("value"))
-                              for n in chunk])
-            parts.append(row.select(F.inline(pairs)))
-    values = reduce(DataFrame.unionAll, parts)
-    spark = plan.tables.spark
-    wiring = spark.createDataFrame(wires, "rule_id string, variant string, v string, b string")
-    # One row per rule and per measure on either side.
-    values = values.groupBy("measure").agg(F.max("value").alias("value"))
-    hits = wiring.join(F.broadcast(values.select(F.col("measure").alias("v"), F.col("value").alias("matching"))),
-                       "v", "left")
-    return hits.join(F.broadcast(values.select(F.col("measure").alias("b"), F.col("value").alias("base"))),
-                     "b", "left").select("rule_id", "variant", "matching", "base")
-
-
-def _judge(measured: DataFrame) -> DataFrame:
-    """Status, violations and tolerance from the matching rows, the base and the mode."""
-    share = F.col("share") * F.col("base")
-    pct = F.try_divide(F.col("matching") * 100.0, F.col("base"))
-    mode = F.col("mode")
-    in_band = pct.between(F.col("low"), F.col("high"))
-    tolerance = (F.when(mode == "limit", F.col("limit_").cast("double"))
-                 .when(mode == "floor_le", F.floor(F.greatest(F.col("minimum"), share)).cast("double"))
-                 .when(mode == "strict_lt", share))
-    ok = (F.when(mode == "strict_lt", F.col("matching") < share)
-          .otherwise(F.col("matching") <= tolerance))
-    status = (F.when(mode == "info", F.lit(INFO))
-              .when((mode == "band") & (F.col("base") == 0), F.lit(SKIP))
-              .when(mode == "band", F.when(in_band, F.lit(PASS)).otherwise(F.lit(WARN)))
-              .when(ok, F.lit(PASS)).otherwise(F.lit(FAIL)))
-    violations = (F.when((mode == "band") & (F.col("base") == 0), F.lit(-1).cast("long"))
-                  .when(mode == "band", F.when(in_band, F.lit(0).cast("long")).otherwise(F.lit(1).cast("long")))
-                  .when(mode == "info", F.lit(0).cast("long")).otherwise(F.col("matching")))
-    details = (F.when((mode == "band") & (F.col("base") == 0), F.lit("no rows to rate"))
-               .when(mode == "band", F.format_string("%.2f%% (expect %.0f-%.0f%%)", pct, F.col("low"), F.col("high")))
-               .when(mode == "info", F.format_string("%d of %d rows", F.col("matching"), F.col("base")))
-               .otherwise(F.format_string("%d violations", F.col("matching"))))
-    return measured.select("rule_id", "title", status.alias("status"), violations.alias("violations"),
-                           tolerance.alias("tolerance"), details.alias("details"), "severity", "category",
-                           "variant", "matching", "base")
+            parts.append(_sums(plan.frame(relation), dict(items[start:start + AGGREGATES_PER_PASS]),
+                               next(iter(grains), None)))
+    # One row per measure: the map below is as large as the list of rules.
+    named = {f"part{i}": part for i, part in enumerate(parts)}
+    values = over(named, " UNION ALL ".join(f"SELECT measure, value FROM {{{n}}}" for n in named))
+    return over({"values": values}, _JUDGE.replace("{facts}", ", ".join(facts)))
 
 
 def evaluate(rules: Iterable[Rule], tables: Tables, relations=RELATIONS) -> DataFrame:
@@ -162,13 +171,7 @@ def evaluate(rules: Iterable[Rule], tables: Tables, relations=RELATIONS) -> Data
               "severity string, category string, variant string, matching long, base long")
     out = None
     if ready:
-        facts = spark.createDataFrame(
-            [(r.id, r.variant, r.title, r.severity, r.category, r.tolerance.mode, r.tolerance.limit,
-              float(r.tolerance.share), float(r.tolerance.minimum), float(r.tolerance.low),
-              float(r.tolerance.high)) for r in ready],
-            "rule_id string, variant string, title string, severity string, category string, mode string, "
-            "limit_ long, share double, minimum double, low double, high double")
-        out = _judge(_measure(plan, ready).join(F.broadcast(facts), ["rule_id", "variant"]))
+        out = _measured(plan, ready)
     if skipped:
         rows = spark.createDataFrame(skipped, schema)
         out = rows if out is None else out.unionByName(rows)
@@ -193,7 +196,6 @@ def violations(rule: Rule, tables: Tables, relations=RELATIONS) -> DataFrame:
 def offenders(rule: Rule, tables: Tables, relations=RELATIONS) -> DataFrame:
     """Who violates a rule: identity columns and how often."""
     rows = violations(rule, tables, relations)
-    rule = rule.at(tables.as_of)
     if rule.distinct:
         return rows.select(rule.distinct).distinct().withColumn("violations", F.lit(1).cast("long"))
     amount = F.expr(rule.weight).cast("long") * F.col("_n") if rule.weight else F.col("_n")

@@ -5,8 +5,9 @@ Relative tolerances are strict here: violations < share * rows.
 
 from __future__ import annotations
 
-from loanward.plans.packs.foundation import AGE
-from loanward.plans.rule import INFORMATION, ZERO, Base, Pack, Rule, Tolerance, band, below
+from loanward.plans.packs.foundation import AGE, ORPHAN_PAYMENTS, SURPLUS_APPLICATIONS, orphan_count
+from loanward.plans.packs.runner import ORPHAN_TRADELINES
+from loanward.plans.rule import INFORMATION, ZERO, Base, Count, Pack, Rule, Tolerance, band, below, summed
 
 CRITICAL, HIGH, MEDIUM, LOW = "CRITICAL", "HIGH", "MEDIUM", "LOW"
 
@@ -34,13 +35,16 @@ def _rule(rule_id: str, severity: str, title: str, relation: str, predicate: str
 
 
 CATALOGUE = Pack("catalogue", (
-    _rule("INT-001", CRITICAL, "Primary keys are unique", "primary_keys", "copies > 1", "K18", weight="copies - 1"),
-    _rule("INT-002", CRITICAL, "Loan belongs to an application", "loan_orphan", "TRUE", "K01"),
-    _rule("INT-003", CRITICAL, "Credit report belongs to an application", "report_orphan", "TRUE", "K01"),
-    _rule("INT-004", CRITICAL, "Payment belongs to a loan", "payment_orphan", "TRUE", "K01"),
-    _rule("INT-005", CRITICAL, "Tradeline belongs to a report", "tradeline_orphan", "TRUE", "K01"),
-    _rule("INT-006", HIGH, "Fraud check occurs once per application", "fraud_groups", "copies <> 1", "K21"),
-    _rule("INT-007", MEDIUM, "Bank transaction belongs to an application", "bank_orphan", "TRUE", "K01"),
+    _rule("INT-001", CRITICAL, "Primary keys are unique", "primary_keys", "copies > 1", "K18", weight="copies - 1",
+          count=Count({"a": SURPLUS_APPLICATIONS.parts["v"], "l": ("snapshot_keys", "copies - 1")}, "{a} + {l}")),
+    _rule("INT-002", CRITICAL, "Loan belongs to an application", "loan_orphan", "TRUE", "K01", count=orphan_count("snapshots")),
+    _rule("INT-003", CRITICAL, "Credit report belongs to an application", "report_orphan", "TRUE", "K01", count=orphan_count("reports")),
+    _rule("INT-004", CRITICAL, "Payment belongs to a loan", "payment_orphan", "TRUE", "K01", count=ORPHAN_PAYMENTS),
+    _rule("INT-005", CRITICAL, "Tradeline belongs to a report", "tradeline_orphan", "TRUE", "K01", count=ORPHAN_TRADELINES),
+    _rule("INT-006", HIGH, "Fraud check occurs once per application", "fraud_groups", "copies <> 1", "K21",
+          count=summed("application_ledger", "CASE WHEN checks > 1 THEN 1 END")),
+    _rule("INT-007", MEDIUM, "Bank transaction belongs to an application", "bank_orphan", "TRUE", "K01",
+          count=orphan_count("transactions")),
     _rule("INT-008", HIGH, "Loan and application name one customer", "loan_application",
           "customer_id <> app_customer_id", "K22"),
 
@@ -144,7 +148,8 @@ CATALOGUE = Pack("catalogue", (
           "bankruptcies_count > 0 AND fico_score_8 > 650", "K04", below(0.05)),
     _rule("LOG-012", MEDIUM, "Months on book are plausible", "loan_tape", "months_on_book > 100", "K07"),
     _rule("LOG-013", HIGH, "Never-paid loan has no posted payment", "snapshot_with_posted",
-          "never_paid_flag = TRUE", "K32"),
+          "never_paid_flag = TRUE", "K32",
+          count=summed("loan_ledger", "CASE WHEN posted > 0 AND loan_id IS NOT NULL THEN never_paid END")),
     _rule("LOG-014", LOW, "Address failed verification", "fraud_application", "address_verified = FALSE", "K22",
           INFORMATION),
     _rule("LOG-015", MEDIUM, "Number was issued after birth", "fraud_application",
@@ -222,7 +227,8 @@ CATALOGUE = Pack("catalogue", (
 #: Forms of the written catalogue where they differ from the coded rule.
 CATALOGUE_SPEC = Pack("catalogue_spec", (
     _rule("INT-006", HIGH, "Every application has one fraud check", "fraud_cardinality", "children <> 1", "K21",
-          variant="spec", columns=("children",)),
+          variant="spec", columns=("children",),
+          count=summed("application_ledger", "CASE WHEN apps > 0 AND (checks <> 1 OR application_id IS NULL) THEN 1 END")),
     _rule("INT-008", HIGH, "Application, loan and payment name one customer", "customer_triple",
           "app_customer_id <> customer_id OR customer_id <> pay_customer_id", "K22", variant="spec"),
     _rule("TMP-010", MEDIUM, "Vintage month and year are those of origination", "loan_tape",
@@ -266,11 +272,13 @@ CHECKS = Pack("checks", (
     _rule("CHK-010", HIGH, "Delinquency depth has missed payments", "snapshot_missed_depth",
           "missed_count < CASE loan_status WHEN 'DELINQUENT_30' THEN 1 WHEN 'DELINQUENT_60' THEN 2 "
           "WHEN 'DELINQUENT_90' THEN 3 ELSE 4 END", "K17", columns=("missed_count",)),
-    _rule("CHK-011", MEDIUM, "Loan has payments", "loan_without_payment", "TRUE", "K02", distinct="loan_id"),
+    _rule("CHK-011", MEDIUM, "Loan has payments", "loan_without_payment", "TRUE", "K02", distinct="loan_id",
+          count=summed("loan_ledger", "CASE WHEN snapshots > 0 AND (payments = 0 OR loan_id IS NULL) THEN 1 END")),
     Rule("GEN-003", "Terminal states are final", "loan_steps",
          "prev_loan_status IN ('PAID_OFF', 'CHARGED_OFF') AND loan_status <> prev_loan_status", "K14",
          category="Generation", distinct="loan_id"),
     Rule("GEN-001", "Approved score is at least 640", "applications",
          "decision_status = 'APPROVED' AND fico_score_at_application < 640", "K04", category="Generation"),
-    Rule("GEN-002", "Loan belongs to an application", "loan_orphan", "TRUE", "K01", category="Generation"),
+    Rule("GEN-002", "Loan belongs to an application", "loan_orphan", "TRUE", "K01", category="Generation",
+         count=orphan_count("snapshots")),
 ))

@@ -5,7 +5,7 @@ A rule passes when its violations do not exceed its tolerance (rounded down).
 
 from __future__ import annotations
 
-from loanward.plans.rule import ZERO, Base, Pack, Rule, Tolerance, at_most
+from loanward.plans.rule import ZERO, Base, Count, Pack, Rule, Tolerance, at_most, summed
 
 #: Report categories by last rule number.
 CATEGORIES = ((8, "Lifecycle"), (16, "State Machine"), (23, "Temporal"), (30, "Financial"),
@@ -17,6 +17,22 @@ LOAN_STATUSES = ("('CURRENT', 'DELINQUENT_30', 'DELINQUENT_60', 'DELINQUENT_90',
                  "'CHARGED_OFF', 'PAID_OFF', 'PREPAID', 'CANCELLED', 'IN_FORBEARANCE')")
 AGE = "(datediff(application_date, date_of_birth) / 365.25D)"
 
+#: A null key matches nothing, so its rows are orphans.
+NO_APPLICATION = "application_id IS NULL"
+ORPHAN_PAYMENTS = summed("loan_ledger", "CASE WHEN snapshots = 0 OR loan_id IS NULL THEN payments END")
+SURPLUS_APPLICATIONS = summed("application_ledger", "CASE WHEN apps > 1 THEN apps - 1 END")
+SEEN = ("loan_tape.loan_status", "loan_tape.snapshot_date")
+
+
+def orphan_count(measure: str) -> Count:
+    """Rows of a child of applications whose application is absent."""
+    return summed("application_ledger", f"CASE WHEN apps = 0 OR {NO_APPLICATION} THEN {measure} END")
+
+
+def totals(predicate: str) -> Count:
+    """Totals of a loan against its marks, counted in the join that payments use."""
+    return summed("payment_marks", f"CASE WHEN side = 'total' AND {predicate} THEN _n END")
+
 
 def category_of(number: int, ranges=CATEGORIES) -> str:
     return next(name for last, name in ranges if number <= last)
@@ -34,18 +50,22 @@ FOUNDATION = Pack("foundation", (
     _rule(1, "Funded loan has an approved application", "loan_application",
           "app_decision_status <> 'APPROVED'", "K03"),
     _rule(2, "Approved application has a credit report", "application_without_report",
-          "decision_status = 'APPROVED'", "K02"),
+          "decision_status = 'APPROVED'", "K02",
+          count=summed("application_ledger", f"CASE WHEN reports = 0 OR {NO_APPLICATION} THEN approved END")),
     _rule(3, "Approved application has a fraud check", "application_without_fraud",
-          "decision_status = 'APPROVED'", "K02"),
-    _rule(4, "Payment belongs to a loan", "payment_orphan", "TRUE", "K01"),
-    _rule(5, "Loan belongs to an application", "loan_orphan", "TRUE", "K01"),
-    _rule(6, "Credit report belongs to an application", "report_orphan", "TRUE", "K01"),
+          "decision_status = 'APPROVED'", "K02",
+          count=summed("application_ledger", f"CASE WHEN checks = 0 OR {NO_APPLICATION} THEN approved END")),
+    _rule(4, "Payment belongs to a loan", "payment_orphan", "TRUE", "K01", count=ORPHAN_PAYMENTS),
+    _rule(5, "Loan belongs to an application", "loan_orphan", "TRUE", "K01", count=orphan_count("snapshots")),
+    _rule(6, "Credit report belongs to an application", "report_orphan", "TRUE", "K01", count=orphan_count("reports")),
     _rule(7, "Declined application is not funded", "loan_application", "app_decision_status = 'DECLINED'", "K03"),
     _rule(8, "Undecided application is not funded", "loan_application",
           f"app_decision_status IN {UNDECIDED}", "K03"),
-    _rule(9, "No payment after payoff", "payment_anchor", "payment_received_date > payoff_date", "K11"),
-    _rule(10, "No money received after charge-off", "payment_anchor",
-          "payment_received_date > chargeoff_date AND actual_payment_amount > 0", "K11"),
+    _rule(9, "No payment after payoff", "payment_marks",
+          "mark_status = 'PAID_OFF' AND payment_received_date > last_seen", "K11", reads=SEEN),
+    _rule(10, "No money received after charge-off", "payment_marks",
+          "mark_status = 'CHARGED_OFF' AND payment_received_date > first_seen AND actual_payment_amount > 0", "K11",
+          reads=SEEN),
     _rule(11, "Delinquent loan has not paid every month", "latest_snapshot",
           "loan_status LIKE '%DELINQUENT%' AND paid_count >= months_on_book", "K17"),
     _rule(12, "Current loan is not past due", "loan_tape", "loan_status = 'CURRENT' AND days_past_due > 0", "K04"),
@@ -54,9 +74,9 @@ FOUNDATION = Pack("foundation", (
     _rule(14, "Charged-off loan has no balance", "loan_tape",
           "loan_status = 'CHARGED_OFF' AND current_principal_balance > 0.01D AND months_on_book > 4",
           "K04", at_most(0.05)),
-    _rule(15, "No regular payment before the first due date", "payment_first_due",
-          "payment_received_date < first_payment_due_date AND payment_type <> 'PREPAYMENT'", "K03",
-          **_ONE_PERCENT_OF_PAYMENTS),
+    _rule(15, "No regular payment before the first due date", "payment_marks",
+          "mark = 'first_due' AND payment_received_date < mark_date AND payment_type <> 'PREPAYMENT'", "K03",
+          reads=("loan_tape.first_payment_due_date",), **_ONE_PERCENT_OF_PAYMENTS),
     _rule(16, "Loan status is known", "loan_tape", f"loan_status NOT IN {LOAN_STATUSES}", "K06"),
     _rule(17, "Credit report is not older than the application", "report_application",
           "report_date < app_application_date", "K03"),
@@ -64,18 +84,26 @@ FOUNDATION = Pack("foundation", (
           "to_date(fraud_check_timestamp) < app_application_date", "K03"),
     _rule(19, "Loan originates after application", "loan_application",
           "origination_date < app_application_date", "K03"),
-    _rule(20, "First payment follows origination", "first_payment", "first_received < origination_date", "K12"),
-    _rule(21, "No date lies in the future", "dated_records", "record_date > {as_of}", "K28"),
+    _rule(20, "First payment follows origination", "loan_totals",
+          "mark = 'origination' AND first_received < mark_date", "K12",
+          reads=("loan_tape.origination_date", "payments.payment_received_date"),
+          count=totals("mark = 'origination' AND first_received < mark_date")),
+    _rule(21, "No date lies in the future", "dated_records", "record_date > {as_of}", "K28", count=Count({
+              "a": ("applications", "CASE WHEN to_date(application_date) > {as_of} THEN 1 END"),
+              "l": ("loan_tape", "CASE WHEN to_date(snapshot_date) > {as_of} THEN 1 END"),
+              "p": ("payments", "CASE WHEN to_date(payment_received_date) > {as_of} THEN 1 END")}, "{a} + {l} + {p}")),
     _rule(22, "Applicant was born before applying", "applications", "date_of_birth >= application_date", "K07"),
-    _rule(23, "No payment before origination", "payment_origination",
-          "payment_received_date < origination_date", "K03"),
+    _rule(23, "No payment before origination", "payment_marks",
+          "mark = 'origination' AND payment_received_date < mark_date", "K03", reads=("loan_tape.origination_date",)),
     _rule(24, "Principal balance is not negative", "loan_tape", "current_principal_balance < 0", "K04"),
     _rule(25, "Payment amounts are not negative", "payments",
           "actual_payment_amount < 0 OR principal_paid < 0 OR interest_paid < 0", "K04"),
     _rule(26, "Balance stays within the original amount", "loan_tape",
           "current_principal_balance > 1.01D * original_loan_amount", "K07"),
-    _rule(27, "Payments stay below three times the loan", "paid_total",
-          "total_paid > 3 * original_loan_amount", "K13"),
+    _rule(27, "Payments stay below three times the loan", "loan_totals",
+          "mark = 'amount' AND total_paid > 3 * mark_amount", "K13",
+          reads=("loan_tape.original_loan_amount", "payments.actual_payment_amount"),
+          count=totals("mark = 'amount' AND total_paid > 3 * mark_amount")),
     _rule(28, "Interest-only loan bears interest", "loan_tape",
           "interest_only_indicator = TRUE AND original_interest_rate = 0", "K04"),
     _rule(29, "Payment parts add up", "payments",
@@ -84,8 +112,9 @@ FOUNDATION = Pack("foundation", (
           "origination_fee >= original_loan_amount", "K07"),
     _rule(31, "Posted payment has a received date", "payments",
           "payment_status = 'POSTED' AND payment_received_date IS NULL", "K10"),
-    _rule(32, "Open loan has a scheduled payment", "payment_loan_status",
-          "scheduled_payment_amount <= 0 AND loan_status NOT IN ('PAID_OFF', 'CHARGED_OFF')", "K03"),
+    _rule(32, "Open loan has a scheduled payment", "payment_marks",
+          "mark_status NOT IN ('PAID_OFF', 'CHARGED_OFF') AND scheduled_payment_amount <= 0", "K03",
+          reads=("loan_tape.loan_status",)),
     _rule(33, "Payment is not above schedule", "payments",
           "actual_payment_amount > 1.05D * scheduled_payment_amount "
           "AND payment_type NOT IN ('PREPAYMENT', 'PAYOFF') AND is_extra_payment = FALSE", "K04",
@@ -135,8 +164,9 @@ FOUNDATION = Pack("foundation", (
           "prev_loan_status = 'PAID_OFF' AND loan_status <> 'PAID_OFF'", "K14", distinct="loan_id"),
     _rule(55, "No life after charge-off", "loan_steps",
           "prev_loan_status = 'CHARGED_OFF' AND loan_status <> 'CHARGED_OFF'", "K14", distinct="loan_id"),
-    _rule(56, "Open balance does not grow", "open_loan_steps",
-          "current_principal_balance > prev_current_principal_balance + 1.0D", "K15"),
+    _rule(56, "Open balance does not grow", "loan_steps",
+          "loan_status NOT IN ('CHARGED_OFF', 'PAID_OFF') "
+          "AND current_principal_balance > opened_current_principal_balance + 1.0D", "K15"),
     _rule(57, "Days past due grow or cure", "loan_steps",
           "days_past_due < prev_days_past_due AND days_past_due > 0", "K15"),
     _rule(58, "Months on book advance by one", "loan_steps",
@@ -145,7 +175,8 @@ FOUNDATION = Pack("foundation", (
           at_most(0.05), base=Base("loan_tape")),
     _rule(59, "Payments do not outnumber months", "latest_snapshot", "payment_count > months_on_book + 2", "K17",
           at_most(0.01)),
-    _rule(60, "Application key is unique", "application_keys", "copies > 1", "K18", weight="copies - 1"),
+    _rule(60, "Application key is unique", "application_keys", "copies > 1", "K18", weight="copies - 1",
+          count=SURPLUS_APPLICATIONS),
 ))
 
 #: The 29 rules of the reduced selection.

@@ -3,8 +3,8 @@ but many mean something else, so the ids have their own namespace."""
 
 from __future__ import annotations
 
-from loanward.plans.packs.foundation import FOUNDATION, category_of
-from loanward.plans.rule import Pack, Rule
+from loanward.plans.packs.foundation import FOUNDATION, category_of, orphan_count, totals
+from loanward.plans.rule import Count, Pack, Rule, summed
 
 #: Report categories by last rule number.
 RUNNER_CATEGORIES = ((8, "Lifecycle"), (23, "State Machine"), (33, "Financial"), (38, "Payment"),
@@ -16,6 +16,9 @@ LOAN_STATUSES = ("('CURRENT', 'DELINQUENT_30', 'DELINQUENT_60', 'DELINQUENT_90',
 ACTIVE = "('CURRENT', 'DELINQUENT_30', 'DELINQUENT_60', 'DELINQUENT_90', 'DELINQUENT_120')"
 PAYMENT_STATUSES = "('PAID', 'PARTIAL', 'MISSED', 'PENDING')"
 
+ORPHAN_TRADELINES = summed(
+    "report_ledger", "CASE WHEN reports = 0 OR credit_report_id IS NULL THEN lines END")
+
 
 def _rule(number: int, title: str, relation: str, predicate: str, kind: str, **more) -> Rule:
     return Rule(f"RUN-{number:03d}", title, relation, predicate, kind,
@@ -25,7 +28,8 @@ def _rule(number: int, title: str, relation: str, predicate: str, kind: str, **m
 def _same(number: int) -> Rule:
     """The foundation rule of that number, judged with zero tolerance."""
     r = FOUNDATION.rule(f"FND-{number:03d}")
-    return _rule(number, r.title, r.relation, r.predicate, r.kind, distinct=r.distinct, weight=r.weight)
+    return _rule(number, r.title, r.relation, r.predicate, r.kind, distinct=r.distinct, weight=r.weight,
+                 reads=r.reads, count=r.count)
 
 
 RUNNER = Pack("runner", (
@@ -34,7 +38,8 @@ RUNNER = Pack("runner", (
           "app_decision_status IN ('PENDING', 'UNDER_REVIEW')", "K03"),
     _same(9), _same(10),
     _rule(11, "Delinquent snapshot has a missed payment", "snapshot_without_missed",
-          "loan_status LIKE '%DELINQUENT%'", "K02"),
+          "loan_status LIKE '%DELINQUENT%'", "K02",
+          count=summed("loan_ledger", "CASE WHEN missed = 0 OR loan_id IS NULL THEN delinquent END")),
     _same(12), _same(13),
     _rule(14, "Charged-off loan is 120 days past due", "loan_tape",
           "loan_status = 'CHARGED_OFF' AND days_past_due < 120", "K04"),
@@ -47,9 +52,12 @@ RUNNER = Pack("runner", (
     _rule(17, "Payment status is known", "payments", f"payment_status NOT IN {PAYMENT_STATUSES}", "K06"),
     _rule(18, "No snapshot lies in the future", "loan_tape", "snapshot_date > {as_of}", "K04"),
     _rule(19, "No payment lies in the future", "payments", "payment_received_date > {as_of}", "K04"),
-    _rule(20, "Funding precedes the first due date", "first_due", "origination_date > first_due_date", "K12"),
-    _rule(21, "No payment before funding", "payment_origination",
-          "payment_received_date < origination_date", "K03"),
+    _rule(20, "Funding precedes the first due date", "loan_totals",
+          "mark = 'open_origination' AND mark_date > first_due_date", "K12",
+          reads=("loan_tape.origination_date", "loan_tape.loan_status", "payments.payment_due_date"),
+          count=totals("mark = 'open_origination' AND mark_date > first_due_date")),
+    _rule(21, "No payment before funding", "payment_marks",
+          "mark = 'origination' AND payment_received_date < mark_date", "K03", reads=("loan_tape.origination_date",)),
     _rule(22, "Decision precedes funding", "origination_decision", "app_decision_date > origination_date", "K03"),
     _rule(23, "Snapshot dates advance", "loan_steps", "snapshot_date <= prev_snapshot_date", "K16",
           distinct="loan_id"),
@@ -91,14 +99,20 @@ RUNNER = Pack("runner", (
           "app_decision_status = 'APPROVED' AND income_verification_status IS NULL", "K10"),
     _rule(50, "Approved applicant has employment verified", "fraud_application",
           "app_decision_status = 'APPROVED' AND employment_verification_status IS NULL", "K10"),
-    _rule(51, "Tradeline belongs to a report", "tradeline_orphan", "TRUE", "K01"),
-    _rule(52, "Fraud check belongs to an application", "fraud_orphan", "TRUE", "K01"),
-    _rule(53, "Bank transaction belongs to an application", "bank_orphan", "TRUE", "K01"),
+    _rule(51, "Tradeline belongs to a report", "tradeline_orphan", "TRUE", "K01", count=ORPHAN_TRADELINES),
+    _rule(52, "Fraud check belongs to an application", "fraud_orphan", "TRUE", "K01", count=orphan_count("checks")),
+    _rule(53, "Bank transaction belongs to an application", "bank_orphan", "TRUE", "K01",
+          count=orphan_count("transactions")),
     *(_same(n) for n in range(54, 57)),
     _rule(57, "Loans and payments name equally many loans", "loan_count_parity", "TRUE", "K20",
-          weight="CASE WHEN abs(n_left - n_right) > 1000 THEN abs(n_left - n_right) ELSE 0 END"),
-    _rule(58, "One credit report per application", "report_parity", "TRUE", "K19", weight="abs(n_left - n_right)"),
-    _rule(59, "One fraud check per application", "fraud_parity", "TRUE", "K19", weight="abs(n_left - n_right)"),
+          weight="CASE WHEN abs(n_left - n_right) > 1000 THEN abs(n_left - n_right) ELSE 0 END", count=Count({
+              "l": ("loan_ledger", "CASE WHEN snapshots > 0 THEN 1 END"),
+              "p": ("loan_ledger", "CASE WHEN payments > 0 THEN 1 END")},
+              "CASE WHEN abs({l} - {p}) > 1000 THEN abs({l} - {p}) ELSE 0 END")),
+    _rule(58, "One credit report per application", "report_parity", "TRUE", "K19", weight="abs(n_left - n_right)",
+          count=Count({"a": ("applications", "1"), "r": ("credit_reports", "1")}, "abs({a} - {r})")),
+    _rule(59, "One fraud check per application", "fraud_parity", "TRUE", "K19", weight="abs(n_left - n_right)",
+          count=Count({"a": ("applications", "1"), "f": ("fraud_verification", "1")}, "abs({a} - {f})")),
     _same(60),
 ))
 
@@ -107,5 +121,6 @@ RUNNER_SPEC = Pack("runner_spec", (
     Rule("RUN-030", "Principal paid is within the balance before the payment", "payment_before_snapshot",
          "principal_paid > opening_balance + 0.01D", "K03", variant="spec", category="Financial"),
     Rule("RUN-011", "Delinquent loan has a missed payment", "snapshot_without_missed",
-         "loan_status LIKE '%DELINQUENT%'", "K02", variant="distinct", category="State Machine", distinct="loan_id"),
+         "loan_status LIKE '%DELINQUENT%'", "K02", variant="distinct", category="State Machine", distinct="loan_id",
+         count=summed("loan_ledger", "CASE WHEN delinquent > 0 AND (missed = 0 OR loan_id IS NULL) THEN 1 END")),
 ))

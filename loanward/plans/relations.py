@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanward.functions.sqltext import over
 from loanward.operators import anchors as an
 from loanward.operators import keys as ks
 from loanward.operators import profile as pf
@@ -148,6 +149,59 @@ def customer_triple(t: Tables) -> DataFrame:
     return both.join(paid, "loan_id").withColumn("_n", F.col("_n") * F.col("_np")).drop("_np")
 
 
+# --- key ledgers: which tables hold a key, and how often -----------------------------
+
+def ledger(t: Tables, key: str, sources: dict[str, dict[str, str]]) -> DataFrame:
+    """One row per key value with sums over several tables.
+
+    ``sources`` maps a table to its measures (name, SQL amount per row).  All tables are
+    stacked as narrow rows and summed in one aggregation, combined on the map side, so
+    existence, orphan and cardinality rules on a key share one shuffle and no key can be
+    too frequent for it.  Null is a key of its own.
+    """
+    names = [m for measures in sources.values() for m in measures]
+    frames, selects = {}, []
+    for table, measures in sources.items():
+        present = t.columns(table)
+        if key not in present:
+            continue
+        frames[table] = t[table]
+        cells = ", ".join(f"CAST({measures.get(n, '0')} AS BIGINT) AS {n}" for n in names)
+        selects.append(f"SELECT {key}, {cells} FROM {{{table}}}")
+    sums = ", ".join(f"sum({n}) AS {n}" for n in names)
+    return over(frames, f"SELECT {key}, {sums} FROM ({' UNION ALL '.join(selects)}) GROUP BY {key}")
+
+
+def _flag(t: Tables, table: str, columns: tuple[str, ...], condition: str) -> str:
+    """1 where the condition holds; 0 where a column it reads is absent."""
+    known = all(c in t.columns(table) for c in columns)
+    return f"CASE WHEN {condition} THEN 1 ELSE 0 END" if known else "0"
+
+
+@relation("application_ledger", {}, "application_id")
+def application_ledger(t: Tables) -> DataFrame:
+    return ledger(t, "application_id", {
+        A: {"apps": "1", "approved": _flag(t, A, ("decision_status",), "decision_status = 'APPROVED'")},
+        L: {"snapshots": "1"}, CR: {"reports": "1"}, FV: {"checks": "1"}, BT: {"transactions": "1"}})
+
+
+@relation("loan_ledger", {}, "loan_id")
+def loan_ledger(t: Tables) -> DataFrame:
+    return ledger(t, "loan_id", {
+        L: {"snapshots": "1",
+            "delinquent": _flag(t, L, ("loan_status",), "loan_status LIKE '%DELINQUENT%'"),
+            "never_paid": _flag(t, L, ("never_paid_flag",), "never_paid_flag = TRUE")},
+        P: {"payments": "1",
+            "missed": _flag(t, P, ("payment_status",), "payment_status = 'MISSED'"),
+            "posted": _flag(t, P, ("payment_status", "actual_payment_amount"),
+                            "payment_status = 'POSTED' AND actual_payment_amount > 0")}})
+
+
+@relation("report_ledger", {}, "credit_report_id")
+def report_ledger(t: Tables) -> DataFrame:
+    return ledger(t, "credit_report_id", {CR: {"reports": "1"}, CT: {"lines": "1"}})
+
+
 # --- existence ---------------------------------------------------------------------
 
 def _anti(name: str, child: str, parent: str, key: str, *identity: str) -> None:
@@ -181,48 +235,80 @@ def snapshot_with_posted(t: Tables) -> DataFrame:
 
 # --- payments against the loan ----------------------------------------------------
 
-@relation("payment_anchor", {P: ("loan_id",), L: ("loan_id", "loan_status", "snapshot_date")}, "payment_id")
-def payment_anchor(t: Tables) -> DataFrame:
-    """Payments with the payoff date and charge-off date of their loan."""
-    ends = an.anchors(t[L].filter("loan_status IN ('PAID_OFF', 'CHARGED_OFF')"), "loan_id", {
-        "payoff_date": an.max_where("snapshot_date", "loan_status = 'PAID_OFF'"),
-        "chargeoff_date": an.min_where("snapshot_date", "loan_status = 'CHARGED_OFF'")})
-    paid = t.project(P, ["payment_id", "loan_id", "payment_received_date", "actual_payment_amount"])
-    return skew_join(paid, ends, "loan_id", "inner", t.hot(P, "loan_id"))
+def loan_marks(t: Tables, sides: tuple[str, ...] = ("payment", "total")) -> DataFrame:
+    """What payments are held against: per loan its distinct originations, first due dates,
+    amounts and statuses, a status with the dates at which it was first and last seen.
 
-
-def _payment_dim(name: str, column: str, *payment_columns: str) -> None:
-    @relation(name, {P: ("loan_id",), L: ("loan_id", column)}, "payment_id")
-    def build(t: Tables) -> DataFrame:
-        # One row per distinct value: a loan with two values counts its payments twice.
-        dim = t[L].select("loan_id", column).distinct()
-        paid = t.project(P, ["payment_id", "loan_id", *payment_columns])
-        return skew_join(paid, dim, "loan_id", "inner", t.hot(P, "loan_id"))
-
-
-_payment_dim("payment_first_due", "first_payment_due_date", "payment_received_date", "payment_type")
-_payment_dim("payment_origination", "origination_date", "payment_received_date")
-_payment_dim("payment_loan_status", "loan_status", "scheduled_payment_amount")
-
-
-@relation("first_payment", {P: ("loan_id", "payment_received_date"), L: ("loan_id", "origination_date")}, "loan_id")
-def first_payment(t: Tables) -> DataFrame:
-    first = an.anchors(t[P], "loan_id", {"first_received": F.min("payment_received_date")})
-    return t[L].select("loan_id", "origination_date").distinct().join(first, "loan_id")
-
-
-@relation("first_due", {P: ("loan_id", "payment_due_date"), L: ("loan_id", "origination_date", "loan_status")},
-          "loan_id")
-def first_due(t: Tables) -> DataFrame:
-    first = an.anchors(t[P], "loan_id", {"first_due_date": F.min("payment_due_date")})
-    loans = t[L].filter("loan_status <> 'CHARGED_OFF'").select("loan_id", "origination_date").distinct()
-    return loans.join(first, "loan_id")
+    ``side`` tells whether single payments or a loan's totals are compared with the mark.
+    Statuses change over a loan's life and the other attributes hardly do, so each is
+    folded on its own; the few attribute rows then become one row per distinct mark.
+    """
+    present = set(t.columns(L))
+    keys = "loan_id, side, mark, mark_date, mark_amount, mark_status"
+    parts = []
+    if "payment" in sides and "loan_status" in present:
+        seen = "snapshot_date" if "snapshot_date" in present else "CAST(NULL AS DATE)"
+        parts.append(f"""
+            SELECT loan_id, 'payment' AS side, 'status' AS mark, CAST(NULL AS DATE) AS mark_date,
+                   CAST(NULL AS DOUBLE) AS mark_amount, loan_status AS mark_status,
+                   min({seen}) AS first_seen, max({seen}) AS last_seen
+            FROM {{loans}} GROUP BY loan_id, loan_status""")
+    marks = (
+        ("payment", "'origination'", "origination_date", "mark_date"),
+        ("payment", "'first_due'", "first_payment_due_date", "mark_date"),
+        ("total", "'origination'", "origination_date", "mark_date"),
+        ("total", "CASE WHEN opened THEN 'open_origination' END", "origination_date", "mark_date"),
+        ("total", "'amount'", "original_loan_amount", "mark_amount"),
+    )
+    rows, used = [], {}
+    for side, mark, column, target in marks:
+        if side in sides and column in present:
+            used[column] = column
+            cells = {"mark_date": "CAST(NULL AS DATE)", "mark_amount": "CAST(NULL AS DOUBLE)", target: column}
+            rows.append(f"struct('{side}' AS side, {mark} AS mark, "
+                        + ", ".join(f"{e} AS {n}" for n, e in cells.items()) + ")")
+    if rows:
+        if "total" in sides:
+            used["opened"] = "loan_status <> 'CHARGED_OFF'" if "loan_status" in present else "FALSE"
+        picked = ", ".join(f"{e} AS {n}" for n, e in used.items())
+        parts.append(f"""
+            SELECT {keys}, CAST(NULL AS DATE) AS first_seen, CAST(NULL AS DATE) AS last_seen
+            FROM (SELECT DISTINCT loan_id, inline(array({', '.join(rows)})), CAST(NULL AS STRING) AS mark_status
+                  FROM (SELECT DISTINCT loan_id, {picked} FROM {{loans}}))
+            WHERE mark IS NOT NULL""")
+    return over({"loans": t[L]}, " UNION ALL ".join(parts))
+
+
+_PAYMENT_MARK = ["payment_id", "loan_id", "payment_received_date", "actual_payment_amount",
+                 "payment_type", "scheduled_payment_amount"]
+
+
+def _payment_totals(t: Tables) -> DataFrame:
+    measures = {name: c for name, column, c in (
+        ("first_received", "payment_received_date", F.min("payment_received_date")),
+        ("first_due_date", "payment_due_date", F.min("payment_due_date")),
+        ("total_paid", "actual_payment_amount", F.sum("actual_payment_amount"))) if column in t.columns(P)}
+    return an.anchors(t[P], "loan_id", {**measures, "payment_count": F.count(F.lit(1))}).withColumn(
+        "side", F.lit("total"))
+
+
+@relation("payment_marks", {P: ("loan_id",), L: ("loan_id",)}, "payment_id")
+def payment_marks(t: Tables) -> DataFrame:
+    """Payments, and below them the totals of each loan, with the marks they are held
+    against: one pass over the loan tape and one join for all these rules.
+
+    A loan with two origination dates meets its payments twice, as the rules ask.  Totals
+    have no payment date and payments no totals, so a rule sees its own side only.
+    """
+    paid = t.project(P, _PAYMENT_MARK).withColumn("side", F.lit("payment"))
+    both = paid.unionByName(_payment_totals(t), allowMissingColumns=True)
+    return skew_join(both, loan_marks(t), ["loan_id", "side"], "inner", t.hot(P, "loan_id"))
 
 
-@relation("paid_total", {P: ("loan_id", "actual_payment_amount"), L: ("loan_id", "original_loan_amount")}, "loan_id")
-def paid_total(t: Tables) -> DataFrame:
-    paid = an.anchors(t[P], "loan_id", {"total_paid": F.sum("actual_payment_amount")})
-    return t[L].select("loan_id", "original_loan_amount").distinct().join(paid, "loan_id")
+@relation("loan_totals", {P: ("loan_id",), L: ("loan_id",)}, "loan_id")
+def loan_totals(t: Tables) -> DataFrame:
+    """Marks of a loan with its first payment dates and the sum paid."""
+    return loan_marks(t, ("total",)).join(_payment_totals(t), ["loan_id", "side"])
 
 
 @relation("latest_snapshot", {L: ("loan_id", "snapshot_date"),
@@ -303,18 +389,12 @@ _STEP = ["snapshot_date", "months_on_book", "days_past_due", "current_principal_
 
 @relation("loan_steps", {L: ("loan_id", "snapshot_date")}, "loan_id", "snapshot_date")
 def loan_steps(t: Tables) -> DataFrame:
-    """Snapshots with the values of the loan's previous snapshot: one window pass."""
+    """Snapshots with the loan's previous snapshot (``prev_``) and its previous snapshot that
+    was neither charged off nor paid off (``opened_``): one shuffle and sort for both."""
     values = [c for c in _STEP if c in t.columns(L)]
+    also = {"opened_": "loan_status NOT IN ('CHARGED_OFF', 'PAID_OFF')"} if "loan_status" in values else {}
     return with_previous(t.project(L, ["loan_id", *values]), "loan_id", ["snapshot_date"], values,
-                         t.hot(L, "loan_id"))
-
-
-@relation("open_loan_steps", {L: ("loan_id", "snapshot_date", "loan_status")}, "loan_id", "snapshot_date")
-def open_loan_steps(t: Tables) -> DataFrame:
-    """The same over rows that are neither charged off nor paid off."""
-    values = [c for c in _STEP if c in t.columns(L)]
-    rows = t.project(L, ["loan_id", *values]).filter("loan_status NOT IN ('CHARGED_OFF', 'PAID_OFF')")
-    return with_previous(rows, "loan_id", ["snapshot_date"], values, t.hot(L, "loan_id"))
+                         t.hot(L, "loan_id"), also=also)
 
 
 # --- keys, counts, parity ---------------------------------------------------------

@@ -71,13 +71,30 @@ class Base:
     where: str = "TRUE"
 
 
+@dataclass(frozen=True)
+class Count:
+    """A cheaper way to a rule's number than its violating rows.
+
+    ``parts`` are sums over other relations (relation, SQL amount per row), ``total`` puts
+    them together by name in braces.
+    """
+
+    parts: Mapping[str, tuple[str, str]]
+    total: str = "{v}"
+
+
+def summed(relation: str, amount: str) -> Count:
+    return Count({"v": (relation, amount)})
+
+
 @dataclass(frozen=True)
 class Rule:
     """``predicate`` is a SQL expression that is true for a violating row.
 
     ``distinct`` counts keys instead of rows; ``weight`` replaces the row count by an
     expression.  ``columns`` lists the columns read when they cannot be recognised as
-    names of the lending model.
+    names of the lending model, ``reads`` the table columns behind derived ones.  ``count``
+    is used where only the number is wanted.
     """
 
     id: str
@@ -93,12 +110,17 @@ class Rule:
     weight: str | None = None
     base: Base | None = None
     columns: tuple[str, ...] = ()
+    reads: tuple[str, ...] = ()
+    count: Count | None = None
 
     def at(self, as_of) -> Rule:
         """The rule with ``{as_of}`` replaced by a typed date literal."""
         text = f"DATE '{as_of.isoformat()}'"
         base = self.base and replace(self.base, where=self.base.where.replace("{as_of}", text))
-        return replace(self, predicate=self.predicate.replace("{as_of}", text), base=base)
+        count = self.count and replace(self.count, parts={
+            name: (relation, amount.replace("{as_of}", text))
+            for name, (relation, amount) in self.count.parts.items()})
+        return replace(self, predicate=self.predicate.replace("{as_of}", text), base=base, count=count)
 
 
 @dataclass(frozen=True)
@@ -128,7 +150,7 @@ _LITERAL = re.compile(r"'[^']*'")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
-def columns_read(rule: Rule, prefixes: tuple[str, ...] = ("app_", "rep_", "prev_")) -> list[str]:
+def columns_read(rule: Rule, prefixes: tuple[str, ...] = ("app_", "rep_", "prev_", "opened_")) -> list[str]:
     """Columns of the lending model that a rule's expressions mention."""
     text = " ".join(_LITERAL.sub(" ", t) for t in (rule.predicate, rule.weight or "", rule.distinct or ""))
     found = dict.fromkeys(rule.columns)

@@ -45,13 +45,10 @@ class View:
     where: str | None = None
 
     def frame(self, base: DataFrame) -> DataFrame:
-        df = base.filter(self.where) if self.where else base
-        for layer in self.layers:
-            df = df.selectExpr("*", *(f"{e} AS {n}" for n, e in layer.items()))
-        return df.selectExpr(*(f"{e} AS {n}" for n, e in self.columns.items()))
+        return base.sparkSession.sql(self.sql("{base}"), base=base)
 
-    def sql(self) -> str:
-        text = f"SELECT * FROM {self.source}" + (f" WHERE {self.where}" if self.where else "")
+    def sql(self, source: str | None = None) -> str:
+        text = f"SELECT * FROM {source or self.source}" + (f" WHERE {self.where}" if self.where else "")
         for layer in self.layers:
             adds = ", ".join(f"{e} AS {n}" for n, e in layer.items())
             text = f"SELECT *, {adds} FROM ({text})"

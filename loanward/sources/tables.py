@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,7 @@ class Tables(Mapping[str, DataFrame]):
         self.as_of = as_of
         self.hot_min_rows = hot_min_rows
         self._hot: dict[tuple[str, str], list] = {}
+        self._rows: dict[str, int] | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self._frames[name]
@@ -67,9 +69,18 @@ class Tables(Mapping[str, DataFrame]):
         present = self.columns(name)
         return self._frames[name].select([c for c in dict.fromkeys(columns) if c in present])
 
+    def row_counts(self) -> dict[str, int]:
+        """Rows per table, counted once in one job; plain Parquet tables read footers only."""
+        if self._rows is None:
+            counts = [df.groupBy().agg(F.lit(n).alias("n"), F.count(F.lit(1)).alias("c"))
+                      for n, df in self._frames.items()]
+            self._rows = {r.n: r.c for r in reduce(DataFrame.unionAll, counts).collect()}
+        return self._rows
+
     def hot(self, name: str, key: str) -> list:
         if (name, key) not in self._hot:
-            self._hot[name, key] = hot_keys(self._frames[name], key, self.hot_min_rows)
+            self._hot[name, key] = hot_keys(
+                self._frames[name], key, self.hot_min_rows, self.row_counts()[name])
         return self._hot[name, key]
 
     def replace(self, **frames: DataFrame) -> Tables:
