@@ -89,9 +89,11 @@ def dispersion(df: DataFrame, column: str) -> DataFrame:
 
 
 def correlation(df: DataFrame, left: str, right: str) -> DataFrame:
-    """One row: Pearson correlation and the number of pairs."""
+    """One row: Pearson correlation (null where a column is constant) and the number of pairs."""
     both = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
-    return both.agg(F.corr(left, right).alias("correlation"), F.count(F.lit(1)).alias("pairs"))
+    spread = F.stddev_pop(left) * F.stddev_pop(right)
+    return both.agg(F.try_divide(F.covar_pop(left, right), spread).alias("correlation"),
+                    F.count(F.lit(1)).alias("pairs"))
 
 
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
