@@ -7,8 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanward.operators.keys import pair_rows
-
 
 def anchors(df: DataFrame, key: str, measures: Mapping[str, Column]) -> DataFrame:
     """One row per key with the given aggregates; combined on the map side."""
@@ -31,8 +29,3 @@ def at_latest(df: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` equals the table's maximum (a one-row aggregate)."""
     newest = df.agg(F.max(column).alias("_newest"))
     return df.join(F.broadcast(newest), F.col(column) == F.col("_newest")).drop("_newest")
-
-
-def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row of a small (aggregated) frame."""
-    return pair_rows(df, scalar)

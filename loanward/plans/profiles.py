@@ -56,7 +56,7 @@ def income_by_state(t: Tables) -> DataFrame:
     """Mean and exact median income per state."""
     apps = t["applications"]
     mean = apps.groupBy("address_state").agg(F.avg("annual_income").alias("avg_income"))
-    median = pf.weighted_median(apps, ["address_state"], "annual_income", "median_income")
+    median = pf.exact_median(apps, ["address_state"], "annual_income", "median_income")
     return mean.join(median, "address_state", "left")
 
 
@@ -137,9 +137,9 @@ def delinquency_rate(t: Tables) -> DataFrame:
 def income_medians(t: Tables) -> DataFrame:
     """Median income per state and, under a null state, overall."""
     apps = t["applications"]
-    by_state = pf.weighted_median(apps.filter("address_state IS NOT NULL"), ["address_state"],
+    by_state = pf.exact_median(apps.filter("address_state IS NOT NULL"), ["address_state"],
                                   "annual_income", "median_income")
-    overall = pf.weighted_median(apps, [], "annual_income", "median_income")
+    overall = pf.exact_median(apps, [], "annual_income", "median_income")
     return by_state.unionByName(overall.select(
         F.lit(None).cast("string").alias("address_state"), "median_income"))
 
