@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: Fixed settings: results depend on the time zone, plans on adaptive execution.
@@ -23,18 +21,3 @@ def build_session(app: str = "loanward", master: str | None = None, **conf: str)
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loanward-checkpoint-"))
-    return context.getCheckpointDir()

@@ -156,19 +156,17 @@ def write_month_partitioned(df: DataFrame, directory: str, name: str, date_colum
     return write_table(month, directory, name, ["month"])
 
 
-def sample_tables(tables: Tables, fraction: float, seed: int = 7,
-                  parent: str = "applications", key: str = "application_id") -> Tables:
+def sample_tables(tables: Tables, fraction: float, seed: int = 7, key: str = "application_id") -> Tables:
     """A sample that keeps families together.
 
-    Parents are sampled by key; children keep the rows of sampled parents, and rows with
-    no parent at all stay in, so that orphan rules keep their meaning.
+    Tables with the key are sampled by its value, so parents and children agree without a
+    join.  Payments and tradelines follow their loan or report; those without a parent in
+    the full tables stay in, so that orphan rules keep their meaning.
     """
     threshold = int(fraction * 10_000)
     frames = {}
     for name, df in tables.items():
         if key in df.columns:
-            # The bucket depends on the key value alone, so parent and child agree
-            # without a join.
             bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000))
             frames[name] = df.filter(bucket < threshold)
         else:
