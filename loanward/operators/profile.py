@@ -154,6 +154,18 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         "null_pct", F.try_divide(F.col("null_count") * 100.0, F.col("row_count")))
 
 
+def declared_profile(df: DataFrame, declared: Iterable[str]) -> DataFrame:
+    """One row per declared column: whether the frame has it and how many values it holds."""
+    names = list(declared)
+    present = [c for c in names if c in df.columns]
+    filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(present)],
+                    F.count(F.lit(1)).alias("_rows"))
+    at = {c: i for i, c in enumerate(present)}
+    cells = [F.struct(F.lit(c).alias("column_name"), F.lit(c in at).alias("present"),
+                      (F.col(f"n{at[c]}") if c in at else F.lit(0).cast("long")).alias("filled")) for c in names]
+    return filled.select(F.inline(F.array(*cells)))
+
+
 def schema_gaps(df: DataFrame, declared: Sequence[str], table: str) -> DataFrame:
     """Declared columns that are absent and present columns that are not declared.
 

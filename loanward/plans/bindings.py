@@ -212,7 +212,8 @@ def k22(t: Tables) -> DataFrame:
     customers = t["customer"].select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     suppliers = t["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     buyers = skew_join(orders, customers, "o_custkey", "inner", t.hot("orders", "o_custkey"))
-    both = skew_join(pairs.join(buyers, "l_orderkey"), suppliers, "l_suppkey", "inner",
+    filled = skew_join(pairs, buyers, "l_orderkey", "inner", t.hot("lineitem", "l_orderkey"))
+    both = skew_join(filled, suppliers, "l_suppkey", "inner",
                      t.hot("lineitem", "l_suppkey"))
     return both.filter("c_nationkey <> s_nationkey").groupBy("c_nationkey", "s_nationkey").agg(
         F.sum("_n").alias("violations"))
@@ -308,14 +309,8 @@ DECLARED = {
 @kind("k33_schema_exhaustiveness")
 def k33(t: Tables) -> DataFrame:
     """Declared columns, whether they are present, and how many values they hold."""
-    parts = []
-    for name, declared in DECLARED.items():
-        df = t[name]
-        present = [c for c in declared if c in df.columns]
-        filled = df.agg(*[F.count(c).alias(c) for c in present])
-        cells = [F.struct(F.lit(c).alias("column_name"), F.lit(c in present).alias("present"),
-                          (F.col(c) if c in present else F.lit(0).cast("long")).alias("filled")) for c in declared]
-        parts.append(filled.select(F.lit(name).alias("table_name"), F.inline(F.array(*cells))))
+    parts = [pf.declared_profile(t[name], declared).withColumn("table_name", F.lit(name))
+             for name, declared in DECLARED.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

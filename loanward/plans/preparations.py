@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loanward.functions import dates
 from loanward.functions.finance import clip, installment, loan_amount, risk_rate
+from loanward.operators.skew import skew_join
 from loanward.prepare import applications as pa
 from loanward.prepare import completion as pc
 from loanward.prepare import loans as pl
@@ -200,7 +201,8 @@ def pr19(t: Tables) -> DataFrame:
 @preparation("pr_20_fraud_check_status")
 def pr20(t: Tables) -> DataFrame:
     checks = t["fraud_verification"].select("application_id", "fraud_risk_score")
-    decided = checks.join(t["applications"].select("application_id", "decision_status"), "application_id")
+    decided = skew_join(checks, t["applications"].select("application_id", "decision_status"), "application_id",
+                        "inner", t.hot("fraud_verification", "application_id"))
     return decided.select("application_id", "fraud_risk_score", pa.fraud_check_status().alias("fraud_check_status"))
 
 

@@ -5,6 +5,7 @@ map-side combined groups."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from loanward.functions.dates import age_years
 from loanward.operators import keys as ks
 from loanward.operators import profile as pf
+from loanward.operators.skew import skew_join
 from loanward.plans.relations import RELATIONS
+from loanward.sources.lending_views import VIEWS
 from loanward.sources.tables import Tables
 
 PROFILES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -83,6 +86,13 @@ def grade_shares(t: Tables) -> DataFrame:
     return pf.shares(t["loan_tape"], "grade")
 
 
+@profile("DQ-003")
+def declared_columns(t: Tables) -> DataFrame:
+    """Every declared column of every table: whether it is present and how many values it holds."""
+    parts = [pf.declared_profile(t[n], VIEWS[n].columns).withColumn("table_name", F.lit(n)) for n in t if n in VIEWS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @profile("DQ-004")
 def null_rates(t: Tables) -> DataFrame:
     return RELATIONS["null_rates"].build(t)
@@ -202,5 +212,6 @@ def identity_score_summary(t: Tables) -> DataFrame:
             F.max("identity_verification_score").alias("maximum"),
             F.avg("identity_verification_score").alias("mean")]
     overall = rows.agg(*aggs).select(F.lit(None).cast("string").alias("decision_status"), "*")
-    decided = rows.join(t["applications"].select("application_id", "decision_status"), "application_id")
+    decided = skew_join(rows, t["applications"].select("application_id", "decision_status"), "application_id",
+                        "inner", t.hot("fraud_verification", "application_id"))
     return overall.unionByName(decided.groupBy("decision_status").agg(*aggs))

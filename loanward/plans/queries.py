@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from loanward.plans.bindings import KINDS, star_tables
 from loanward.plans.evaluate import evaluate, offenders
 from loanward.plans.packs import (
-    CATALOGUE, CATALOGUE_SPEC, CHECKS, FOUNDATION, FOUNDATION_SPEC, RUNNER, RUNNER_SPEC)
+    CATALOGUE, CATALOGUE_SPEC, CHECKS, FOUNDATION, FOUNDATION_SPEC, REDUCED, RUNNER, RUNNER_SPEC)
 from loanward.plans.preparations import PREPARATIONS
 from loanward.plans.profiles import PROFILES
 from loanward.plans.rule import Pack, Rule
@@ -130,7 +130,8 @@ def all_queries() -> dict[str, Query]:
     out.update({name.lower().replace("-", "_") + ("_profile" if name.startswith("CHK") else ""): partial(_profile, name)
                 for name in PROFILES})
     out.update({
-        "pack_foundation": partial(_pack, FOUNDATION), "pack_runner": partial(_pack, RUNNER),
+        "pack_foundation": partial(_pack, FOUNDATION), "pack_reduced": partial(_pack, REDUCED),
+        "pack_runner": partial(_pack, RUNNER),
         "pack_catalogue": partial(_pack, CATALOGUE), "pack_checks": partial(_pack, CHECKS),
         "rp_05_totals": _totals, "rp_06_failed": _failed, "rp_07_by_severity": _by_severity,
         "rp_08_by_category": _by_category, "rp_11_examples": _examples, "rp_12_versions": _versions,

@@ -24,7 +24,7 @@ def test_query_equals_oracle(spark, small, duck, name):
 def test_every_oracle_has_a_query():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"rp_13_sign_off", "rp_14_sampled_run"}
+    assert set(queries) - set(oracles) == {"rp_14_sampled_run"}
 
 
 def test_entry_runs(spark):
