@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanward.functions.sqltext import over
+
 
 def anchors(df: DataFrame, key: str, measures: Mapping[str, Column]) -> DataFrame:
     """One row per key with the given aggregates; combined on the map side."""
@@ -26,6 +28,8 @@ def count_where(condition: str) -> Column:
 
 
 def at_latest(df: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` equals the table's maximum (a one-row aggregate)."""
-    newest = df.agg(F.max(column).alias("_newest"))
-    return df.join(F.broadcast(newest), F.col(column) == F.col("_newest")).drop("_newest")
+    """Rows whose ``column`` equals the table's maximum.
+
+    The maximum is a scalar subquery, so it filters the scan and prunes partitions.
+    """
+    return over({"rows": df}, f"SELECT * FROM {{rows}} WHERE `{column}` = (SELECT max(`{column}`) FROM {{rows}})")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanward.functions.sqltext import over
 from loanward.operators.skew import skew_join
 
 
@@ -63,18 +64,10 @@ def cardinality(parent: DataFrame, child: DataFrame, key: str, child_key: str |
 
 def row_parity(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row with the row counts of two tables."""
-    n_left = left.agg(F.count(F.lit(1)).alias("n_left"))
-    n_right = right.agg(F.count(F.lit(1)).alias("n_right"))
-    return pair_rows(n_left, n_right)
+    return over({"a": left, "b": right},
+                "SELECT (SELECT count(*) FROM {a}) AS n_left, (SELECT count(*) FROM {b}) AS n_right")
 
 
 def key_parity(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
     """One row with the distinct key counts of two tables; null counts as a value."""
-    n_left = distinct_keys(left, left_key).agg(F.count(F.lit(1)).alias("n_left"))
-    n_right = distinct_keys(right, right_key or left_key).agg(F.count(F.lit(1)).alias("n_right"))
-    return pair_rows(n_left, n_right)
-
-
-def pair_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row of a frame."""
-    return left.join(F.broadcast(right), F.lit(True))
+    return row_parity(distinct_keys(left, left_key), distinct_keys(right, right_key or left_key))

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanward.operators.keys import pair_rows
+from loanward.functions.sqltext import over
 
 
 def rate(df: DataFrame, condition: str, name: str = "pct") -> DataFrame:
@@ -19,15 +19,10 @@ def rate(df: DataFrame, condition: str, name: str = "pct") -> DataFrame:
 
 
 def shares(df: DataFrame, column: str, name: str = "pct") -> DataFrame:
-    """Rows and percentage per value.
-
-    The total is the sum over the per-value counts, one narrow row per value, so the
-    whole-table count costs no second scan.
-    """
+    """Rows and percentage per value; the row count of the table is a scalar subquery."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("row_count"))
-    total = counts.agg(F.sum("row_count").alias("_total"))
-    return (pair_rows(counts, total)
-            .withColumn(name, F.try_divide(F.col("row_count") * 100.0, F.col("_total"))).drop("_total"))
+    return over({"counts": counts, "rows": df}, f"""
+        SELECT *, try_divide(row_count * 100D, (SELECT count(*) FROM {{rows}})) AS `{name}` FROM {{counts}}""")
 
 
 def bucketed(column: str, width: float) -> Column:
@@ -134,7 +129,7 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "medi
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join in which null keys match."""
     if not keys:
-        return pair_rows(left, right)
+        return left.join(F.broadcast(right), F.lit(True))  # one row on the right
     other = right.select([F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     condition = None
     for k in keys:
