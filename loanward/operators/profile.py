@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanward.functions.sqltext import over
+from loanward.functions.sqltext import literal, over
 
 
 def rate(df: DataFrame, condition: str, name: str = "pct") -> DataFrame:
@@ -164,9 +164,10 @@ def declared_profile(df: DataFrame, declared: Iterable[str]) -> DataFrame:
 def schema_gaps(df: DataFrame, declared: Sequence[str], table: str) -> DataFrame:
     """Declared columns that are absent and present columns that are not declared.
 
-    Reads the schema only; the rows come from a relation of one row per column name.
+    Reads the schema only.
     """
     present = list(df.columns)
     rows = [(table, c, "MISSING") for c in declared if c not in present]
     rows += [(table, c, "EXTRA") for c in present if c not in declared]
-    return df.sparkSession.createDataFrame(rows, "table_name string, column_name string, gap string")
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows) or "('', '', '')"
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(table_name, column_name, gap) WHERE gap <> ''")

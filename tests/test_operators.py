@@ -51,7 +51,7 @@ def test_previous_row_is_the_same_with_and_without_hot_keys(steps, hot):
 
 def test_hot_keys_are_found_and_bounded(spark, steps):
     _, df = steps
-    assert set(hot_keys(df, "k", 300)) == {"a"}
+    assert set(hot_keys(df, "k", 500)) == {"a"}
     assert hot_keys(df, "k", 2000) == []
     assert None in hot_keys(df, "k", 100)
 
