@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loanward.functions.keyed import bucket
 from loanward.sources.schemas import DeclaredColumn
@@ -93,7 +92,3 @@ def add_constants(df: DataFrame, **values) -> DataFrame:
 def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Rename the columns that exist."""
     return df.withColumnsRenamed({a: b for a, b in mapping.items() if a in df.columns})
-
-
-def null_typed(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
