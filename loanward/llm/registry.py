@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loanward.llm.bpe import tokenize
-from loanward.llm.common import send_package
+from loanward.llm.common import Scratch, send_package
+from loanward.llm.language import identify
 from loanward.llm.packing import pack
+from loanward.llm.quality import METRICS, judge
+from loanward.llm.warc import read_chunks, read_records, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,11 +24,27 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "warc").root
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_records(read_chunks(spark, folder))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), ids=False)
 
 
-OPERATORS = (op4_packing, op9_bpe)
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), carry=["doc_id"]).select(
+        "doc_id", *METRICS, "base_failed", "kept")
+
+
+OPERATORS = (op4_packing, op5_warc, op7_language, op9_bpe, op10_quality)
 
 
 def _sent(query: Query) -> Query:
