@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loanward.llm.bpe import tokenize
+from loanward.llm.chat import format_turns, read_back, with_extra
 from loanward.llm.common import Scratch, send_package
+from loanward.llm.html import extract
 from loanward.llm.language import identify
 from loanward.llm.packing import pack
 from loanward.llm.quality import METRICS, judge
+from loanward.llm.vectors import search
 from loanward.llm.warc import read_chunks, read_records, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -30,11 +37,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(read_chunks(spark, folder))
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
         "doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(format_turns(with_extra(table(spark, sf_dir, "conversations"))))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), ids=False)
 
@@ -44,7 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *METRICS, "base_failed", "kept")
 
 
-OPERATORS = (op4_packing, op5_warc, op7_language, op9_bpe, op10_quality)
+OPERATORS = (op2_html, op4_packing, op5_warc, op6_vectors, op7_language, op8_chat, op9_bpe, op10_quality)
 
 
 def _sent(query: Query) -> Query:
