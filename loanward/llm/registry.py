@@ -10,6 +10,7 @@ from loanward.llm.bpe import tokenize
 from loanward.llm.chat import format_turns, read_back, with_extra
 from loanward.llm.common import Scratch, send_package
 from loanward.llm.html import extract
+from loanward.llm.jaccard import components
 from loanward.llm.language import identify
 from loanward.llm.packing import pack
 from loanward.llm.quality import METRICS, judge
@@ -27,6 +28,10 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *METRICS, "base_failed", "kept")
 
 
-OPERATORS = (op2_html, op4_packing, op5_warc, op6_vectors, op7_language, op8_chat, op9_bpe, op10_quality)
+OPERATORS = (op2_html, op3_jaccard, op4_packing, op5_warc, op6_vectors, op7_language, op8_chat, op9_bpe, op10_quality)
 
 
 def _sent(query: Query) -> Query:
