@@ -14,6 +14,7 @@ from loanward.llm.jaccard import components
 from loanward.llm.language import identify
 from loanward.llm.packing import pack
 from loanward.llm.quality import METRICS, judge
+from loanward.llm.repeats import removal
 from loanward.llm.vectors import search
 from loanward.llm.warc import read_chunks, read_records, write_archives
 
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal(table(spark, sf_dir, "documents"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -64,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *METRICS, "base_failed", "kept")
 
 
-OPERATORS = (op2_html, op3_jaccard, op4_packing, op5_warc, op6_vectors, op7_language, op8_chat, op9_bpe, op10_quality)
+OPERATORS = (op1_repeats, op2_html, op3_jaccard, op4_packing, op5_warc, op6_vectors, op7_language, op8_chat, op9_bpe, op10_quality)
 
 
 def _sent(query: Query) -> Query:
