@@ -433,8 +433,8 @@ def without_repeats(documents: DataFrame, size: int = SIZE) -> DataFrame:
     A null text stays null.
     """
     name = next(c for c in documents.columns if c.lower() == "text")
-    place = documents.columns.index(name)
-    schema = documents.schema
+    names, schema = documents.columns, documents.schema
+    place = names.index(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -444,6 +444,6 @@ def without_repeats(documents: DataFrame, size: int = SIZE) -> DataFrame:
                 texts.append(remaining(data, cuts).decode(errors="ignore") if (cuts := merged(spans, len(data))) else text)
             columns = batch.column("row").flatten()
             columns[place] = pa.compute.if_else(columns[place].is_null(), columns[place], pa.array(texts, pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, documents.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return marked(documents, size).mapInArrow(run, schema)
