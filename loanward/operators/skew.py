@@ -10,23 +10,36 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A key is hot when it holds more than this many rows ...
 HOT_MIN_ROWS = 2_000_000
 #: ... and more than 1/HOT_SHARE of the table, so there are fewer than HOT_SHARE of them.
-HOT_SHARE = 10_000
+HOT_SHARE = 50_000
 #: Rows expected in the sample for a key that is just hot.
 SAMPLE_PER_KEY = 200
-#: Number of pieces a hot key is split into.
+#: Number of pieces a hot key is split into, at least ...
 PIECES = 64
+#: ... and rows that a piece of a larger key has.
+ROWS_PER_PIECE = 500_000
+#: Sampled rows per piece when a key's order is cut.
+SAMPLE_PER_PIECE = 16
+#: Range of the row hash that samples.
+_SAMPLE_RANGE = 1 << 30
+
+
+class HotKeys(list):
+    """Hot values of a key, with about how many rows each holds (``rows``)."""
+
+    def __init__(self, rows: Mapping = ()) -> None:
+        self.rows = dict(rows)
+        super().__init__(self.rows)
 
 
 def _sample_fraction(floor: int) -> float:
     return min(1.0, SAMPLE_PER_KEY / floor)
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS, total: int | None = None) -> list:
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS, total: int | None = None) -> HotKeys:
     """Values of ``key`` (null included) that hold more than the allowed rows.
 
     The row count comes from file footers.  Only tables larger than ``min_rows`` are
@@ -35,12 +48,31 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS, total: int |
     """
     total = df.count() if total is None else total
     if total <= min_rows:
-        return []
+        return HotKeys()
     floor = max(min_rows, total // HOT_SHARE, 1)
     fraction = _sample_fraction(floor)
     seen = df.select(key) if fraction >= 1.0 else df.select(key).sample(fraction, seed=11)
     frequent = seen.groupBy(key).count().filter(F.col("count") > 0.75 * floor * fraction)
-    return [row[0] for row in frequent.select(key).collect()]
+    return HotKeys({row[0]: int(row[1] / fraction) for row in frequent.select(key, "count").collect()})
+
+
+def _by_pieces(hot: Sequence, pieces: int) -> dict[int, list]:
+    """The hot values by the number of pieces they need, a power of two times ``pieces``."""
+    groups = defaultdict(list)
+    for value in hot:
+        many = pieces
+        while many * ROWS_PER_PIECE < getattr(hot, "rows", {}).get(value, 0):
+            many *= 2
+        groups[many].append(value)
+    return groups
+
+
+def _piece_count(column: Column, hot: Sequence, pieces: int) -> Column:
+    """Pieces of the row's key: 1 unless it is hot."""
+    out = F.lit(1)
+    for many, values in _by_pieces(hot, pieces).items():
+        out = F.when(is_hot(column, values), F.lit(many)).otherwise(out)
+    return out
 
 
 def is_hot(column: Column, hot: Sequence) -> Column:
@@ -54,54 +86,62 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: s
               hot: Sequence = (), pieces: int = PIECES) -> DataFrame:
     """Equi-join whose left side may have hot values in the first key.
 
-    Left rows of a hot key are spread over ``pieces`` by the input partition they come
-    from, which also spreads exact copies; right rows of a hot key are repeated once per
-    piece.  The right side must be small per key (a dimension or an aggregate).
+    Left rows of a hot key are spread over pieces, more for larger keys, by their content
+    and the input partition they come from, so that neither exact copies nor an input that
+    is already partitioned by the key stay together; right rows of a hot key are repeated
+    once per piece.  The right side must be small per key (a dimension or an aggregate).
     """
     keys = [on] if isinstance(on, str) else list(on)
     if not hot:
         return left.join(right, keys, how)
     lead = F.col(keys[0])
-    left = left.withColumn("_piece", F.when(
-        is_hot(lead, hot), F.pmod(F.spark_partition_id(), F.lit(pieces))).otherwise(F.lit(0)))
-    right = right.withColumn("_piece", F.explode(F.when(
-        is_hot(lead, hot), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))))
+    many = _piece_count(lead, hot, pieces)
+    spread = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in left.columns])
+    left = left.withColumn("_piece", F.pmod(spread, many).cast("int"))
+    right = right.withColumn("_piece", F.explode(F.sequence(F.lit(0), many - 1)))
     return left.join(right, [*keys, "_piece"], how).drop("_piece")
 
 
-def _split_points(df: DataFrame, key: str, order: Sequence[str], hot: Sequence,
-                  pieces: int) -> DataFrame:
-    """Per hot key, sampled values of the order columns at which to cut its rows."""
-    spark = df.sparkSession
-    hot_rows = df.filter(is_hot(F.col(key), hot)).select(key, *order)
-    total = hot_rows.count()
-    budget = 200 * pieces
-    fraction = min(1.0, budget / max(total, 1))
-    rows = (hot_rows if fraction >= 1.0 else hot_rows.sample(fraction, seed=13)).limit(4 * budget).collect()
-    groups = defaultdict(list)
-    for row in rows:
-        groups[row[0]].append(tuple(row[1:]))
-    cuts = []
-    for value, members in groups.items():
-        # Any cut values give right results; sorting only makes the pieces even.
-        members.sort(key=lambda m: tuple((x is not None, x) for x in m))
-        step = max(1, len(members) // pieces)
-        cuts.append((value, list(dict.fromkeys(members[step::step]))))
-    fields = {f.name: f for f in df.schema.fields}
-    schema = T.StructType([
-        T.StructField(key, fields[key].dataType),
-        T.StructField("_cuts", T.ArrayType(T.StructType([
-            T.StructField(c, fields[c].dataType) for c in order]))),
-    ])
-    return spark.createDataFrame(cuts, schema)
+def unfold(df: DataFrame, count: str = "_n") -> DataFrame:
+    """Every row as often as its ``count`` says, without that column.
+
+    Two steps keep the arrays behind it at the square root of the largest count.
+    """
+    step = F.ceil(F.sqrt(F.col(count))).cast("long")
+    firsts = F.sequence(F.lit(0).cast("long"), F.col(count) - 1, step)
+    blocks = df.filter(F.col(count) > 0).withColumn("_first", F.explode(firsts))
+    rest = F.least(step, F.col(count) - F.col("_first"))
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), rest))).drop(
+        "_first", "_copy", count)
+
+
+def _split_points(distinct: DataFrame, key: str, order: Sequence[str], hot: Sequence, pieces: int) -> DataFrame:
+    """Per hot key, values of the order columns at which to cut its distinct rows.
+
+    Each key is sampled by a hash of its rows, about SAMPLE_PER_PIECE for each of its own
+    pieces, so no key goes without cuts and a task that runs again finds the same ones.
+    """
+    rows = distinct.filter(is_hot(F.col(key), hot)).select(key, *order)
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    many = F.greatest(F.lit(pieces), F.ceil(F.col("_rows") / ROWS_PER_PIECE))
+    sizes = sizes.withColumns({"_many": many, "_upto": many * (SAMPLE_PER_PIECE * _SAMPLE_RANGE) / F.col("_rows")})
+    # One row per hot key.
+    sampled = rows.join(F.broadcast(sizes), F.col(key).eqNullSafe(F.col("_key"))).filter(
+        F.pmod(F.xxhash64(*order), F.lit(_SAMPLE_RANGE)) < F.col("_upto"))
+    position = F.struct(*[F.col(c).alias(c) for c in order])
+    found = sampled.groupBy(key).agg(F.sort_array(F.collect_set(position)).alias("_all"), F.first("_many").alias("_many"))
+    step = F.greatest(F.lit(1), F.floor(F.size("_all") / F.col("_many"))).cast("int")
+    return found.withColumn("_step", step).select(
+        key, F.filter("_all", lambda c, i: (i > 0) & (i % F.col("_step") == 0)).alias("_cuts"))
 
 
 def with_previous(df: DataFrame, key: str, order: Sequence[str], values: Sequence[str],
                   hot: Sequence = (), pieces: int = PIECES, also: Mapping[str, str] | None = None) -> DataFrame:
     """Every row with the ``values`` of the row before it under the same key.
 
-    Adds ``prev_<column>`` columns, ``has_prev`` and ``_n`` (number of identical rows a
-    row stands for).  ``order`` is completed with ``values`` so that ties are settled.
+    Adds ``prev_<column>`` columns, ``has_prev`` and ``_n``, the number of equal rows that a
+    row stands for: with or without hot keys, count by summing ``_n`` and list rows by
+    ``unfold``.  ``order`` is completed with ``values`` so that ties are settled.
     ``also`` maps a prefix to a condition and adds the values of the last row before that
     meets it, from the same shuffle and sort.
 
@@ -144,7 +184,8 @@ def with_previous(df: DataFrame, key: str, order: Sequence[str], values: Sequenc
         return df.withColumns(adds)
 
     folded = df.groupBy(*plain).agg(F.count(F.lit(1)).alias("_n"))
-    # Fewer than 2 * HOT_SHARE keys with ``pieces`` cuts each, built from a bounded sample.
+    # At most a cut per piece of a hot key: fewer than there are keys to be split times
+    # PIECES, plus a cut for every ROWS_PER_PIECE rows.
     cuts = F.broadcast(_split_points(df, key, order, hot, pieces).withColumnRenamed(key, "_cut_key"))
     position = F.struct(*[F.col(c).alias(c) for c in order])
     cut = (folded.join(cuts, F.col(key).eqNullSafe(F.col("_cut_key")), "left").drop("_cut_key")

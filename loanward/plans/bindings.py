@@ -17,7 +17,7 @@ from loanward.operators import anchors as an
 from loanward.operators import keys as ks
 from loanward.operators import profile as pf
 from loanward.operators.joins import joined
-from loanward.operators.skew import skew_join, with_previous
+from loanward.operators.skew import skew_join, unfold, with_previous
 from loanward.sources.tables import Tables
 
 KINDS: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -157,7 +157,8 @@ def k14(t: Tables) -> DataFrame:
 
 @kind("k15_monotonic_measure")
 def k15(t: Tables) -> DataFrame:
-    return _event_steps(t).filter("value > prev_value + 1.0D").select("event_id", "user_id", "prev_value", "value")
+    return unfold(_event_steps(t).filter("value > prev_value + 1.0D").select(
+        "event_id", "user_id", "prev_value", "value", "_n"))
 
 
 @kind("k16_sequence_gap")
@@ -166,7 +167,8 @@ def k16(t: Tables) -> DataFrame:
     steps = with_previous(rows, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderdate", "o_orderkey"],
                           t.hot("orders", "o_custkey"))
     gap = F.datediff("o_orderdate", "prev_o_orderdate")
-    return steps.withColumn("gap", gap).filter("gap > 365 OR gap < 7").select("o_orderkey", "o_custkey", "gap")
+    return unfold(steps.withColumn("gap", gap).filter("gap > 365 OR gap < 7").select(
+        "o_orderkey", "o_custkey", "gap", "_n"))
 
 
 @kind("k17_latest_snapshot")
@@ -255,7 +257,11 @@ def k26(t: Tables) -> DataFrame:
 def k27(t: Tables) -> DataFrame:
     """Nulls per column of the documents with their labels attached."""
     labels = t["labels"].groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    out = pf.null_profile(t["documents"].join(labels, "doc_id", "left"))
+    # Only whether a value is there goes through the join, not the text.
+    documents = t["documents"].select("doc_id", *[F.when(F.col(c).isNotNull(), F.lit(1)).alias(c)
+                                                  for c in t.columns("documents") if c != "doc_id"])
+    both = skew_join(documents, labels, "doc_id", "left", t.hot("documents", "doc_id"))
+    out = pf.null_profile(both)
     return out.withColumn("null_pct", F.round("null_pct", 6))
 
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,33 @@ class Plan:
         absent = [c for c in columns_read(rule) if c not in present]
         return f"column {absent[0]} not found" if absent else None
 
+    def unresolved(self, rules: list[Rule]) -> dict[int, str]:
+        """Reasons, by place, of rules whose expressions name what their relation lacks.
+
+        The analyser decides, once per relation; rule by rule only where it objects.
+        """
+        reasons: dict[int, str] = {}
+        places: dict[str, list[int]] = defaultdict(list)
+        for place, rule in enumerate(rules):
+            places[rule.relation].append(place)
+        for relation, own in places.items():
+            texts = {p: [t for t in (rules[p].predicate, rules[p].weight, rules[p].distinct) if t] for p in own}
+            if self._objection(relation, [t for p in own for t in texts[p]]):
+                for p in own:
+                    objection = self._objection(relation, texts[p])
+                    if objection:
+                        reasons[p] = objection
+        return reasons
+
+    def _objection(self, relation: str, expressions: list[str]) -> str | None:
+        try:
+            self.frame(relation).selectExpr(*expressions)
+        except AnalysisException as error:
+            if not (error.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+                raise
+            return f"column {error.getMessageParameters()['objectName'].strip('`')} not found"
+        return None
+
 
 def _amount(rule: Rule) -> str:
     """What a violating row adds to the count."""
@@ -158,14 +186,18 @@ def evaluate(rules: Iterable[Rule], tables: Tables, relations=RELATIONS) -> Data
     A rule whose table or column is absent gives SKIP with the reason and -1 violations.
     """
     plan = Plan(tables, relations)
-    ready, skipped = [], []
+    ready, left_out = [], []
     for rule in (r.at(tables.as_of) for r in rules):
         reason = plan.skip_reason(rule)
         if reason:
-            skipped.append((rule.id, rule.title, SKIP, -1, None, reason, rule.severity, rule.category,
-                            rule.variant, None, None))
+            left_out.append((rule, reason))
         else:
             ready.append(rule)
+    unresolved = plan.unresolved(ready)
+    left_out += [(ready[place], reason) for place, reason in unresolved.items()]
+    ready = [rule for place, rule in enumerate(ready) if place not in unresolved]
+    skipped = [(r.id, r.title, SKIP, -1, None, reason, r.severity, r.category, r.variant, None, None)
+               for r, reason in left_out]
     spark = tables.spark
     schema = ("rule_id string, title string, status string, violations long, tolerance double, details string, "
               "severity string, category string, variant string, matching long, base long")

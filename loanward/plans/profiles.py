@@ -15,7 +15,6 @@ from loanward.operators import keys as ks
 from loanward.operators import profile as pf
 from loanward.operators.skew import skew_join
 from loanward.plans.relations import RELATIONS
-from loanward.sources.lending_views import VIEWS
 from loanward.sources.tables import Tables
 
 PROFILES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -60,7 +59,8 @@ def income_by_state(t: Tables) -> DataFrame:
     apps = t["applications"]
     mean = apps.groupBy("address_state").agg(F.avg("annual_income").alias("avg_income"))
     median = pf.exact_median(apps, ["address_state"], "annual_income", "median_income")
-    return mean.join(median, "address_state", "left")
+    median = median.withColumnRenamed("address_state", "_state")  # the null state has a mean and a median too
+    return mean.join(median, F.col("address_state").eqNullSafe(F.col("_state")), "left").drop("_state")
 
 
 @profile("STAT-007")
@@ -89,8 +89,9 @@ def grade_shares(t: Tables) -> DataFrame:
 @profile("DQ-003")
 def declared_columns(t: Tables) -> DataFrame:
     """Every declared column of every table: whether it is present and how many values it holds."""
-    parts = [pf.declared_profile(t[n], VIEWS[n].columns).withColumn("table_name", F.lit(n)) for n in t if n in VIEWS]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [pf.declared_profile(t[n], t.declared[n]).withColumn("table_name", F.lit(n)) for n in t if n in t.declared]
+    return reduce(DataFrame.unionByName, parts) if parts else t.spark.createDataFrame(
+        [], "column_name string, present boolean, filled long, table_name string")
 
 
 @profile("DQ-004")

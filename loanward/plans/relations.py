@@ -19,7 +19,6 @@ from loanward.operators import profile as pf
 from loanward.operators.joins import fold, weighted_join
 from loanward.operators.skew import skew_join, with_previous
 from loanward.plans.rule import Relation
-from loanward.sources.lending_views import VIEWS
 from loanward.sources.tables import Tables
 
 RELATIONS: dict[str, Relation] = {}
@@ -336,8 +335,9 @@ def payment_snapshot(t: Tables) -> DataFrame:
 @relation("payment_before_snapshot", {P: ("loan_id", "snapshot_date"), L: ("loan_id", "snapshot_date")}, "payment_id")
 def payment_before_snapshot(t: Tables) -> DataFrame:
     """Payments with the balance of the snapshot before the one of the same date."""
-    loans = fold(loan_steps(t).select(
-        "loan_id", "snapshot_date", F.col("prev_current_principal_balance").alias("opening_balance")), "_m")
+    loans = loan_steps(t).groupBy(
+        "loan_id", "snapshot_date", F.col("prev_current_principal_balance").alias("opening_balance")).agg(
+        F.sum("_n").alias("_m"))
     paid = t.project(P, ["payment_id", "loan_id", "snapshot_date", "principal_paid"])
     return skew_join(paid, loans, ["loan_id", "snapshot_date"], "inner", t.hot(P, "loan_id")
                      ).withColumnRenamed("_m", "_n")
@@ -508,12 +508,13 @@ def null_rates(t: Tables) -> DataFrame:
     return out.withColumn("critical", F.expr(
         "column_name IN ('application_id', 'loan_id', 'customer_id', 'payment_id', 'credit_report_id', "
         "'tradeline_id', 'transaction_id') OR column_name IN ('application_date', 'decision_date', "
-        "'date_of_birth', 'snapshot_date', 'origination_date', 'first_payment_due_date', 'payment_due_date', "
+        "'date_of_birth', 'fico_score_at_application', 'snapshot_date', 'origination_date', 'first_payment_due_date', 'payment_due_date', "
         "'report_date')"))
 
 
 @relation("schema_differences", {}, "table_name", "column_name")
 def schema_differences(t: Tables) -> DataFrame:
     """Declared columns of the lending model against the columns present."""
-    parts = [pf.schema_gaps(t[n], list(VIEWS[n].columns), n) for n in t if n in VIEWS]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [pf.schema_gaps(t[n], t.declared[n], n) for n in t if n in t.declared]
+    return reduce(DataFrame.unionByName, parts) if parts else t.spark.createDataFrame(
+        [], "table_name string, column_name string, gap string")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
-from loanward.sources.lending_views import VIEWS
+from loanward.sources.schemas import MODEL
 from loanward.sources.tables import Tables
 
 PASS, FAIL, WARN, SKIP, INFO = "PASS", "FAIL", "WARN", "SKIP", "INFO"
@@ -145,7 +145,7 @@ class Pack:
 
 
 #: Column names of the lending model: words in a predicate that must exist to be read.
-MODEL_COLUMNS = frozenset(c for view in VIEWS.values() for c in view.columns)
+MODEL_COLUMNS = frozenset(c for columns in MODEL.values() for c in columns)
 _LITERAL = re.compile(r"'[^']*'")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 

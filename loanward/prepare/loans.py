@@ -71,7 +71,7 @@ def terminal_once(panel: DataFrame, hot: Sequence = ()) -> DataFrame:
                & (F.col("days_past_due") > 120))
     kept = steps.filter(~F.coalesce(repeated | emptied, F.lit(False)))
     # A folded copy stands for _n rows.
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*panel.columns)
+    return unfold(kept.select(*panel.columns, "_n"))
 
 
 def missed_payments(panel: DataFrame, hot: Sequence = (), rate: str = "original_interest_rate") -> DataFrame:

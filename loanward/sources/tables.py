@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping
-from functools import reduce
-
+from collections.abc import Iterable, Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanward.operators.skew import HOT_MIN_ROWS, hot_keys
+from loanward.sources.schemas import MODEL, load_declared
 
 #: The eight tables of the lending data model.
 LENDING_TABLES = (
@@ -27,7 +26,11 @@ COLUMN_ALIASES = {
         "original_term_months": "original_loan_term",
         "original_installment_amount": "scheduled_payment_amount",
     },
-    "credit_reports": {"inquiries_6mo_count": "inquiries_last_6mo_count"},
+    # Either name occurs alone; rules read both.
+    "credit_reports": {
+        "inquiries_6mo_count": "inquiries_last_6mo_count",
+        "inquiries_last_6mo_count": "inquiries_6mo_count",
+    },
 }
 
 DEFAULT_AS_OF = dt.date(2023, 12, 31)
@@ -37,16 +40,18 @@ class Tables(Mapping[str, DataFrame]):
     """Named lazy DataFrames plus what the plans need to know about them.
 
     ``hot(table, key)`` answers which key values are frequent enough to overload one
-    task.  The answer steers the plan only; results do not depend on it.
+    task.  The answer steers the plan only; results do not depend on it.  ``declared`` holds
+    the columns each table should have: those given, else those of the lending model.
     """
 
     def __init__(self, frames: Mapping[str, DataFrame], as_of: dt.date = DEFAULT_AS_OF,
-                 hot_min_rows: int = HOT_MIN_ROWS):
+                 hot_min_rows: int = HOT_MIN_ROWS, declared: Mapping[str, Sequence[str]] | None = None):
         self._frames = dict(frames)
         self.as_of = as_of
         self.hot_min_rows = hot_min_rows
+        self.declared = {**MODEL, **(declared or {})}
         self._hot: dict[tuple[str, str], list] = {}
-        self._rows: dict[str, int] | None = None
+        self._rows: dict[str, int] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         return self._frames[name]
@@ -69,22 +74,19 @@ class Tables(Mapping[str, DataFrame]):
         present = self.columns(name)
         return self._frames[name].select([c for c in dict.fromkeys(columns) if c in present])
 
-    def row_counts(self) -> dict[str, int]:
-        """Rows per table, counted once in one job; plain Parquet tables read footers only."""
-        if self._rows is None:
-            counts = [df.groupBy().agg(F.lit(n).alias("n"), F.count(F.lit(1)).alias("c"))
-                      for n, df in self._frames.items()]
-            self._rows = {r.n: r.c for r in reduce(DataFrame.unionAll, counts).collect()}
-        return self._rows
+    def row_count(self, name: str) -> int:
+        """Rows of one table, counted once; plain Parquet tables read footers only."""
+        if name not in self._rows:
+            self._rows[name] = self._frames[name].count()
+        return self._rows[name]
 
     def hot(self, name: str, key: str) -> list:
         if (name, key) not in self._hot:
-            self._hot[name, key] = hot_keys(
-                self._frames[name], key, self.hot_min_rows, self.row_counts()[name])
+            self._hot[name, key] = hot_keys(self._frames[name], key, self.hot_min_rows, self.row_count(name))
         return self._hot[name, key]
 
     def replace(self, **frames: DataFrame) -> Tables:
-        return Tables({**self._frames, **frames}, self.as_of, self.hot_min_rows)
+        return Tables({**self._frames, **frames}, self.as_of, self.hot_min_rows, self.declared)
 
 
 def typed_nulls(df: DataFrame, declared: Mapping[str, T.DataType] | None = None) -> DataFrame:
@@ -108,8 +110,11 @@ def add_aliases(df: DataFrame, name: str) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, directory: str, names: Iterable[str] = LENDING_TABLES,
-                as_of: dt.date = DEFAULT_AS_OF, **options) -> Tables:
-    """Read ``{directory}/{name}.parquet`` for every name; absent files are left out."""
+                as_of: dt.date = DEFAULT_AS_OF, schemas: str | None = None, **options) -> Tables:
+    """Read ``{directory}/{name}.parquet`` for every name; absent files are left out.
+
+    ``schemas`` is a folder of declared schemas (``{name}.csv``) that DQ-003 compares with.
+    """
     frames = {}
     for name in names:
         try:
@@ -119,6 +124,8 @@ def load_tables(spark: SparkSession, directory: str, names: Iterable[str] = LEND
                 raise
             continue
         frames[name] = add_aliases(typed_nulls(df), name)
+    if schemas:
+        options["declared"] = {n: [c.name for c in load_declared(spark, f"{schemas.rstrip('/')}/{n}.csv")] for n in frames}
     return Tables(frames, as_of, **options)
 
 
@@ -159,16 +166,18 @@ def write_month_partitioned(df: DataFrame, directory: str, name: str, date_colum
 def sample_tables(tables: Tables, fraction: float, seed: int = 7, key: str = "application_id") -> Tables:
     """A sample that keeps families together.
 
-    Tables with the key are sampled by its value, so parents and children agree without a
-    join.  Payments and tradelines follow their loan or report; those without a parent in
+    Tables with the key are sampled by the md5 of its value (twelve hex digits, so fractions
+    down to 1e-14 work), so parents and children agree without a join and other engines can
+    repeat the choice.  Payments and tradelines follow their loan or report; those without a parent in
     the full tables stay in, so that orphan rules keep their meaning.
     """
-    threshold = int(fraction * 10_000)
+    digits = 12
+    threshold = format(min(round(fraction * 16**digits), 16**digits - 1), f"0{digits}x")
     frames = {}
     for name, df in tables.items():
         if key in df.columns:
-            bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000))
-            frames[name] = df.filter(bucket < threshold)
+            mark = F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), 1, digits)
+            frames[name] = df.filter(mark < threshold) if fraction < 1 else df
         else:
             frames[name] = df
     loans, payments = frames.get("loan_tape"), frames.get("payments")
@@ -181,4 +190,4 @@ def sample_tables(tables: Tables, fraction: float, seed: int = 7, key: str = "ap
         dropped = tables["credit_reports"].select("credit_report_id").distinct().join(
             reports.select("credit_report_id").distinct(), "credit_report_id", "left_anti")
         frames["credit_tradelines"] = lines.join(dropped, "credit_report_id", "left_anti")
-    return Tables(frames, tables.as_of, tables.hot_min_rows)
+    return Tables(frames, tables.as_of, tables.hot_min_rows, tables.declared)

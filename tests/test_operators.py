@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from loanward.operators import keys as ks
 from loanward.operators import profile as pf
 from loanward.operators.joins import weighted_join
-from loanward.operators.skew import hot_keys, skew_join, with_previous
+from loanward.operators.skew import (
+    ROWS_PER_PIECE, HotKeys, _by_pieces, _split_points, hot_keys, skew_join, unfold, with_previous)
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +125,24 @@ def test_schema_gaps(spark):
     df = spark.createDataFrame([(1, 2)], "x int, z int")
     assert {(r.column_name, r.gap) for r in pf.schema_gaps(df, ["x", "y"], "t").collect()} == {
         ("y", "MISSING"), ("z", "EXTRA")}
+
+
+def test_every_hot_key_is_cut(spark):
+    """2,000 hot keys, each with its own cuts, give the plain window's answers."""
+    rows = spark.range(40_000).selectExpr("id % 2000 AS k", "id AS at", "id * 7 % 11 AS v")
+    hot = HotKeys({k: 20 for k in range(2000)})
+    cuts = _split_points(rows, "k", ["at"], hot, 4)
+    assert cuts.filter("size(_cuts) >= 2").count() == 2000
+    want = with_previous(rows, "k", ["at"], ["v"]).select("k", "at", "prev_v", "_n")
+    got = with_previous(rows, "k", ["at"], ["v"], hot, pieces=4).select("k", "at", "prev_v", "_n")
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_unfold_gives_every_copy(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('a', 1L), ('b', 0L), ('c', 10007L) AS t(x, _n)")
+    assert {r.x: r["count"] for r in unfold(rows).groupBy("x").count().collect()} == {"a": 1, "c": 10007}
+
+
+def test_larger_hot_keys_get_more_pieces():
+    groups = _by_pieces(HotKeys({"a": 10, "b": 100 * ROWS_PER_PIECE}), 64)
+    assert groups == {64: ["a"], 128: ["b"]}

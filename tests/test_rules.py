@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from loanward.plans.bindings import KINDS
 from loanward.plans.evaluate import evaluate, evaluate_one_by_one, offenders, violations
 from loanward.plans.packs import ALL_PACKS, CATALOGUE, FOUNDATION, NAMED, REDUCED, RUNNER
 from loanward.plans.rule import Base, Relation, Rule, Tolerance, at_most, band, below
@@ -102,6 +104,45 @@ def test_hot_keys_do_not_change_results(lending):
         assert plain == split
 
 
+def _copied(tables, spare=()):
+    """Every table with 0 to 3 further copies of its rows."""
+    frames = {}
+    for name, df in tables.items():
+        turn = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if kind not in spare]), F.lit(4))
+        frames[name] = df.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), turn))).drop("_t")
+    return frames
+
+
+def test_copies_under_hot_keys_do_not_change_rules(lending):
+    frames = {n: df.limit(400) for n, df in lending.items()}
+    copies = _copied({n: df.cache() for n, df in frames.items()})
+    plain, forced = Tables(copies), Tables(copies, hot_min_rows=3)
+    assert forced.hot("loan_tape", "loan_id")
+    for pack in (FOUNDATION, ALL_PACKS["runner_spec"]):
+        want = {(r.rule_id, r.variant): r.matching for r in evaluate(pack, plain).collect()}
+        assert want == {(r.rule_id, r.variant): r.matching for r in evaluate(pack, forced).collect()}
+
+
+def test_copies_under_hot_keys_do_not_change_rule_kinds(spark, small):
+    names = ("customer", "supplier", "orders", "lineitem", "events", "documents", "labels")
+    frames = {n: spark.read.parquet(f"{small}/{n}.parquet").limit(300) for n in names}
+    copies = _copied({n: df.cache() for n, df in frames.items()})
+    plain, forced = Tables(copies), Tables(copies, hot_min_rows=3)
+    assert forced.hot("orders", "o_custkey") and forced.hot("events", "user_id")
+    for name in ("k02_conditional_existence", "k03_joined_predicate", "k10_conditional_not_null", "k11_event_after_anchor",
+                 "k14_terminal_state", "k15_monotonic_measure", "k16_sequence_gap", "k17_latest_snapshot",
+                 "k22_cross_table_value", "k27_null_profile", "k30_amortization", "k32_flag_against_existence",
+                 "k34_age_at_event"):
+        want, got = (sorted(map(repr, KINDS[name](t).collect())) for t in (plain, forced))
+        assert want == got, name
+
+
+def test_an_unknown_column_skips_its_rule_only(numbers):
+    rules = [_rule(Tolerance()), _rule(Tolerance(), "no_such_thing > 5")]
+    found = sorted((r.status, r.details) for r in evaluate(rules, numbers).collect())
+    assert found == [("FAIL", "5 violations"), ("SKIP", "column no_such_thing not found")]
+
+
 def test_one_scan_per_table_for_row_rules(lending):
     rules = [r for r in NAMED if r.relation == "loan_tape"]
     plan = evaluate(rules, lending)._jdf.queryExecution().optimizedPlan().toString()

@@ -15,7 +15,7 @@ def test_absent_files_are_left_out(spark, lending, tmp_path):
     write_table(lending["applications"], str(tmp_path), "applications")
     tables = load_tables(spark, str(tmp_path), as_of=dt.date(2024, 6, 30))
     assert list(tables) == ["applications"] and tables.as_of == dt.date(2024, 6, 30)
-    assert tables.row_counts() == {"applications": 1500}
+    assert tables.row_count("applications") == 1500
     assert table_stats(tables).collect() == [("applications", 1500, len(lending["applications"].columns))]
 
 
