@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loanward.llm.bpe import tokenize
-from loanward.llm.chat import format_turns, read_back, with_extra
+from loanward.llm.chat import CLOSE, CONTROL, EXTRA, LEARNED, MIDDLE, OPEN, format_turns, read_back, with_extra
 from loanward.llm.common import Scratch, send_package
 from loanward.llm.html import extract
 from loanward.llm.jaccard import components
@@ -83,5 +84,99 @@ def queries() -> dict[str, Query]:
     return {query.__name__: _sent(query) for query in OPERATORS}
 
 
+#: Shingle sets, pairs by shared shingles, and components by a recursive walk: for small tables.
+_OP3 = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x = d.doc_id
+"""
+
+_OP5 = """
+SELECT p.page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN f.first < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first < p.page_id THEN f.first END AS refers_to
+FROM pages p LEFT JOIN (
+  SELECT html AS h, min(page_id) AS first FROM pages WHERE octet_length(encode(html)) >= 100 GROUP BY html) f ON f.h = p.html
+"""
+
+_OP6 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+
+def _op8() -> str:
+    """Each match of a control string adds a backslash, and a turn with one the number of its escapes."""
+    marks = " + ".join(f"len(regexp_extract_all(t, '{pattern}'))" for pattern in (
+        "".join(re.sub(r"([\[\]|/<>])", r"\\\1", x) for x in (c[0], "\x00", c[1:])).replace("\x00", "\\\\*") for c in CONTROL))
+    plain = "|".join(re.sub(r"([\[\]|/<>])", r"\\\1", c) for c in CONTROL)
+    frame = len(OPEN) + len(MIDDLE) + len(CLOSE)
+    return f"""
+WITH every AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT * FROM (VALUES {', '.join(f"({c}, {n}, '{r}', '{t}')" for c, n, r, t in EXTRA)}) x),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM every),
+measured AS (SELECT *, CASE WHEN regexp_matches(t, '{plain}') THEN {marks} ELSE 0 END AS m FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN r = '{LEARNED}' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (WHERE r = '{LEARNED}'), '')) AS loss_sha256,
+  CAST(sum({frame} + length(r) + length(t) + m + CASE WHEN m > 0 THEN 2 ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM measured GROUP BY conv_id
+"""
+
+
+_OP10 = """
+WITH words AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM words)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (
+    SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM words)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT a.doc_id, a.source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM words a LEFT JOIN lines l ON l.doc_id = a.doc_id LEFT JOIN covered c ON c.doc_id = a.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM judged GROUP BY source),
+prior AS (SELECT sum(f) / sum(n) AS m, var_pop(f / n) AS v FROM hosts),
+weights AS (SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1e6 END, 1), 1e6) AS k FROM prior)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (h.f + m * k) / (h.n + k) <= 0.5 AS kept
+FROM judged j JOIN hosts h ON h.source IS NOT DISTINCT FROM j.source, weights
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard": _OP3, "op5_warc": _OP5, "op6_vectors": _OP6, "op8_chat": _op8(), "op10_quality": _OP10}
