@@ -143,11 +143,11 @@ def search(embeddings: DataFrame, every: int = 50, k: int = TOP, size: int = BLO
         for batch in batches:
             for i in range(batch.num_rows):
                 dim = batch.column("dim")[i].as_py()
-                raw = batch.column("exact")[i].as_py()
-                if raw != last:
+                raw = batch.column("ids")[i].as_py(), batch.column("exact")[i].as_py()
+                if raw != last:  # a block's rows, one for each query block, mostly stand together
                     last = raw
-                    block = Approximation(np.frombuffer(raw, "<i8").reshape(-1, dim))
-                    ids = np.frombuffer(batch.column("ids")[i].as_py(), "<i8")
+                    ids = np.frombuffer(raw[0], "<i8")
+                    block = Approximation(np.frombuffer(raw[1], "<i8").reshape(-1, dim))
                 ask = np.frombuffer(batch.column("query_exact")[i].as_py(), "<i8").reshape(-1, dim)
                 names = np.frombuffer(batch.column("query_ids")[i].as_py(), "<i8")
                 found = list(top_of_block(ask, names, block, ids, k))
