@@ -122,6 +122,8 @@ class Pieces:
     def score(self, words: list[str], chance: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
         out = np.zeros((len(words), chance.shape[1]))
+        if not chance.shape[1]:
+            return out
         for places, length in self.groups(words):
             alpha, scale = self.forward(self.found([words[i] for i in places], length), chance)
             out[places] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1]
