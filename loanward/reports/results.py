@@ -16,6 +16,14 @@ from loanward.sources.tables import Tables
 SIGN_OFF_SHARES = {"CRITICAL": 0.0, "HIGH": 0.01, "MEDIUM": 0.05}
 
 
+def settled(results: DataFrame) -> DataFrame:
+    """The result rows, evaluated once and kept: one row per rule, so they fit the driver.
+
+    Reports, gate and exit code on them scan no table again.
+    """
+    return results.sparkSession.createDataFrame(results.collect(), results.schema)
+
+
 def foundation_report(results: DataFrame) -> DataFrame:
     """Seven columns with tolerance."""
     return results.select(
