@@ -45,10 +45,14 @@ INLINE = frozenset((
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 #: Words in class, id or role that mark what is not the article.
 _MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter"
+    r"(?:^|\s|(?<!no)(?<!has)(?<!with)[_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter"
     r"|subscribe|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|toolbar|footer|comments?|comment-?list|disqus"
     r"|respond|reply|replies|related|recommend\w*|share|sharing|social|widget|skip|search|login|signup|pagination|pager"
     r"|masthead|contentinfo|complementary)(?:$|[\s_-])", re.I)
+#: The same for an article element, which otherwise is never passed over.
+_REMARK = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|respond|related|promo\w*|sponsor\w*|adv\w*)(?:$|[\s_-])", re.I)
+#: Page headers by class, outside the article.
+_PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[_-]?)?header(?:$|\s)", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|</[^>]*(?:>|$)", re.S)
@@ -85,8 +89,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 while skipping.pop() != name:
                     pass
             elif not closing and name not in VOID and not rest.endswith("/"):
-                if name in ("article", "main") and skipping[0] not in ("article", "main") and name not in skipping:
-                    # An unclosed menu or header doesn't swallow the article.
+                if name == "body" or name in ("article", "main") and skipping[0] in ("nav", "header", "menu", "form"):
+                    # An unclosed head, menu or header doesn't swallow the article.
                     skipping.clear()
                 else:
                     skipping.append(name)
@@ -98,9 +102,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 continue
         if not closing:
             drop = name in DROPPED or (name in OUTER and not label)
-            if not drop and rest and name not in ("body", "html", "article", "main"):
+            if not drop and rest and name not in ("body", "html"):
                 marks = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(rest))
-                drop = bool(marks and _MARKED.search(marks)) or bool(_HIDDEN.search(rest))
+                if name in ("article", "main"):
+                    drop = bool(_REMARK.search(marks))
+                else:
+                    drop = bool(_MARKED.search(marks) or _HIDDEN.search(rest) or not label and _PAGE_HEADER.search(marks))
             if name in RAW:
                 place = _raw_end(page, place, name)
             if drop:

@@ -38,6 +38,10 @@ CASES = [
     ("<div hidden>no</div><p>yes</p><P CLASS=x>Two</P>", "yes\nTwo"),
     ("<article><ul><li>a</li><li>b</li></ul><table><tr><td>c</td><td>d</td></tr></table></article>", "a\nb\nc\nd"),
     ("<p>a<em>b</em>c <a href=x>link</a>.</p>", "abc link."),
+    ("<article><p>t</p></article><section id=comments><article><p>first</p></article></section>", "t"),
+    ("<article><p>t</p><article class=comment><p>no</p></article></article>", "t"),
+    ("<div class='page has-sidebar'><p>t</p><div class=site-header>no</div></div>", "t"),
+    ("<head><title>x</title><body><p>t", "t"),
     ("<div class=sidebar><p>s</p></div><div class='downloads shadow'><p>t</p></div>", "t"),
 ]
 
