@@ -33,3 +33,9 @@ def at_latest(df: DataFrame, column: str) -> DataFrame:
     The maximum is a scalar subquery, so it filters the scan and prunes partitions.
     """
     return over({"rows": df}, f"SELECT * FROM {{rows}} WHERE `{column}` = (SELECT max(`{column}`) FROM {{rows}})")
+
+
+def in_latest_month(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose date lies in the month of the latest one; the bound on the plain column reaches the scan."""
+    return over({"rows": df}, f"SELECT * FROM {{rows}} WHERE `{column}` >= "
+                              f"(SELECT date_trunc('MONTH', max(`{column}`)) FROM {{rows}})")

@@ -174,9 +174,9 @@ def k16(t: Tables) -> DataFrame:
 @kind("k17_latest_snapshot")
 def k17(t: Tables) -> DataFrame:
     """Orders of the newest month with the order count of their customer."""
-    orders = t["orders"].withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
     counts = ks.key_counts(t["orders"], "o_custkey", "order_count")
-    newest = an.at_latest(orders, "month").select("o_orderkey", "o_custkey", "month")
+    newest = an.in_latest_month(t["orders"], "o_orderdate").select(
+        "o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
     return skew_join(newest, counts, "o_custkey", "left", t.hot("orders", "o_custkey"))
 
 
