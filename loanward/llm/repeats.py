@@ -132,8 +132,10 @@ def common(a: bytes, b: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
-def interval_spans(right: list[bytes], left: list[bytes], size: int) -> list[list[tuple[int, int]]]:
-    """Bytes around each suffix's start that lie in repeats: (from, to), relative to it.
+def interval_spans(right: list[bytes], left: list[bytes], size: int) -> list[tuple[int, int] | None]:
+    """Bytes around each suffix's start that lie in repeats through it: (from, to), relative to it.
+
+    All repeats through a suffix's gram overlap there, so they cover one stretch.
 
     ``right`` are the suffixes in sorted order, ``left`` what stands before them, backwards. A stack holds, for each
     open interval of the common-prefix tree, its prefix length and its members by rank of their left contexts. When
@@ -146,8 +148,8 @@ def interval_spans(right: list[bytes], left: list[bytes], size: int) -> list[lis
     rank = [0] * many
     for r, i in enumerate(by_left):
         rank[i] = r
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(many)]
-    reach = [-1] * many  # furthest left extension so far; prefixes only get shorter
+    longest = [0] * many  # prefix of the first repeat found; later ones only get shorter
+    reach = [-1] * many  # furthest left extension
 
     def join(a: list[int], b: list[int], prefix: int) -> list[int]:
         if len(a) < len(b):
@@ -160,9 +162,8 @@ def interval_spans(right: list[bytes], left: list[bytes], size: int) -> list[lis
                     extension = common(left[i], left[j])
                     if prefix + extension >= size:
                         for x in (i, j):
-                            if extension > reach[x]:
-                                reach[x] = extension
-                                spans[x].append((-extension, prefix))
+                            longest[x] = max(longest[x], prefix)
+                            reach[x] = max(reach[x], extension)
             a.insert(at, r)
         return a
 
@@ -174,21 +175,21 @@ def interval_spans(right: list[bytes], left: list[bytes], size: int) -> list[lis
             length, before = stack.pop()
             members = join(before, members, length)
         stack.append((prefix, members))
-    return spans
+    return [(-reach[i], longest[i]) if reach[i] >= 0 else None for i in range(many)]
 
 
 def _text_key() -> Column:
     return F.unhex(F.md5(F.col("text")))
 
 
-_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-_CLASS = "gram long, context long, spans array<struct<a: int, b: int>>"
+_CLASS = "gram long, context long, a int, b int"
 
 
-def _classes(keys: list[tuple[int, int]], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-         pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], _SPANS)], ["gram", "context", "spans"])
+def _classes(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32()
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)],
+                                      ["gram", "context", "a", "b"])
 
 
 def _scan(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -196,27 +197,24 @@ def _scan(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, group = None, []
 
-        def close(keys: list, spans: list) -> None:
+        def close() -> Iterator[tuple[int, int, int, int]]:
             if len(group) > 1:
                 found = interval_spans([g[1] for g in group], [g[2] for g in group], size)
                 for (context, _, _), own in zip(group, found, strict=True):
                     if own:
-                        keys.append((gram, context))
-                        spans.append(own)
+                        yield gram, context, *own
 
         for batch in batches:
-            keys, spans = [], []
+            out: list[tuple[int, int, int, int]] = []
             for g, context, right, left in zip(*(batch.column(c).to_pylist() for c in (
                     "gram", "context", "right", "left")), strict=True):
                 if g != gram:
-                    close(keys, spans)
+                    out += close()
                     gram, group = g, []
                 if not group or group[-1][0] != context:  # a repeated row's context comes as often
                     group.append((context, right, left))
-            yield _classes(keys, spans)
-        keys, spans = [], []
-        close(keys, spans)
-        yield _classes(keys, spans)
+            yield _classes(out)
+        yield _classes(list(close()))
     return run
 
 
@@ -282,7 +280,8 @@ def _crowded(contexts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     twice = each.groupBy("window").count().where("count > 1").select("window")
     single = each.join(twice, "window").select(
         "gram", "context", (-F.col("offset")).alias("a"), (F.lit(size) - F.col("offset")).alias("b"))
-    return agreed.unionByName(single)
+    # All windows of a context hold its gram, so together they are one stretch.
+    return agreed.unionByName(single).groupBy("gram", "context").agg(F.min("a").alias("a"), F.max("b").alias("b"))
 
 
 def occurrences(documents: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
@@ -346,8 +345,7 @@ def occurrences(documents: DataFrame, size: int = SIZE) -> tuple[DataFrame, Data
     contexts = scratch.put("contexts", contexts)
     sorted_suffixes = contexts.where(F.col("contexts") <= CROWD).repartition("gram").sortWithinPartitions(
         "gram", "right", "left")
-    spans = sorted_suffixes.mapInArrow(_scan(size), _CLASS).select(
-        "gram", "context", F.explode("spans").alias("s")).select("gram", "context", "s.*")
+    spans = sorted_suffixes.mapInArrow(_scan(size), _CLASS)
     crowd = contexts.where(F.col("contexts") > CROWD)
     if not crowd.isEmpty():
         crowd = scratch.put("crowd", crowd.dropDuplicates(["gram", "context"]))
@@ -393,7 +391,7 @@ def marked(documents: DataFrame, size: int = SIZE) -> DataFrame:
         copies.select("text_key", F.struct(F.lit(0).cast("long").alias("a"), F.lit((1 << 62)).alias("b")).alias("s"),
                       F.lit(True).alias("copied")))
     marks = scratch.put("marks", marks.groupBy(F.col("text_key").alias("key")).agg(
-        F.when(F.max("copied"), F.array(F.max(F.when(F.col("copied"), F.col("s"))))).otherwise(F.array_distinct(F.collect_list("s"))).alias("spans")))
+        F.when(F.max("copied"), F.array(F.max(F.when(F.col("copied"), F.col("s"))))).otherwise(F.collect_list("s")).alias("spans")))
     some = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
                             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
