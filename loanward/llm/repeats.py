@@ -277,8 +277,9 @@ def _crowded(contexts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
 
     each = scratch.put("windows", contexts.join(mixed, ["gram", "context"]).mapInArrow(
         windows, "gram long, context long, offset int, window long"))
-    twice = each.groupBy("window").count().where("count > 1").select("window")
-    single = each.join(twice, "window").select(
+    # With the offset, for one place may be seen from two grams.
+    twice = each.groupBy("offset", "window").count().where("count > 1").select("offset", "window")
+    single = each.join(twice, ["offset", "window"]).select(
         "gram", "context", (-F.col("offset")).alias("a"), (F.lit(size) - F.col("offset")).alias("b"))
     # All windows of a context hold its gram, so together they are one stretch.
     return agreed.unionByName(single).groupBy("gram", "context").agg(F.min("a").alias("a"), F.max("b").alias("b"))
