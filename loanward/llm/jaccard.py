@@ -24,12 +24,13 @@ from loanward.llm.components import stars
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Min-hashes by which leaders are chosen. More make fewer groups of the same cluster, no other result.
-HASHES = 3
+#: Min-hashes by which leaders are chosen, and how many must agree. They decide how much is left to the matrix, not
+#: the result.
+HASHES, AGREE = 5, 2
 #: One document in this many is counted for the token order, which decides speed, not results.
 ORDER_SAMPLE = 16
 #: Sampled documents that make a token frequent, and most tokens so ranked (8 bytes each, broadcast).
-FREQUENT, RANKED = 6, 1_000_000
+FREQUENT, RANKED = 3, 1_000_000
 #: Node keys up to this many are broadcast to fetch texts; beyond, texts are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 _BLOCK = 1 << 20
@@ -120,14 +121,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(both) - common)
 
 
-def prefix_sizes(n: int) -> tuple[int, int]:
-    """Tokens of a set of n by which it is found as the smaller, and as the larger, of a linked pair.
+def prefix_size(n: int) -> int:
+    """Tokens of a set of n by which it is found.
 
-    The overlap of a linked pair is at least PERCENT/100 of the larger set and 2 PERCENT/(100 + PERCENT) of the
-    smaller one; sets that share o tokens share one among the first n - o + 1 of each in any common order.
+    The overlap of a linked pair is at least PERCENT/100 of either set, and sets that share o tokens share one among
+    the first n - o + 1 of each in any common order.
     """
-    smaller = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
-    return smaller, n - -(-PERCENT * n // 100) + 1
+    return n - -(-PERCENT * n // 100) + 1
 
 
 class Order:
@@ -180,7 +180,7 @@ def _signatures(rows: DataFrame, order: Order) -> DataFrame:
                 sizes.append(len(tokens))
                 keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 least.append([int(_mix(tokens ^ s).min().view(np.int64)) for s in salts] if len(tokens) else [])
-                prefixes.append(sent.value.first(tokens, prefix_sizes(len(tokens))[1]).view(np.int64)
+                prefixes.append(sent.value.first(tokens, prefix_size(len(tokens))).view(np.int64)
                                 if len(tokens) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()),
@@ -219,7 +219,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, scratch: Scrat
                 keep.append(linked(shingler().shingles(batch.column("text_u")[i].as_py()), held))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep))
 
-    return scratch.put(f"{label}-links", both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"))
+    links = scratch.put(f"{label}-links", both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long"))
+    scratch.drop(f"{label}-keys")
+    scratch.drop(f"{label}-texts")
+    return links
 
 
 def _grouped(nodes: DataFrame, forest: DataFrame) -> DataFrame:
@@ -228,84 +231,64 @@ def _grouped(nodes: DataFrame, forest: DataFrame) -> DataFrame:
         .select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token stands in more than one group.
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token: pairs of nodes of different groups, and how many tokens of the batch they share.
 
-    Rows of the last token wait until its next group or token comes; while only one group has come, its rows
-    are held as Arrow slices.
+    Rows of the last token wait for the next batch. Only sets within the size bound meet.
     """
-    waiting: list[pa.RecordBatch] = []
-    token = comp = None
-    mixed = False
+    rest: pa.Table | None = None
     for batch in batches:
-        tokens, comps = batch.column("token").to_numpy(), batch.column("comp").to_numpy()
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        tokens = table.column("token").to_numpy()
         if not len(tokens):
             continue
-        edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
-        low = np.minimum.reduceat(comps, edges[:-1])
-        high = np.maximum.reduceat(comps, edges[:-1])
-        many = low < high
-        if token == tokens[0]:
-            if mixed or comp != low[0] or many[0]:
-                yield from waiting
-                waiting, many[0], mixed = [], True, True
-        else:
-            waiting, mixed = [], False
-        mask = np.repeat(many, np.diff(edges))
-        last = slice(int(edges[-2]), len(tokens))
-        continues = len(edges) > 2 or token != tokens[0]
-        if continues:
-            token, comp, mixed = tokens[-1], low[-1], bool(many[-1])
-        yield batch.filter(pa.array(mask))
-        if not mixed:
-            waiting = [*([] if continues else waiting), batch.slice(last.start, last.stop - last.start)]
-
-
-def _opened(first: bool):
-    """Candidate pairs across groups from rows sorted by token; ``first``: one pair for two groups and a token."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            tokens = table.column("token").to_numpy()
-            if not len(tokens):
-                continue
-            cut = int(np.searchsorted(tokens, tokens[-1]))
-            rest = table.slice(cut)
-            yield from _pairs(table.slice(0, cut), first)
-        if rest is not None:
-            yield from _pairs(rest, first)
-    return run
-
-
-def _pairs(table: pa.Table, first: bool) -> Iterator[pa.RecordBatch]:
-    token, comp, node, size, index = (table.column(c).to_numpy() for c in ("token", "comp", "node", "n", "index"))
-    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, int)
-    out_u, out_v = [], []
-    for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        cut = int(np.searchsorted(tokens, tokens[-1]))
+        rest = table.slice(cut)
+        if cut:
+            yield from _met(table.slice(0, cut))
+    if rest is not None:
+        yield from _met(rest)
+
+
+def _met(table: pa.Table, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    token, comp, node, size = (table.column(c).to_numpy() for c in ("token", "comp", "node", "n"))
+    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    mixed = np.minimum.reduceat(comp, edges[:-1]) < np.maximum.reduceat(comp, edges[:-1])
+    found: list[np.ndarray] = []
+    held = 0
+    for start, end in zip(edges[:-1][mixed].tolist(), edges[1:][mixed].tolist(), strict=True):
         order = start + size[start:end].argsort(kind="stable")
-        n, c, d, small = size[order], comp[order], node[order], index[order]
-        for j in range(1, len(order)):
-            # Smaller or equal sets, found by their own prefix, within the size bound.
-            low = int(np.searchsorted(n, -(-PERCENT * n[j] // 100)))
-            at = low + np.flatnonzero(small[low:j] & (c[low:j] != c[j]))
-            if first and len(at):
-                at = at[np.unique(c[at], return_index=True)[1]]
-            out_u.append(np.maximum(d[at], d[j]))
-            out_v.append(np.minimum(d[at], d[j]))
-        # Of equal sizes either may be the smaller.
-        ties = np.flatnonzero(n[1:] == n[:-1])
-        for j in np.unique(ties).tolist():
-            high = int(np.searchsorted(n, n[j], side="right"))
-            at = j + 1 + np.flatnonzero((c[j + 1:high] != c[j]) & small[j + 1:high])
-            out_u.append(np.maximum(d[at], d[j]))
-            out_v.append(np.minimum(d[at], d[j]))
-    if out_u:
-        u, v = np.concatenate(out_u), np.concatenate(out_v)
-        pairs = np.unique(np.stack([u, v]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+        n, c, d = size[order], comp[order], node[order]
+        for k in range(1, len(order)):
+            low = int(np.searchsorted(n, -(-PERCENT * n[k] // 100)))
+            at = low + np.flatnonzero(c[low:k] != c[k])
+            if len(at):
+                swap = d[at] > d[k]
+                found.append(np.stack([np.where(swap, d[at], d[k]), np.where(swap, d[k], d[at]),
+                                       np.where(swap, n[at], n[k]), np.where(swap, n[k], n[at])]))
+                held += len(at)
+        if held > most:
+            yield _counted(found)
+            found, held = [], 0
+    if found:
+        yield _counted(found)
+
+
+def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs, shared = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in pairs), pa.array(shared)], ["u", "v", "nu", "nv", "shared"])
+
+
+def _can_link(nu: Column, nv: Column, shared: Column) -> Column:
+    """Whether sets that share so many tokens of their prefixes can overlap enough.
+
+    Up to the earlier of the two prefix ends, all common tokens are counted; behind it the set whose prefix ends
+    there has no more than its other tokens.
+    """
+    rest = F.greatest(*[n - (n - F.ceil(PERCENT * n / 100) + 1) for n in (nu, nv)])
+    return shared + rest >= F.ceil(PERCENT * (nu + nv) / (100 + PERCENT))
 
 
 def components(documents: DataFrame) -> DataFrame:
@@ -325,27 +308,33 @@ def components(documents: DataFrame) -> DataFrame:
         F.min("row").alias("node"), F.min_by(F.struct("doc_id", "text_key"), "row").alias("one"),
         F.min_by("least", "row").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"]
         .alias("least_id")).select("set_key", "node", "one.doc_id", "one.text_key", "least", "least_id"))
-    # Leaders: the first node of each min-hash.
+    # Leaders: the first node of each min-hash; pairs that agree in one alone are mostly chance.
     hashed = nodes.select("node", F.posexplode("least").alias("which", "value"))
     leaders = hashed.groupBy("which", "value").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
-    close = hashed.join(leaders.where("n > 1"), ["which", "value"]).where("node <> leader").select(
-        F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
-    close = scratch.put("close", close)
+    close = hashed.join(leaders.where("n > 1"), ["which", "value"]).where("node <> leader").groupBy(
+        F.col("node").alias("u"), F.col("leader").alias("v")).agg(F.count(F.lit(1)).alias("agree"))
+    close = scratch.put("close", close.where(F.col("agree") >= AGREE).select("u", "v"))
     links = verified(close, nodes, rows, scratch, "leaders")
     forest = stars(links, scratch, "groups")
-    # The matrix: tokens of each node's prefix with its group, kept where two groups meet.
+    # The matrix: tokens of each node's prefix with its group. Groups meet where a token stands in several.
     cells = signed.select(F.col("row").alias("node"), "n", "prefix").join(_grouped(nodes, forest), "node").select(
-        "n", "comp", "node", F.posexplode("prefix").alias("at", "token"))
-    smaller = F.col("n") - F.ceil(F.lit(2 * PERCENT) * F.col("n") / (100 + PERCENT)) + 1
-    cells = cells.select("token", "comp", "node", "n", (F.col("at") < smaller).alias("index"))
-    shape = "token long, comp long, node long, n long, index boolean"
-    shared = scratch.put("shared", cells.repartition("token").sortWithinPartitions("token")
-                         .mapInArrow(_shared_tokens, shape))
-    for turn in range(2):  # one pair for two groups first, then whatever still lies between groups
-        pairs = shared.drop("comp").join(_grouped(nodes, forest), "node").select(
-            "token", "comp", "node", "n", "index").repartition("token").sortWithinPartitions("token")
-        pairs = scratch.put(f"pairs-{turn}", pairs.mapInArrow(_opened(turn == 0), "u long, v long").distinct())
-        more = verified(pairs, nodes, rows, scratch, f"open-{turn}")
+        F.explode("prefix").alias("token"), "comp", "node", "n")
+    met = cells.repartition("token").sortWithinPartitions("token").mapInArrow(
+        _meetings, "u long, v long, nu long, nv long, shared long")
+    met = met.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
+    candidates = scratch.put("candidates", met.where(_can_link(F.col("nu"), F.col("nv"), F.col("shared"))).select(
+        "u", "v", "shared"))
+    for turn in range(2):  # for two groups the most promising pair first, then what still lies between groups
+        side = _grouped(nodes, forest)
+        open_pairs = (candidates.join(side.withColumnsRenamed({"node": "u", "comp": "cu"}), "u")
+                      .join(side.withColumnsRenamed({"node": "v", "comp": "cv"}), "v").where("cu <> cv"))
+        if turn == 0:
+            open_pairs = open_pairs.groupBy(F.least("cu", "cv"), F.greatest("cu", "cv")).agg(
+                F.max_by(F.struct("u", "v"), F.struct("shared", "u", "v")).alias("pair")).select("pair.*")
+        else:
+            open_pairs = open_pairs.select("u", "v").join(tried, ["u", "v"], "left_anti")
+        tried = scratch.put(f"open-{turn}", open_pairs.select("u", "v"))
+        more = verified(tried, nodes, rows, scratch, f"open-{turn}-checked")
         links = scratch.put(f"links-{turn}", links.unionByName(more).distinct())
         forest = stars(links, scratch, f"merged-{turn}")
     group = nodes.select("set_key", "node", "least_id").join(_grouped(nodes, forest), "node")
