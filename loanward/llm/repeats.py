@@ -28,8 +28,8 @@ from loanward.llm.common import Scratch, slices
 SIZE = 400
 #: Bytes of the gram that anchors it.
 SEED = 64
-#: Different contexts of a gram up to which one task sorts them.
-CROWD = 4000
+#: Different contexts of a gram up to which one task sorts them: 736 bytes each, so 30 MB.
+CROWD = 40_000
 #: Offsets of a window's anchor that are hashed together first, for crowded grams.
 RANGE = 21
 #: Texts up to this many are broadcast to their documents; beyond, documents are joined by a shuffle.
