@@ -57,9 +57,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that lie in a long string which stands more than once."""
+    """All documents, without what stands more than once: strings of op1's size, and passages of over 50 words."""
     send_package(spark)
-    clean = without_repeats(docs)
+    clean = without_repeats(docs, words=True)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(

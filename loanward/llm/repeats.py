@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanward.llm.common import Scratch, slices
+from loanward.llm.jaccard import shingler
 
 #: Bytes of a string that counts as repeated.
 SIZE = 400
@@ -30,6 +31,10 @@ SIZE = 400
 SEED = 64
 #: Different contexts of a gram up to which one task sorts them: 736 bytes each, so 30 MB.
 CROWD = 40_000
+#: A corpus also loses passages of more words than this that stand more than once, however few bytes they have.
+WORDS = 50
+#: Words of the gram that anchors a passage.
+WORD_SEED = 8
 #: Offsets of a window's anchor that are hashed together first, for crowded grams.
 RANGE = 21
 #: Texts up to this many are broadcast to their documents; beyond, documents are joined by a shuffle.
@@ -362,6 +367,75 @@ def occurrences(documents: DataFrame, size: int = SIZE) -> tuple[DataFrame, Data
     return texts.where("copies > 1").select("text_key", "copies"), hit.unionByName(whole)
 
 
+def passage_anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of each passage of WORDS + 1 words, in order: the place of its anchor and the hash of the gram there.
+
+    The anchor is the least hashed WORD_SEED-word gram, so equal passages have equal anchors.
+    """
+    words = shingler().words(data)
+    many = len(words) - WORDS
+    if many <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = np.zeros(len(words) - WORD_SEED + 1, dtype=np.uint64)
+    for k in range(WORD_SEED):
+        grams += words[k:k + len(grams)] * _U(pow(_B, k, 1 << 64))
+    grams, window = _mix(grams), WORDS + 2 - WORD_SEED
+    places = np.concatenate([at + least_places(grams[at:min(at + BLOCK, many) + window - 1], window)
+                             for at in range(0, many, BLOCK)])
+    return places, grams[places].view(np.int64)
+
+
+def passages(documents: DataFrame) -> DataFrame:
+    """text_key, a, b: bytes a..b of the text are a passage of WORDS + 1 words that stands more than once.
+
+    Words are what stands between ASCII spaces; which spaces, and how many, makes no difference. Only passages whose
+    anchor's gram stands twice are written out, and their digests (128 bits) counted. Rows with equal text repeat
+    each other.
+    """
+    scratch = Scratch(documents.sparkSession, "passages")
+    rows = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(
+        F.octet_length("text") > 2 * WORDS).withColumn("text_key", _text_key())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            grams = []
+            for text in batch.column("text").to_pylist():
+                place, gram = passage_anchors(text.encode())
+                grams.append(gram[np.concatenate([[True], place[1:] != place[:-1]])] if len(gram) else gram)
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(grams, pa.list_(pa.int64()))],
+                                             ["text_key", "grams"])
+
+    anchored = scratch.put("anchored", rows.select("text_key", "text").mapInArrow(
+        find, "text_key binary, grams array<long>").select("text_key", F.explode("grams").alias("gram")))
+    shared = scratch.put("shared", anchored.groupBy("gram").count().where("count > 1").select("gram"))
+    some = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    wanted = scratch.put("wanted", anchored.join(some, "gram").distinct().groupBy(F.col("text_key").alias("key")).agg(
+        F.collect_list("gram").alias("grams")))
+    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = shingler().space
+        for batch in slices(batches, "text", 1 << 20):
+            for text, key, grams in zip(*(batch.column(c).to_pylist() for c in ("text", "text_key", "grams")), strict=True):
+                data = text.encode()
+                gap = np.concatenate([[True], space[np.frombuffer(data, np.uint8)], [True]])
+                starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+                words = data.split()
+                at = np.flatnonzero(np.isin(passage_anchors(data)[1], np.array(grams, dtype=np.int64)))
+                for low in range(0, len(at), 1 << 16):
+                    own = at[low:low + (1 << 16)]
+                    digests = [hashlib.blake2b(b" ".join(words[i:i + WORDS + 1]), digest_size=16).digest() for i in own.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key] * len(own), pa.binary()), pa.array(starts[own]), pa.array(ends[own + WORDS]),
+                         pa.array(digests, pa.binary())], ["text_key", "a", "b", "digest"])
+
+    each = scratch.put("each", rows.join(some, F.col("text_key") == F.col("key")).select(
+        "text_key", "text", "grams").mapInArrow(cut, "text_key binary, a long, b long, digest binary"))
+    twice = scratch.put("twice", each.groupBy("digest").count().where("count > 1").select("digest"))
+    some = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    return each.join(some, "digest").select("text_key", "a", "b").distinct()
+
+
 def merged(spans: list[dict] | None, n_bytes: int) -> list[tuple[int, int]]:
     """Overlapping and touching spans put together, in order."""
     out: list[list[int]] = []
@@ -381,12 +455,16 @@ def remaining(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def marked(documents: DataFrame, size: int = SIZE) -> DataFrame:
+def marked(documents: DataFrame, size: int = SIZE, words: bool = False) -> DataFrame:
     """``row`` (a struct of all columns), ``text`` (null: empty) and ``spans``: bytes of the text that repeat.
 
-    A text that stands in several rows is one span if it has ``size`` bytes. Shorter texts have none.
+    A text that stands in several rows is one span if it has ``size`` bytes. Shorter texts have none, but for the
+    passages of over WORDS words that are marked too with ``words``.
     """
     copies, hit = occurrences(documents, size)
+    hit = hit.select("text_key", "a", "b")
+    if words:
+        hit = hit.unionByName(passages(documents))
     scratch = Scratch(documents.sparkSession, "marks")
     marks = hit.select("text_key", F.struct("a", "b").alias("s"), F.lit(False).alias("copied")).unionByName(
         copies.select("text_key", F.struct(F.lit(0).cast("long").alias("a"), F.lit((1 << 62)).alias("b")).alias("s"),
@@ -426,10 +504,10 @@ def removal(documents: DataFrame, size: int = SIZE) -> DataFrame:
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(documents: DataFrame, size: int = SIZE) -> DataFrame:
+def without_repeats(documents: DataFrame, size: int = SIZE, words: bool = False) -> DataFrame:
     """The rows with the repeated bytes taken out of ``text``, in place; a cut character goes as a whole.
 
-    A null text stays null.
+    With ``words`` also without repeated passages of over WORDS words. A null text stays null.
     """
     name = next(c for c in documents.columns if c.lower() == "text")
     names, schema = documents.columns, documents.schema
@@ -445,4 +523,4 @@ def without_repeats(documents: DataFrame, size: int = SIZE) -> DataFrame:
             columns[place] = pa.compute.if_else(columns[place].is_null(), columns[place], pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return marked(documents, size).mapInArrow(run, schema)
+    return marked(documents, size, words).mapInArrow(run, schema)

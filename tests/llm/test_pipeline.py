@@ -58,3 +58,14 @@ def test_whole_run(spark, small):
     ids = {r.doc_id for r in rows}
     assert 0 < len(ids) < spark.read.parquet(f"{small}/documents.parquet").count()
     assert cp.ORACLE_SQL is None and "pipeline" not in __spark_entry__.oracle_sql()
+
+
+def test_passages_of_over_50_words_go_at_any_size(spark, docs, small):
+    texts = lambda k: [(i, " ".join([f"{i}a{n}" for n in range(90)] + [f"w{n}" for n in range(k)]
+                                    + [f"{i}b{n}" for n in range(90)])) for i in (1, 2)]
+    for many, gone in ((50, False), (51, True)):
+        rows = docs(texts(many))
+        assert len(" ".join(f"w{n}" for n in range(many))) < 400
+        for r in STAGE["repeats"](spark, rows, small).collect():
+            assert ("w7" not in r.text.split()) == gone and len(r.text.split()) == 180 + (0 if gone else many)
+            assert r.n_chars == len(r.text)

@@ -106,3 +106,38 @@ def test_cleaned_texts(docs):
 def test_whole_table(spark, small):
     frame = table(spark, small, "documents")
     assert got(frame, 400) == plain([(r.doc_id, r.text) for r in frame.collect()], 400)
+
+
+def worded(rows):
+    """Texts without the words that lie in a passage of 51 words which stands more than once."""
+    starts, lists = {}, {i: (t or "").split() for i, t in rows}
+    for i, words in lists.items():
+        for at in range(len(words) - 50):
+            starts.setdefault(tuple(words[at:at + 51]), []).append((i, at))
+    gone = {(i, k) for found in starts.values() if len(found) > 1 for i, at in found for k in range(at, at + 51)}
+    return {i: [w for k, w in enumerate(words) if (i, k) not in gone] for i, words in lists.items()}
+
+
+@pytest.mark.parametrize("joined, block", [(True, 1 << 21), (False, 16)])
+def test_word_passages_match_all_windows(docs, monkeypatch, joined, block):
+    if not joined:
+        monkeypatch.setattr(rp, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(rp, "BLOCK", block)
+    r = random.Random(8)
+    word = lambda: r.choice("ab") * r.randrange(1, 4)
+    shared = [[word() for _ in range(k)] for k in (50, 51, 52, 60, 120)]
+    rows = []
+    for i in range(40):
+        words = [word() for _ in range(r.randrange(30))]
+        for _ in range(r.randrange(3)):
+            words += r.choice(shared) + [word() for _ in range(r.randrange(20))]
+        rows.append((i, r.choice([" ", "  ", "\n"]).join(words)))
+    rows += [(90, "x " * 51), (91, "x " * 52), (92, rows[3][1]), (93, None), (94, "")]
+    spans = {}
+    for s in rp.passages(docs(rows)).collect():
+        spans.setdefault(bytes(s.text_key), []).append({"a": s.a, "b": s.b})
+    left = {}
+    for i, text in rows:
+        data = (text or "").encode()
+        left[i] = rp.remaining(data, rp.merged(spans.get(hashlib.md5(data).digest()), len(data))).decode().split()
+    assert left == worded(rows)
