@@ -1,11 +1,12 @@
-"""Operator 3: n-gram Jaccard join over a token-group matrix.
+"""Operator 3: n-gram Jaccard join by prefix filter. It replaces a token-group matrix, which is not built.
 
 Texts are sets of hashed 5-word shingles; equal sets are one node. Nodes that share a min-hash are held against a
-leader, and exact links to leaders make the groups. The matrix then has a row for each token and group: the union
-of the tokens by which a member can be found at all (its prefix under a global order, rare tokens first). A query
-document can overlap a group only if it shares one of those; only then is the group opened and its members
-compared, whole set with whole set. So every link between different groups is found, and links inside a group,
-which cannot change the components, are not enumerated.
+leader, and exact links to leaders make the groups. Each node then has a cell for each token by which it can be found
+at all (its prefix under a global order, rare tokens first). Nodes of different groups that share such tokens make
+pairs; pairs whose shared tokens allow a link are compared, whole set with whole set. So every link between different
+groups is found, and links inside a group, which cannot change the components, are not enumerated. No union of a
+group's tokens is formed and no group is ruled out as a whole: where many sets of different groups share prefix
+tokens, their pairs are enumerated, which grows with the square of their number.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from loanward.llm.components import stars
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Min-hashes by which leaders are chosen, and how many must agree. They decide how much is left to the matrix, not
+#: Min-hashes by which leaders are chosen, and how many must agree. They decide how much is left to the cells, not
 #: the result.
 HASHES, AGREE = 5, 2
 #: One document in this many is counted for the token order, which decides speed, not results.
@@ -33,6 +34,8 @@ ORDER_SAMPLE = 16
 FREQUENT, RANKED = 3, 1_000_000
 #: Node keys up to this many are broadcast to fetch texts; beyond, texts are joined by a shuffle.
 BROADCAST_ROWS = 400_000
+#: Cells of a token that one task holds; those of a more frequent token are dealt into pieces, and pieces meet in pairs.
+HELD = 8192
 _BLOCK = 1 << 20
 _U = np.uint64
 
@@ -231,6 +234,21 @@ def _grouped(nodes: DataFrame, forest: DataFrame) -> DataFrame:
         .select("node", F.coalesce("comp", "node").alias("comp"))
 
 
+def _dealt(cells: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The cells with ``side``, those of ``frequent`` tokens (often, pieces) once for each pair of pieces they are in.
+
+    Such a pair has its own key for a token. Cells of one side of it don't meet, but for side 0, a piece with itself.
+    """
+    pieces = cells.join(frequent, F.col("token") == F.col("often"), "left").withColumn(
+        "piece", F.pmod(F.xxhash64("node", F.lit("piece")), "pieces"))
+    other = F.explode(F.expr("if(pieces is null, array(cast(null as long)), sequence(0l, pieces - 1))")).alias("other")
+    pieces = pieces.select("token", "comp", "node", "n", "piece", other)
+    key = F.xxhash64("token", F.least("piece", "other"), F.greatest("piece", "other"))
+    side = F.when(F.col("piece") < F.col("other"), 1).when(F.col("piece") > F.col("other"), 2).otherwise(0)
+    return pieces.select(F.when(F.col("other").isNull(), F.col("token")).otherwise(key).alias("token"), "comp", "node",
+                         "n", side.alias("side"))
+
+
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token: pairs of nodes of different groups, and how many tokens of the batch they share.
 
@@ -254,24 +272,25 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(table: pa.Table, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     token, comp, node, size = (table.column(c).to_numpy() for c in ("token", "comp", "node", "n"))
+    side = table.column("side").to_numpy() if "side" in table.column_names else np.zeros(len(token), np.int32)
     edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
     mixed = np.minimum.reduceat(comp, edges[:-1]) < np.maximum.reduceat(comp, edges[:-1])
     found: list[np.ndarray] = []
     held = 0
     for start, end in zip(edges[:-1][mixed].tolist(), edges[1:][mixed].tolist(), strict=True):
         order = start + size[start:end].argsort(kind="stable")
-        n, c, d = size[order], comp[order], node[order]
+        n, c, d, s = size[order], comp[order], node[order], side[order]
         for k in range(1, len(order)):
             low = int(np.searchsorted(n, -(-PERCENT * n[k] // 100)))
-            at = low + np.flatnonzero(c[low:k] != c[k])
+            at = low + np.flatnonzero((c[low:k] != c[k]) & ((s[low:k] != s[k]) | (s[k] == 0)))
             if len(at):
                 swap = d[at] > d[k]
                 found.append(np.stack([np.where(swap, d[at], d[k]), np.where(swap, d[k], d[at]),
                                        np.where(swap, n[at], n[k]), np.where(swap, n[k], n[at])]))
                 held += len(at)
-        if held > most:
-            yield _counted(found)
-            found, held = [], 0
+            if held > most:
+                yield _counted(found)
+                found, held = [], 0
     if found:
         yield _counted(found)
 
@@ -316,10 +335,14 @@ def components(documents: DataFrame) -> DataFrame:
     close = scratch.put("close", close.where(F.col("agree") >= AGREE).select("u", "v"))
     links = verified(close, nodes, rows, scratch, "leaders")
     forest = stars(links, scratch, "groups")
-    # The matrix: tokens of each node's prefix with its group. Groups meet where a token stands in several.
+    # Cells: tokens of each node's prefix with its group. Groups meet where a token stands in several.
     cells = signed.select(F.col("row").alias("node"), "n", "prefix").join(_grouped(nodes, forest), "node").select(
         F.explode("prefix").alias("token"), "comp", "node", "n")
-    met = cells.repartition("token").sortWithinPartitions("token").mapInArrow(
+    frequent = scratch.put("frequent", cells.groupBy(F.col("token").alias("often")).count().where(
+        F.col("count") > HELD).select("often", F.ceil(2 * F.col("count") / HELD).alias("pieces")))
+    if frequent.count() <= BROADCAST_ROWS:
+        frequent = F.broadcast(frequent)
+    met = _dealt(cells, frequent).repartition("token").sortWithinPartitions("token").mapInArrow(
         _meetings, "u long, v long, nu long, nv long, shared long")
     met = met.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
     candidates = scratch.put("candidates", met.where(_can_link(F.col("nu"), F.col("nv"), F.col("shared"))).select(

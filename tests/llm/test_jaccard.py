@@ -146,3 +146,28 @@ def test_components_of_paths_and_stars(spark):
     frame = stars(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "stars-test"), "x")
     found = {r.u: r.v for r in frame.collect()}
     assert found == {**{i: 0 for i in range(1, 41)}, **{k: 100 for k in range(101, 160)}, 300: 100}
+
+
+def test_cells_of_a_frequent_token_are_dealt_into_bounded_pieces(spark):
+    cells = spark.range(600).selectExpr("1L token", "id comp", "id node", "10L n").unionByName(
+        spark.range(5).selectExpr("2L token", "id comp", "id node", "10L n"))
+    frequent = spark.createDataFrame([(1, 6)], "often long, pieces long")
+    dealt = j._dealt(cells, frequent)
+    assert max(r["count"] for r in dealt.groupBy("token").count().collect()) <= 300
+    met = dealt.repartition("token").sortWithinPartitions("token").mapInArrow(
+        j._meetings, "u long, v long, nu long, nv long, shared long").groupBy("u", "v").sum("shared").collect()
+    assert {(r.u, r.v): r[2] for r in met} == {(b, a): 2 if b < 5 else 1 for b in range(600) for a in range(b)}
+
+
+def test_pieces_change_nothing(docs, monkeypatch):
+    rows = near_copies(6)
+    monkeypatch.setattr(j, "HELD", 4)
+    assert got(docs(rows)) == plain(rows)
+
+
+def test_pairs_of_one_token_are_written_out_in_bounded_parts():
+    n = 300
+    table = pa.table([pa.array(x, pa.int64()) for x in ([1] * n, range(n), range(n), [10] * n)],
+                     ["token", "comp", "node", "n"])
+    parts = [b.num_rows for b in j._met(table, most=1000)]
+    assert sum(parts) == n * (n - 1) // 2 and max(parts) <= 1000 + n
