@@ -41,6 +41,19 @@ INLINE = frozenset((
     "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
     "tt", "u", "var", "wbr",
 ))
+#: Elements whose end tag may be left out: the start tags that end them, and the elements in which these don't. Fixed
+#: rules of HTML.
+_CELL = frozenset(("td", "th", "tr", "tbody", "thead", "tfoot"))
+IMPLIED = {
+    "p": (frozenset((
+        "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset",
+        "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li",
+        "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul", "dd", "dt")), frozenset(("button", "object"))),
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), frozenset(("dl",)))),
+    **dict.fromkeys(("td", "th"), (_CELL, frozenset(("table",)))),
+    "tr": (_CELL - {"td", "th"}, frozenset(("table",))),
+}
 #: Elements whose content is not markup, up to their end tag.
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 #: Words in class, id or role that mark what is not the article.
@@ -88,17 +101,21 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             if closing and name in skipping:
                 while skipping.pop() != name:
                     pass
+                if not skipping:
+                    yield name, _BREAK, label > 0
+                continue
+            if closing and name in stack and _ends_outer(name, skipping) or not closing and _implies_end(name, skipping):
+                skipping.clear()
             elif not closing and name not in VOID and not rest.endswith("/"):
-                if name == "body" or name in ("article", "main") and skipping[0] in ("nav", "header", "menu", "form"):
-                    # An unclosed head, menu or header doesn't swallow the article.
+                if name == "body" or name in ("article", "main") and (
+                        skipping[0] in ("nav", "header", "menu", "form") or not label and not _closed(page, place, skipping)):
+                    # An unclosed head, menu or header, or whatever is never closed, doesn't swallow the article.
                     skipping.clear()
                 else:
                     skipping.append(name)
                     if name in RAW:
                         place = _raw_end(page, place, name)
-            if skipping or closing:
-                if not skipping:
-                    yield name, _BREAK, label > 0
+            if skipping:
                 continue
         if not closing:
             drop = name in DROPPED or (name in OUTER and not label)
@@ -133,6 +150,29 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         yield name, ("" if name in INLINE else _BREAK), label > 0
 
 
+def _ends_outer(name: str, skipping: list[str]) -> bool:
+    """Whether the end tag of an element around the skipped one ends that too."""
+    if name == "p" or name in INLINE:  # what a block has closed, or what doesn't close one
+        return skipping[0] in INLINE
+    return not (name in IMPLIED and IMPLIED[name][1].intersection(skipping))
+
+
+def _implies_end(name: str, skipping: list[str]) -> bool:
+    """Whether the start tag ends the skipped element, whose end tag was left out."""
+    enders, within = IMPLIED.get(skipping[0], ((), frozenset()))
+    return name in enders and not within.intersection(skipping[1:])
+
+
+def _closed(page: str, place: int, skipping: list[str]) -> bool:
+    """Whether the skipped element has an end tag further on."""
+    depth = skipping.count(skipping[0])
+    for m in re.compile(rf"<(/?){re.escape(skipping[0])}(?=[\s/>])", re.I).finditer(page, place):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return True
+    return False
+
+
 def _raw_end(page: str, place: int, name: str) -> int:
     """Where the end tag of an element without markup begins."""
     m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, place)

@@ -71,3 +71,21 @@ def test_odd_rows(spark):
     found = extract(pages).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in found) == [("1", 0), ("3", 39999), ("4", 1), ("4", 1), ("None", 0)]
     assert extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><p class=notice>n<p>Article text</article>", "Article text"),
+    ("<article><p class=notice>n <b>b<div>Article</div></article>", "Article"),
+    ("<article><ul><li class=share>s<ul><li>inner</ul><li>b</ul><p>t</article>", "b\nt"),
+    ("<article><ul><li class=share>s</ul><p>t</article>", "t"),
+    ("<article><table><tr><td class=ad>s<td>c<tr><td class=ad>x</table><p>t</article>", "c\nt"),
+    ("<article><dl><dt class=ad>s<dd>d</dl></article>", "d"),
+    ("<main><section><aside>s</section><p>t</main>", "t"),
+    ("<div class=ad>s<article><p>t</article>", "t"),
+    ("<aside>s<main><p>t</main>", "t"),
+    ("<p>t<p>u<div class=ad>s</p>s</div>", "t\nu"),
+    ("<div class=related><article>teaser</article></div><article>t</article>", "t"),
+    ("<p>t <span class=share>s</p><p>u", "t\nu"),
+])
+def test_what_is_skipped_ends_without_its_end_tag(page, want):
+    assert main_text(page, WEIGHTS) == want
