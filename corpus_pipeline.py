@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanward.llm.common import Scratch, send_package
-from loanward.llm.jaccard import components
+from loanward.llm.jaccard import labelled
 from loanward.llm.language import SURE, identify
 from loanward.llm.packing import pack
 from loanward.llm.quality import judge
@@ -37,22 +37,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of linked ones.
+    """One row of each group of linked ones, that with the least id and then text key; a null id comes last.
 
-    Rows that share an id are one document, of which one row stays. Rows without an id stay.
+    Rows that share an id are one document, of which one row stays: one that leads its group, with words if there is
+    one, then that with the least text key. Rows with equal id and text are told apart by all their columns. Rows
+    without words are linked to none; those of them that lack an id too all stay.
     """
     send_package(spark)
     scratch = Scratch(spark, "near")
-    verdicts = scratch.put("verdicts", components(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows"))
-        .where("not stays or rows > 1"))
-    special = verdicts.select(F.col("doc_id").alias("special_id"), "stays")
-    if verdicts.count() <= BROADCAST_ROWS:
+    keyed = scratch.put("keyed", labelled(docs).groupBy("doc_id", "text_key").agg(
+        F.min("comp").alias("comp"), F.count(F.lit(1)).alias("rows")))
+    leaders = keyed.where("comp is not null").groupBy("comp").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("least"))
+    leads = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))
+    worded = keyed.join(leaders, "comp").select("doc_id", "text_key", "rows", leads.alias("leads"), F.lit(False).alias("empty"))
+    empty = keyed.where("comp is null").select("doc_id", "text_key", "rows", F.lit(True).alias("leads"), F.lit(True).alias("empty"))
+    led = scratch.put("led", worded.unionByName(empty))
+    chosen = led.where("doc_id is not null and leads").groupBy("doc_id").agg(
+        F.min(F.struct("empty", "text_key"))["text_key"].alias("chosen"))
+    verdicts = led.join(chosen, "doc_id", "left").select(
+        F.col("doc_id").alias("special_id"), F.col("text_key").alias("special_key"), "rows",
+        F.when(F.col("doc_id").isNull(), F.col("leads")).otherwise(
+            F.coalesce(F.col("text_key") == F.col("chosen"), F.lit(False))).alias("stays"),
+        (F.col("doc_id").isNull() & F.col("empty")).alias("free"))
+    special = scratch.put("special", verdicts.where("not free and (not stays or rows > 1)").select(
+        "special_id", "special_key", "stays"))
+    if special.count() <= BROADCAST_ROWS:
         special = F.broadcast(special)
-    marked = _with_row(docs, F.col("doc_id").cast("long").alias("id")).join(
-        special, F.col("id") == F.col("special_id"), "left")
-    plain = marked.where("special_id is null").select("row.*")
-    repeated = marked.where("stays").dropDuplicates(["special_id"]).select("row.*")
+    key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    marked = _with_row(docs, F.col("doc_id").cast("long").alias("id"), key.alias("key")).join(
+        special, F.col("id").eqNullSafe(F.col("special_id")) & (F.col("key") == F.col("special_key")), "left")
+    plain = marked.where("special_key is null").select("row.*")
+    repeated = marked.where("stays").groupBy("special_id", "special_key").agg(
+        F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")).select("row.*")
     return plain.unionByName(repeated)
 
 

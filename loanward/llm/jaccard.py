@@ -317,6 +317,11 @@ def components(documents: DataFrame) -> DataFrame:
     rows share a component. component_id is the least id of the component; where no row of it has an id it is
     null, as for a lone row without one. Other columns are ignored.
     """
+    return labelled(documents).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(documents: DataFrame) -> DataFrame:
+    """``components`` with text_key, the text's md5, and comp, a key of the component; null if there are no shingles."""
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scratch = Scratch(documents.sparkSession, "jaccard")
     order = token_order(rows)
@@ -362,8 +367,8 @@ def components(documents: DataFrame) -> DataFrame:
         forest = stars(links, scratch, f"merged-{turn}")
     group = nodes.select("set_key", "node", "least_id").join(_grouped(nodes, forest), "node")
     least = group.groupBy("comp").agg(F.min("least_id").alias("component"))
-    named = group.join(least, "comp").select(F.col("set_key").alias("of"), "component")
-    return signed.select("doc_id", "n", "set_key").join(
+    named = group.join(least, "comp").select(F.col("set_key").alias("of"), "component", "comp")
+    return signed.select("doc_id", "text_key", "n", "set_key").join(
         named, (F.col("set_key") == F.col("of")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "text_key", "comp", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

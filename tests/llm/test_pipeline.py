@@ -69,3 +69,18 @@ def test_passages_of_over_50_words_go_at_any_size(spark, docs, small):
         for r in STAGE["repeats"](spark, rows, small).collect():
             assert ("w7" not in r.text.split()) == gone and len(r.text.split()) == 180 + (0 if gone else many)
             assert r.n_chars == len(r.text)
+
+
+def test_near_duplicates_are_decided_by_row(spark, docs, small):
+    rows = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "quite another text here"), (None, "A b c d e f"),
+            (None, "only without an id"), (None, "only without an id"), (None, "Only without an id"), (None, None),
+            (None, " "), (9, ""), (9, "nine has words too")]
+    seen = set()
+    for order in (rows, rows[::-1]):
+        out = STAGE["near_duplicates"](spark, docs(order), small).collect()
+        seen.add(tuple(sorted((str(r.doc_id), str(r.text)) for r in out)))
+    (kept,) = seen
+    lone = [k for k in kept if k[0] == "None" and k[1].strip() not in ("", "None")]
+    assert len(lone) == 1 and lone[0][1].lower() == "only without an id"
+    assert set(kept) - set(lone) == {("1", "a b c d e f"), ("7", "quite another text here"), ("None", "None"),
+                                     ("None", " "), ("9", "nine has words too")}
