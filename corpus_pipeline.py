@@ -24,7 +24,11 @@ def _with_row(docs: DataFrame, *needed: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without letters, or that fit no language, go."""
+    """Documents in which letters stand and one learned language has most of the posterior; the others go.
+
+    The posterior is over the learned languages only, so a longer text in another language, or letter junk, stays
+    under the learned language that it is least unlike. Nothing measures how well a text fits at all.
+    """
     send_package(spark)
     found = identify(_with_row(docs, "doc_id", "text", "lang"))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
