@@ -27,8 +27,6 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLE = 3000
 #: Rounds of expectation-maximisation.
 ROUNDS = 3
-#: Longest piece used, in code points with the word mark.
-LONGEST = 8
 #: Probability of a letter outside the vocabulary, the same in each language.
 UNKNOWN = 1e-8
 #: Added to each expected count, so that no piece is impossible.
@@ -43,10 +41,10 @@ _MARK = "▁"
 
 
 def vocabulary(path: str | None = None) -> list[str]:
-    """Pieces of letters, with or without the word mark, of at most LONGEST code points."""
+    """Pieces of letters, with or without the word mark, of any length."""
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= LONGEST and regex.fullmatch(rf"{_MARK}?\p{{L}}*", p)} - {""})
+    return sorted({p for p in pieces if regex.fullmatch(rf"{_MARK}?\p{{L}}*", p)} - {""})
 
 
 def held_out() -> Column:
@@ -59,9 +57,10 @@ class Pieces:
 
     def __init__(self, pieces: list[str]) -> None:
         self.count = len(pieces)
+        self.longest = max(map(len, pieces), default=1)  # in code points, with the word mark
         self.none, self.unknown = self.count, self.count + 1  # rows behind the table
         self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for length in range(1, LONGEST + 1):
+        for length in range(1, self.longest + 1):
             own = [i for i, p in enumerate(pieces) if len(p) == length]
             codes = np.array([[ord(c) for c in pieces[i]] for i in own], dtype=np.uint64).reshape(len(own), length)
             key = np.zeros(len(own), dtype=np.uint64)
@@ -88,7 +87,7 @@ class Pieces:
         text = "".join(_MARK + w for w in words)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), length)
         codes = codes.T.astype(np.uint64) + np.uint64(1)
-        most = min(LONGEST, length)
+        most = min(self.longest, length)
         ids = np.full((most, length, len(words)), self.none, dtype=np.int64)
         key = np.zeros((length, len(words)), dtype=np.uint64)
         for k in range(most):
@@ -115,7 +114,7 @@ class Pieces:
             scale[end] = scale[end - 1]
             if end % 16 == 0:  # keep long words within the range of a double
                 top = np.maximum(alpha[end].max(axis=1, keepdims=True), 1e-300)
-                alpha[max(0, end - LONGEST):end + 1] /= top
+                alpha[max(0, end - self.longest):end + 1] /= top
                 scale[end] += np.log(top)
         return alpha, scale
 

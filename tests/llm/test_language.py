@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from loanward.llm.language import UNKNOWN, Pieces, identify
+from loanward.llm.language import UNKNOWN, Pieces, identify, vocabulary
 from tests.llm.conftest import table
 
 PIECES = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab"]
@@ -91,3 +91,14 @@ def test_odd_rows(spark, docs):
     unlabelled = identify(docs(rows).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"}
     assert identify(docs([])).collect() == []
+
+
+def test_pieces_of_all_lengths_are_used():
+    pieces = vocabulary()
+    assert {"▁function", "▁something", "▁different"} <= set(pieces)
+    table, longest = Pieces(pieces), max(pieces, key=len)
+    chance = np.full((len(pieces) + 2, 1), 1e-9)
+    chance[pieces.index("▁something")] = 0.5
+    assert abs(table.score(["something"], chance)[0, 0] - np.log(0.5)) < 1e-4
+    ids = table.found([longest.removeprefix("▁")], len(longest.removeprefix("▁")) + 1)
+    assert pieces.index(longest) in ids
