@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, and SQL for those that SQL can express."""
+"""The operators as registered queries, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from loanward.llm.language import identify
 from loanward.llm.packing import pack
 from loanward.llm.quality import METRICS, judge
 from loanward.llm.repeats import removal
+from loanward.llm.urls import RULES, judge_urls, stated_rules
 from loanward.llm.vectors import search
 from loanward.llm.warc import read_chunks, read_records, write_archives
 
@@ -70,7 +71,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *METRICS, "base_failed", "kept")
 
 
-OPERATORS = (op1_repeats, op2_html, op3_jaccard, op4_packing, op5_warc, op6_vectors, op7_language, op8_chat, op9_bpe, op10_quality)
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), stated_rules(spark))
+
+
+OPERATORS = (op1_repeats, op2_html, op3_jaccard, op4_packing, op5_warc, op6_vectors, op7_language, op8_chat, op9_bpe, op10_quality,
+             op12_urls)
+#: Queries that SQL cannot express; tests hold them against brute force, a library or held-out labels.
+WITHOUT_SQL = {"op1_repeats", "op2_html", "op4_packing", "op7_language", "op9_bpe"}
 
 
 def _sent(query: Query) -> Query:
@@ -178,5 +186,18 @@ FROM judged j JOIN hosts h ON h.source IS NOT DISTINCT FROM j.source, weights
 """
 
 
+_OP12 = f"""
+WITH urls AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+rules AS (SELECT * FROM (VALUES {", ".join(str(r) for r in RULES)}) r(h, p, v)),
+judged AS (
+  SELECT page_id, host, path, (SELECT arg_max({{'name': h || p, 'v': v}}, length(h || p)) FROM rules
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best FROM urls)
+SELECT page_id, host, path, best.name AS rule, coalesce(best.v, 'allow') AS verdict FROM judged
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op3_jaccard": _OP3, "op5_warc": _OP5, "op6_vectors": _OP6, "op8_chat": _op8(), "op10_quality": _OP10}
+    return {"op12_urls": _OP12, "op3_jaccard": _OP3, "op5_warc": _OP5, "op6_vectors": _OP6, "op8_chat": _op8(), "op10_quality": _OP10}
