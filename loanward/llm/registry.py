@@ -13,6 +13,7 @@ from loanward.llm.common import Scratch, send_package
 from loanward.llm.html import extract
 from loanward.llm.jaccard import components
 from loanward.llm.language import identify
+from loanward.llm.lexical import search as lexical_search
 from loanward.llm.packing import pack
 from loanward.llm.quality import METRICS, judge
 from loanward.llm.repeats import removal
@@ -71,12 +72,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *METRICS, "base_failed", "kept")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), stated_rules(spark))
 
 
 OPERATORS = (op1_repeats, op2_html, op3_jaccard, op4_packing, op5_warc, op6_vectors, op7_language, op8_chat, op9_bpe, op10_quality,
-             op12_urls)
+             op11_lexical, op12_urls)
 #: Queries that SQL cannot express; tests hold them against brute force, a library or held-out labels.
 WITHOUT_SQL = {"op1_repeats", "op2_html", "op4_packing", "op7_language", "op9_bpe"}
 
@@ -186,6 +191,28 @@ FROM judged j JOIN hosts h ON h.source IS NOT DISTINCT FROM j.source, weights
 """
 
 
+_OP11 = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS d, doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM documents),
+held AS (SELECT d, any_value(doc_id) AS doc_id, t, count(*) AS tf FROM words GROUP BY d, t),
+sizes AS (SELECT d, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY d),
+facts AS (SELECT count(*) AS all_n, CAST(sum(n) AS BIGINT) AS all_l FROM sizes),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(all_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, facts GROUP BY t),
+scored AS (
+  SELECT a.item_id, h.d, any_value(h.doc_id) AS doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * all_n) // all_l)))) AS BIGINT) AS score
+  FROM asked a JOIN held h ON h.t = a.t JOIN weights g ON g.t = a.t JOIN sizes s ON s.d = h.d, facts GROUP BY a.item_id, h.d)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
 _OP12 = f"""
 WITH urls AS (
   SELECT page_id,
@@ -200,4 +227,4 @@ SELECT page_id, host, path, best.name AS rule, coalesce(best.v, 'allow') AS verd
 
 
 def oracles() -> dict[str, str]:
-    return {"op12_urls": _OP12, "op3_jaccard": _OP3, "op5_warc": _OP5, "op6_vectors": _OP6, "op8_chat": _op8(), "op10_quality": _OP10}
+    return {"op11_lexical": _OP11, "op12_urls": _OP12, "op3_jaccard": _OP3, "op5_warc": _OP5, "op6_vectors": _OP6, "op8_chat": _op8(), "op10_quality": _OP10}
