@@ -14,6 +14,7 @@ from loanward.llm.html import extract
 from loanward.llm.jaccard import components
 from loanward.llm.language import identify
 from loanward.llm.lexical import search as lexical_search
+from loanward.llm.negatives import mine
 from loanward.llm.packing import pack
 from loanward.llm.quality import METRICS, judge
 from loanward.llm.repeats import removal
@@ -80,8 +81,12 @@ def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), stated_rules(spark))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
 OPERATORS = (op1_repeats, op2_html, op3_jaccard, op4_packing, op5_warc, op6_vectors, op7_language, op8_chat, op9_bpe, op10_quality,
-             op11_lexical, op12_urls)
+             op11_lexical, op12_urls, op13_negatives)
 #: Queries that SQL cannot express; tests hold them against brute force, a library or held-out labels.
 WITHOUT_SQL = {"op1_repeats", "op2_html", "op4_packing", "op7_language", "op9_bpe"}
 
@@ -226,5 +231,25 @@ SELECT page_id, host, path, best.name AS rule, coalesce(best.v, 'allow') AS verd
 """
 
 
+_OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same,
+    CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * c.e[i])) AS BIGINT) AS s
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, c) AS n FROM scored WHERE same) WHERE n <= 5),
+negatives AS (
+  SELECT p.a, p.c AS p, x.c, p.s AS ps, x.s AS ns, row_number() OVER (PARTITION BY p.a, p.c ORDER BY x.s DESC, x.c) AS rank
+  FROM positives p JOIN scored x ON x.a = p.a AND NOT x.same AND 30 * p.s <= 100 * x.s AND 100 * x.s <= 90 * p.s)
+SELECT a AS anchor_id, p AS positive_id, CAST(rank AS INTEGER) AS rank, c AS negative_id, ps AS positive_score, ns AS negative_score
+FROM negatives WHERE rank <= 10
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op11_lexical": _OP11, "op12_urls": _OP12, "op3_jaccard": _OP3, "op5_warc": _OP5, "op6_vectors": _OP6, "op8_chat": _op8(), "op10_quality": _OP10}
+    return {"op11_lexical": _OP11, "op12_urls": _OP12, "op13_negatives": _OP13, "op3_jaccard": _OP3, "op5_warc": _OP5, "op6_vectors": _OP6, "op8_chat": _op8(), "op10_quality": _OP10}
