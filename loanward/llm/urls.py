@@ -23,8 +23,8 @@ DEFAULT = "allow"
 #: The rules of the registered query: host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Keys in a range, about, most ranges, and sampled keys for each.
-RANGE_KEYS, RANGES, PER_RANGE = 20_000, 8192, 8
+#: Keys in a range, about, most ranges, sampled keys for each, and sampled keys in all at least.
+RANGE_KEYS, RANGES, PER_RANGE, SAMPLED = 20_000, 8192, 16, 8000
 #: Bytes of a key that a cut holds; it may lie anywhere, so a part of a key does as well.
 _CUT = 200
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -162,7 +162,7 @@ def _cuts(urls: DataFrame, rules: DataFrame, most: int, ranges: int, total: int)
     """Where the ranges begin: a sample of the keys of urls and rules, each with its tie, evenly cut."""
     if ranges < 2:
         return []
-    share = min(1.0, ranges * PER_RANGE / total)
+    share = min(1.0, max(ranges * PER_RANGE, SAMPLED) / total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +175,7 @@ def _cuts(urls: DataFrame, rules: DataFrame, most: int, ranges: int, total: int)
     tie = (F.rand(12) * (1 << 40)).cast("long")
     found = urls.sample(share, seed=12).select("host", "path", tie.alias("tie")).mapInArrow(run, "key binary, tie long")
     found = found.unionByName(rules.sample(share, seed=12).select(F.substring("key", 1, _CUT).alias("key"), F.lit(0).cast("long").alias("tie")))
-    # About PER_RANGE rows for each of at most RANGES ranges; where they lie changes the work of tasks, not the result.
+    # PER_RANGE rows for each of at most RANGES ranges, or SAMPLED in all; where they lie changes the work of tasks, not the result.
     table = found.toArrow()
     all_cuts = sorted(zip(table.column("key").to_pylist(), table.column("tie").to_pylist(), strict=True))
     step = max(1, len(all_cuts) // ranges)
