@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -33,8 +33,8 @@ UNKNOWN = 1e-8
 SMOOTH = 0.05
 #: Posterior under which a filtering stage doesn't believe the prediction.
 SURE = 0.5
-#: Chunks a worker keeps scored.
-KEPT = 400_000
+#: Bytes of chunks, and of words, that a worker keeps scored, each counted with ENTRY for its place in the tables.
+KEPT, ENTRY = 32 << 20, 200
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = regex.compile(r"\p{L}+")
 _MARK = "▁"
@@ -213,71 +213,115 @@ def fit(documents: DataFrame, scratch: Scratch, pieces: list[str], sample: int =
     return langs, chance, share / share.sum()
 
 
+class Kept:
+    """Rows of numbers by text, for texts seen lately; emptied when they would take more than KEPT bytes."""
+
+    def __init__(self, width: int) -> None:
+        self.width = width
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((0, self.width))
+        self.bytes = 0
+
+    def missing(self, texts: set[str]) -> list[str]:
+        """Those without a row; if they don't fit beside the others, all of them."""
+        fresh = [t for t in texts if t not in self.at]
+        if self.bytes + self._cost(fresh) > KEPT and self.at:
+            self.clear()
+            fresh = list(texts)
+        return fresh
+
+    def add(self, texts: list[str], rows: np.ndarray) -> None:
+        start, end = len(self.at), len(self.at) + len(texts)
+        if end > len(self.rows):
+            grown = np.empty((max(end, 2 * len(self.rows)), self.width))
+            grown[:start] = self.rows[:start]
+            self.rows = grown
+        self.rows[start:end] = rows
+        self.at.update(zip(texts, range(start, end), strict=True))
+        self.bytes += self._cost(texts)
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        return self.rows[np.fromiter(map(self.at.__getitem__, texts), np.int64, len(texts))]
+
+    def trim(self) -> None:
+        """A single batch may have been larger than what is kept."""
+        if self.bytes > KEPT:
+            self.clear()
+
+    @staticmethod
+    def _cost(texts: list[str]) -> int:
+        return 4 * sum(map(len, texts)) + ENTRY * len(texts)
+
+
 class Scorer:
     """Scores whole texts with a fitted model; chunks seen lately are looked up."""
 
     def __init__(self, pieces: list[str], langs: list[str], chance: np.ndarray, share: np.ndarray) -> None:
         self.table, self.langs, self.chance = Pieces(pieces), langs, chance
         self.prior = np.log(share)
-        self.clear()
+        self.chunks = Kept(len(langs) + 1)  # log probabilities, and whether there are letters
+        self.words = Kept(len(langs))
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.words: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.langs) + 1))  # log probabilities, and whether there are letters
-        self.word_rows = np.zeros((0, len(self.langs)))
+        self.chunks.clear()
+        self.words.clear()
 
-    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        parts = [(t or "").split() for t in texts]
-        if len(self.known) > KEPT:
-            self.clear()
-        fresh: set[str] = set()
-        for chunks in parts:
-            fresh.update(chunks)
-        new = list(fresh.difference(self.known))
-        split = [[low] if (low := c.lower()).isalpha() else _LETTERS.findall(low) for c in new]
-        words = list(set(chain.from_iterable(split)).difference(self.words))
+    def _learn(self, chunks: list[str]) -> None:
+        split = [[low] if (low := c.lower()).isalpha() else _LETTERS.findall(low) for c in chunks]
+        words = self.words.missing(set(chain.from_iterable(split)))
         if words:
-            self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
-            self.word_rows = np.vstack([self.word_rows, self.table.score(words, self.chance)])
-        rows = np.zeros((len(new), len(self.langs) + 1))
+            self.words.add(words, self.table.score(words, self.chance))
+        rows = np.zeros((len(chunks), len(self.langs) + 1))
         sizes = np.array([len(s) for s in split], dtype=np.int64)
         if sizes.sum():
-            owner = np.repeat(np.arange(len(new)), sizes)
-            flat = self.word_rows[[self.words[w] for own in split for w in own]]
+            owner = np.repeat(np.arange(len(chunks)), sizes)
+            flat = self.words.of([w for own in split for w in own])
             for j in range(len(self.langs)):
-                rows[:, j] = np.bincount(owner, flat[:, j], minlength=len(new))
+                rows[:, j] = np.bincount(owner, flat[:, j], minlength=len(chunks))
             rows[:, -1] = sizes > 0
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.rows = np.vstack([self.rows, rows])
-        get = self.known.__getitem__
+        self.chunks.add(chunks, rows)
+        self.words.trim()
+
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        parts = [(t or "").split() for t in texts]
+        new = self.chunks.missing(set(chain.from_iterable(parts)))
+        if new:
+            self._learn(new)
         for chunks in parts:
-            total = self.rows[np.fromiter(map(get, chunks), np.int64, len(chunks))].sum(axis=0)
+            total = self.chunks.of(chunks).sum(axis=0)
             if not len(self.langs) or not total[-1]:
                 yield "und", 0.0
                 continue
             logs = total[:-1] + self.prior
             odds = np.exp(logs - logs.max())
             yield self.langs[int(odds.argmax())], float(odds.max() / odds.sum())
+        self.chunks.trim()
 
 
 _SCORERS: dict[str, Scorer] = {}
 
 
-def identify(documents: DataFrame, path: str | None = None, sample: int = SAMPLE) -> DataFrame:
-    """The rows with held_out, lang_pred and score added; columns of these names are replaced.
+def identify(documents: DataFrame, path: str | None = None, sample: int = SAMPLE, carry: Sequence[str] | None = None,
+             within: str | None = None) -> DataFrame:
+    """The ``carry`` columns (all unless given) of the rows with held_out, lang_pred and score; columns of these names are replaced.
 
     A text that is null, empty or without letters is ``und`` with score 0, as is every text when no row has a
     language to learn from. Equal texts get equal predictions. Score is the posterior of the predicted language.
+    Texts and words may have any length; what a worker remembers of them is bounded in bytes. With ``within``, a
+    carried struct column that holds the text too, no column of its own takes the text to the workers.
     """
     spark = documents.sparkSession
     pieces = vocabulary(path)
     langs, chance, share = fit(documents, Scratch(spark, "language"), pieces, sample)
     # Size: pieces of the fixed vocabulary times languages.
     sent = spark.sparkContext.broadcast((pieces, langs, chance, share))
-    kept = [c for c in documents.columns if c.lower() not in ("held_out", "lang_pred", "score")]
-    rows = documents.select(*[F.col(f"`{c}`") for c in kept]).withColumn("held_out", held_out())
-    schema = rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    kept = [c for c in (documents.columns if carry is None else carry) if c.lower() not in ("held_out", "lang_pred", "score")]
+    rows = documents.select(*[F.col(f"`{c}`") for c in kept], held_out().alias("held_out"), F.col("text").alias("__text"))
+    rows = rows.drop("__text") if within else rows
+    schema = rows.drop("__text").select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     key = uuid.uuid4().hex
 
@@ -286,10 +330,15 @@ def identify(documents: DataFrame, path: str | None = None, sample: int = SAMPLE
         if scorer is None:
             _SCORERS.clear()
             scorer = _SCORERS[key] = Scorer(*sent.value)
-        for batch in slices(batches, "text"):
-            found = list(scorer.predict(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        names = [*kept, "held_out"]
+        for batch in batches:
+            texts = batch.column(within).field("text") if within else batch.column("__text")
+            table = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), texts], [*names, "__text"])
+            for part in slices([table], "__text"):
+                found = list(scorer.predict(part.column("__text").to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in names), pa.array([f[0] for f in found], pa.string()),
+                     pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
+        scorer.clear()
 
     return rows.mapInArrow(run, schema)

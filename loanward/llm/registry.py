@@ -56,8 +56,7 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
-        "doc_id", "held_out", "lang_pred", "score")
+    return identify(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

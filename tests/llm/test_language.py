@@ -5,7 +5,8 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from loanward.llm.language import UNKNOWN, Pieces, identify, vocabulary
+from loanward.llm import language
+from loanward.llm.language import UNKNOWN, Pieces, Scorer, identify, vocabulary
 from tests.llm.conftest import table
 
 PIECES = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab"]
@@ -102,3 +103,24 @@ def test_pieces_of_all_lengths_are_used():
     assert abs(table.score(["something"], chance)[0, 0] - np.log(0.5)) < 1e-4
     ids = table.found([longest.removeprefix("▁")], len(longest.removeprefix("▁")) + 1)
     assert pieces.index(longest) in ids
+
+
+def test_what_is_kept_is_bounded_and_changes_nothing(monkeypatch):
+    """Many different long chunks: the tables are emptied on the way, and predictions stay."""
+    r = np.random.default_rng(6)
+    chance = np.concatenate([r.random((len(PIECES), 2)) / 10, np.zeros((1, 2)), np.full((1, 2), UNKNOWN)])
+    texts = [" ".join("".join(r.choice(list("abc.é"), size=int(n))) for n in r.integers(1, 400, 30)) for _ in range(60)] + ["", None, "..."]
+    texts += texts[:5]
+    fresh = [p for t in texts for p in Scorer(PIECES, ["x", "y"], chance, np.array([0.3, 0.7])).predict([t])]
+    scorer = Scorer(PIECES, ["x", "y"], chance, np.array([0.3, 0.7]))
+    monkeypatch.setattr(language, "KEPT", 60_000)
+    got = []
+    for at in range(0, len(texts), 3):
+        got += list(scorer.predict(texts[at:at + 3]))
+        assert scorer.chunks.bytes <= 60_000 and scorer.words.bytes <= 60_000
+    assert [p for p, _ in got] == [p for p, _ in fresh] and np.allclose([s for _, s in got], [s for _, s in fresh])
+
+
+def test_long_texts_of_different_long_chunks(spark, docs):
+    rows = [(i, " ".join(f"{'abcdefghij'[i]}{n}" + "xyz" * (200 * (n % 40)) for n in range(400))) for i in range(4)]
+    assert {r.lang_pred for r in identify(docs(rows), carry=["doc_id"]).collect()} == {"en"}

@@ -13,7 +13,7 @@ STAGE = dict(cp.STAGES)
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in queries()} == {f"op{n}" for n in range(1, 14)}
     assert set(queries()) | {"pipeline"} <= set(names) and set(oracles()) <= set(queries())
     assert [n for n, _ in cp.STAGES] == ["language", "quality", "near_duplicates", "repeats", "packing"]
 
