@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     under the learned language that it is least unlike. Nothing measures how well a text fits at all.
     """
     send_package(spark)
-    found = identify(_with_row(docs, "doc_id", "text", "lang"))
+    found = identify(_with_row(docs, "doc_id", "text", "lang"), carry=["row"], within="row")
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
 
 
