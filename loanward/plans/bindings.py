@@ -17,6 +17,7 @@ from loanward.operators import anchors as an
 from loanward.operators import keys as ks
 from loanward.operators import profile as pf
 from loanward.operators.joins import joined
+from loanward.operators.pairs import Meeting, match_counts
 from loanward.operators.skew import skew_join, unfold, with_previous
 from loanward.sources.tables import Tables
 
@@ -73,6 +74,15 @@ def k03(t: Tables) -> DataFrame:
     return _per(both.filter("l_shipdate < o_orderdate"), "l_orderkey")
 
 
+@kind("k03_pair_counts")
+def k03_pairs(t: Tables) -> DataFrame:
+    """Events before orders of the same customer, per customer: both sides repeat the key, and no pair is made."""
+    orders = t["orders"].select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderstatus")
+    tests = {"before": [Meeting("event_type = 'purchase'", "o_orderstatus = 'F'", "ts", "<", "o_orderdate")],
+             "after": [Meeting("event_type = 'purchase'", "o_orderstatus = 'F'", "ts", ">=", "o_orderdate")]}
+    return match_counts(t["events"], orders, "user_id", tests, ["user_id"])
+
+
 @kind("k04_row_predicate")
 def k04(t: Tables) -> DataFrame:
     return t["customer"].filter("c_acctbal < 0").select("c_custkey", "c_acctbal")
@@ -221,6 +231,17 @@ def k22(t: Tables) -> DataFrame:
         F.sum("_n").alias("violations"))
 
 
+@kind("k22_pair_counts")
+def k22_pairs(t: Tables) -> DataFrame:
+    """Customers against suppliers of their nation, per segment: balances, and names that differ."""
+    customers = t["customer"].select(F.col("c_nationkey").alias("nation"), "c_acctbal", "c_mktsegment", "c_name")
+    suppliers = t["supplier"].select(F.col("s_nationkey").alias("nation"), "s_acctbal", "s_name")
+    tests = {"poorer": [Meeting(left="c_acctbal", op="<", right="s_acctbal")],
+             "far": [Meeting(left="c_acctbal", op="<", right="s_acctbal - 5000"), Meeting(left="c_acctbal", op=">", right="s_acctbal + 5000")],
+             "other_name": [Meeting("c_acctbal > 0", left="c_name", op="<>", right="s_name")], "pairs": [Meeting()]}
+    return match_counts(customers, suppliers, "nation", tests, ["c_mktsegment"])
+
+
 @kind("k23_rate_in_band")
 def k23(t: Tables) -> DataFrame:
     out = pf.rate(t["events"], "event_type = 'purchase'")

@@ -11,10 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanward.functions.sqltext import literal, over
+from loanward.operators.pairs import Meeting, match_counts
+from loanward.operators.skew import is_hot
+from loanward.plans.meetings import ALL, MEETINGS, SIDES
 from loanward.plans.relations import RELATIONS
 from loanward.plans.rule import SKIP, Relation, Rule, columns_read, missing_input
 from loanward.sources.tables import Tables
 
+#: What is appended to a relation's name for its pairs under keys that at most one side repeats often, and for the
+#: counts of the other pairs, which are not made.
+FEW, CROWDED = "|few", "|crowded"
+
 #: Columns of one aggregate; wider ones leave whole-stage code generation.
 AGGREGATES_PER_PASS = 90
 
@@ -30,12 +37,48 @@ class Plan:
         self.tables = tables
         self.relations = relations
         self._frames: dict[str, DataFrame] = {}
+        self._meetings: dict[str, dict[str, tuple[Meeting, ...]]] = defaultdict(dict)
 
     def frame(self, name: str) -> DataFrame:
         if name not in self._frames:
-            self._frames[name] = _words(self.relations[name], self.tables)
+            plain = name.removesuffix(FEW).removesuffix(CROWDED)
+            if name.endswith(FEW):
+                sides = SIDES[plain]
+                built = _words(self.relations[plain], self.tables.without(sides.left, sides.key, self.crowded(plain)))
+            elif name.endswith(CROWDED):
+                built = self.counted(plain, self._meetings[plain])
+            else:
+                built = _words(self.relations[plain], self.tables)
+            self._frames[name] = built
         return self._frames[name]
 
+    def crowded(self, relation: str) -> list:
+        """Keys that both sides of a relation repeat often; none for relations that are no two-sided joins."""
+        sides = SIDES.get(relation) if self.relations.get(relation) is RELATIONS.get(relation) else None
+        return self.tables.crowded(sides.left, sides.right, sides.key) if sides else []
+
+    def meetings(self, relation: str, predicate: str) -> tuple[Meeting, ...] | None:
+        """How a predicate is counted under crowded keys; None where there are none, or pairs are all there is."""
+        own = ALL if predicate == "TRUE" and relation in SIDES else MEETINGS.get((relation, predicate))
+        return own if own and self.crowded(relation) else None
+
+    def test(self, relation: str, predicate: str, own: tuple[Meeting, ...]) -> str:
+        """The predicate's name in the relation's counts."""
+        known = self._meetings[relation]
+        for name, meetings in known.items():
+            if meetings == own:
+                return name
+        name = f"t{len(known)}"
+        known[name] = own
+        return name
+
+    def counted(self, relation: str, tests: dict[str, tuple[Meeting, ...]], identity: tuple[str, ...] = ()) -> DataFrame:
+        """Pairs under crowded keys that meet the tests, counted."""
+        sides, keys = SIDES[relation], self.crowded(relation)
+        held = is_hot(F.col(sides.key), keys)
+        left, right = sides.rows(self.tables[sides.left].filter(held)), self.tables[sides.right].filter(held)
+        return match_counts(left, right, sides.key, tests, identity)
+
     def skip_reason(self, rule: Rule) -> str | None:
         """Why a rule cannot run.  Reads schemas only; a missing column never passes."""
         names = [rule.relation] + ([rule.base.relation] if rule.base else [])
@@ -147,18 +190,27 @@ def _measured(plan: Plan, rules: list[Rule]) -> DataFrame:
             wanted[relation][full] = column
         return names[full]
 
+    def number(relation: str, predicate: str, key: tuple, column: str, distinct: str | None) -> str:
+        """The measure; under keys that both sides of the relation repeat, pairs are counted and not made."""
+        own = plan.meetings(relation, predicate)
+        if own is None:
+            return f"m['{ask(relation, key, column, distinct)}']"
+        test = plan.test(relation, predicate, own)
+        counted = ask(relation + CROWDED, ("test", test), f"CASE WHEN test = '{test}' THEN violations END", None)
+        return f"(m['{ask(relation + FEW, key, column, distinct)}'] + m['{counted}'])"
+
     for r in rules:
         if r.count:
             matching = r.count.total
             for part, (relation, amount) in r.count.parts.items():
                 matching = matching.replace(f"{{{part}}}", f"m['{ask(relation, ('part', amount), amount, None)}']")
         else:
-            matching = f"m['{ask(r.relation, (r.predicate, r.weight), _amount(r), r.distinct)}']"
+            matching = number(r.relation, r.predicate, (r.predicate, r.weight), _amount(r), r.distinct)
         tol = r.tolerance
         base = "CAST(NULL AS BIGINT)"
         if tol.mode != "limit":
             rel, where = (r.base.relation, r.base.where) if r.base else (r.relation, "TRUE")
-            base = f"m['{ask(rel, ('base', where), f'CASE WHEN {where} THEN _n END', None)}']"
+            base = number(rel, where, ("base", where), f"CASE WHEN {where} THEN _n END", None)
         values = {"rule_id": r.id, "variant": r.variant, "title": r.title, "severity": r.severity,
                   "category": r.category, "mode": tol.mode, "limit_": tol.limit, "share": float(tol.share),
                   "minimum": float(tol.minimum), "low": float(tol.low), "high": float(tol.high)}
@@ -226,7 +278,17 @@ def violations(rule: Rule, tables: Tables, relations=RELATIONS) -> DataFrame:
 
 
 def offenders(rule: Rule, tables: Tables, relations=RELATIONS) -> DataFrame:
-    """Who violates a rule: identity columns and how often."""
+    """Who violates a rule: identity columns and how often.
+
+    Under keys that both sides of a join repeat, the pairs are counted and not made.
+    """
+    plan, identity = Plan(tables, relations), relations[rule.relation].identity
+    reads = rule.at(tables.as_of)
+    own = None if plan.skip_reason(reads) else plan.meetings(rule.relation, reads.predicate)
+    if own:
+        few = plan.frame(rule.relation + FEW).filter(F.expr(reads.predicate)).select(*identity, F.col("_n").alias("violations"))
+        counted = plan.counted(rule.relation, {"rule": own}, identity).select(*identity, "violations")
+        return few.unionByName(counted).groupBy(*identity).agg(F.sum("violations").alias("violations"))
     rows = violations(rule, tables, relations)
     if rule.distinct:
         return rows.select(rule.distinct).distinct().withColumn("violations", F.lit(1).cast("long"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanward.operators.skew import HOT_MIN_ROWS, hot_keys
+from loanward.operators.skew import HOT_MIN_ROWS, hot_keys, is_hot
 from loanward.sources.schemas import MODEL, load_declared
 
 #: The eight tables of the lending data model.
@@ -33,6 +33,9 @@ COLUMN_ALIASES = {
     },
 }
 
+#: Rows of a key on each side from which a join's pairs are counted instead of made.
+CROWD_ROWS = 10_000
+
 DEFAULT_AS_OF = dt.date(2023, 12, 31)
 
 
@@ -52,6 +55,7 @@ class Tables(Mapping[str, DataFrame]):
         self.declared = {**MODEL, **(declared or {})}
         self._hot: dict[tuple[str, str], list] = {}
         self._rows: dict[str, int] = {}
+        self._crowded: dict[tuple[str, str, str], list] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         return self._frames[name]
@@ -85,6 +89,27 @@ class Tables(Mapping[str, DataFrame]):
             self._hot[name, key] = hot_keys(self._frames[name], key, self.hot_min_rows, self.row_count(name))
         return self._hot[name, key]
 
+    def crowded(self, left: str, right: str, key: str) -> list:
+        """Key values that both tables repeat often, so that a join would pair their rows; null, which joins nothing, is none.
+
+        A key is looked for from CROWD_ROWS rows (or 1/50,000 of the table) on, on the left side only where the right
+        one has such keys.
+        """
+        if (left, right, key) not in self._crowded:
+            few = min(CROWD_ROWS, self.hot_min_rows)
+            sides = []
+            for name in (right, left):
+                if not sides or sides[-1]:
+                    sides.append(hot_keys(self._frames[name], key, few, self.row_count(name)))
+            self._crowded[left, right, key] = [k for k in sides[0] if k is not None and k in sides[-1]]
+        return self._crowded[left, right, key]
+
+    def without(self, name: str, key: str, values: Sequence) -> Tables:
+        """The tables without the rows of one that hold the values; what is known of keys stays."""
+        out = self.replace(**{name: self._frames[name].filter(~is_hot(F.col(key), values))})
+        out._hot, out._rows, out._crowded = self._hot, self._rows, self._crowded
+        return out
+
     def replace(self, **frames: DataFrame) -> Tables:
         return Tables({**self._frames, **frames}, self.as_of, self.hot_min_rows, self.declared)
 

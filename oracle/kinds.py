@@ -69,6 +69,16 @@ KINDS = {
     "k21_one_to_one":
         "SELECT d.doc_id, count(l.doc_id) AS children FROM (SELECT DISTINCT doc_id FROM documents) d "
         "LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1 HAVING count(l.doc_id) != 1",
+    "k03_pair_counts":
+        "SELECT CASE WHEN ts < o_orderdate THEN 'before' ELSE 'after' END AS test, user_id, count(*) AS violations "
+        "FROM events JOIN orders ON o_custkey = user_id WHERE event_type = 'purchase' AND o_orderstatus = 'F' "
+        "AND ts IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY ALL",
+    "k22_pair_counts":
+        "WITH p AS (SELECT * FROM customer JOIN supplier ON s_nationkey = c_nationkey) "
+        "SELECT 'poorer' AS test, c_mktsegment, count(*) AS violations FROM p WHERE c_acctbal < s_acctbal GROUP BY ALL "
+        "UNION ALL SELECT 'far', c_mktsegment, count(*) FROM p WHERE c_acctbal < s_acctbal - 5000 OR c_acctbal > s_acctbal + 5000 GROUP BY ALL "
+        "UNION ALL SELECT 'other_name', c_mktsegment, count(*) FROM p WHERE c_acctbal > 0 AND c_name <> s_name GROUP BY ALL "
+        "UNION ALL SELECT 'pairs', c_mktsegment, count(*) FROM p GROUP BY ALL",
     "k22_cross_table_value":
         "SELECT c_nationkey, s_nationkey, count(*) AS violations FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
         "JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey "

@@ -9,6 +9,7 @@ from loanward.plans.bindings import KINDS
 from loanward.plans.evaluate import evaluate, evaluate_one_by_one, offenders, violations
 from loanward.plans.packs import ALL_PACKS, CATALOGUE, FOUNDATION, NAMED, REDUCED, RUNNER
 from loanward.plans.rule import Base, Relation, Rule, Tolerance, at_most, band, below
+from loanward.plans.meetings import MEETINGS, SIDES
 from loanward.sources.tables import Tables
 
 
@@ -169,3 +170,35 @@ def test_user_defined_rule_and_relation(spark):
     row = evaluate([rule], t, relations).first()
     assert (row.status, row.violations, row.title) == ("FAIL", 1, "it's \\ sized")
     assert offenders(rule, t, relations).collect() == [("b", 1)]
+
+
+def _placeholder(tables):
+    """Rows of all two-sided joins moved to one id per join, so that it stands on both sides with different rows."""
+    moved = {"loan_tape": "application_id", "applications": "application_id", "credit_reports": "application_id",
+             "fraud_verification": "application_id", "credit_tradelines": "credit_report_id"}
+    frames = dict(tables)
+    for name, key in moved.items():
+        df = frames[name]
+        turn = F.pmod(F.xxhash64(*df.columns), F.lit(9))
+        frames[name] = df.withColumn(key, F.when(turn == 0, F.lit("NONE").cast(df.schema[key].dataType)).otherwise(F.col(key)))
+    reports = frames["credit_reports"]
+    turn = F.pmod(F.xxhash64("application_id", "report_date"), F.lit(7))
+    frames["credit_reports"] = reports.withColumn("credit_report_id", F.when(turn == 0, "NONE").otherwise(F.col("credit_report_id")))
+    return {n: df.limit(3000).cache() if n in {*moved} else df for n, df in frames.items()}
+
+
+def test_crowded_keys_are_counted_without_pairs(lending):
+    frames = _placeholder(lending)
+    plain, forced = Tables(frames), Tables(frames, hot_min_rows=20)
+    plain.crowded = lambda *names: []
+    two_sided = [r for p in ALL_PACKS.values() for r in p if r.relation in SIDES]
+    assert all((r.relation, r.predicate) in MEETINGS for r in two_sided)
+    for sides in SIDES.values():
+        assert forced.crowded(sides.left, sides.right, sides.key) == ["NONE"]
+    want = {(r.rule_id, r.variant): (r.matching, r.base, r.status) for r in evaluate(two_sided, plain).collect()}
+    got = {(r.rule_id, r.variant): (r.matching, r.base, r.status) for r in evaluate(two_sided, forced).collect()}
+    assert want == got and max(m for m, _, _ in got.values()) > 100
+    listed = ("INT-008", "POL-004", "LOG-008", "FND-018", "RUN-022", "FND-046")
+    for rule in {r.id: r for r in two_sided if r.id in listed}.values():
+        rows = {tuple(r) for r in offenders(rule, plain).collect()}
+        assert rows == {tuple(r) for r in offenders(rule, forced).collect()}, rule.id
