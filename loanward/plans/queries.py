@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanward.plans.bindings import KINDS, star_tables
+from loanward.plans.bindings import KINDS, STAR_TABLES, star_tables
 from loanward.plans.evaluate import evaluate, offenders
 from loanward.plans.packs import (
     CATALOGUE, CATALOGUE_SPEC, CHECKS, FOUNDATION, FOUNDATION_SPEC, REDUCED, RUNNER, RUNNER_SPEC)
@@ -17,6 +17,7 @@ from loanward.plans.preparations import PREPARATIONS
 from loanward.plans.profiles import PROFILES
 from loanward.plans.rule import Pack, Rule
 from loanward.reports import results as rp
+from loanward.sources.footers import Bound, facts_table, judge_bounds
 from loanward.sources.lending_views import lending_frames
 from loanward.sources.tables import Tables, sample_tables, table_stats
 
@@ -117,13 +118,35 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_stats(star_tables(spark, sf_dir))
 
 
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, nulls and bounds of all columns of the star tables, from footers where these hold them."""
+    return facts_table(spark, {n: f"{sf_dir}/{n}.parquet" for n in STAR_TABLES})
+
+
+#: Ranges of the star tables: those of whole numbers and without an upper end can be proved by footers.
+STAR_BOUNDS = {
+    "lineitem": (Bound("l_linenumber", 1, 7, nulls=False), Bound("l_quantity", 1), Bound("l_quantity", 1, 50),
+                 Bound("l_discount", 0.01, 0.09), Bound("l_orderkey", 10, nulls=False), Bound("l_extendedprice", nulls=False)),
+    "orders": (Bound("o_totalprice", 0, nulls=False), Bound("o_orderkey", 0), Bound("o_totalprice", 2000, 400000)),
+    "customer": (Bound("c_nationkey", 0, 24, nulls=False), Bound("c_acctbal", 0)),
+    "events": (Bound("user_id", 0, nulls=False), Bound("value", 0, 300), Bound("event_id", nulls=False)),
+    "documents": (Bound("n_chars", 1, 10000), Bound("lang", nulls=False)),
+}
+
+
+def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star tables' ranges: proved by footers, or counted in row groups that may break them."""
+    return reduce(DataFrame.unionByName, [
+        judge_bounds(spark, f"{sf_dir}/{t}.parquet", own).withColumn("table_name", F.lit(t)) for t, own in STAR_BOUNDS.items()])
+
+
 def query_name(rule: Rule) -> str:
     name = rule.id.lower().replace("-", "_")
     return name if rule.variant == "code" or rule.id == "FND-053" else f"{name}_{rule.variant}"
 
 
 def all_queries() -> dict[str, Query]:
-    out: dict[str, Query] = {"io_02_table_stats": _stats}
+    out: dict[str, Query] = {"io_02_table_stats": _stats, "io_02_column_facts": _facts, "k05_proved_bounds": _bounds}
     out.update({name: partial(_kind, name) for name in KINDS})
     for pack in (FOUNDATION, RUNNER, CATALOGUE, CHECKS, FOUNDATION_SPEC, RUNNER_SPEC, CATALOGUE_SPEC):
         for rule in pack:
