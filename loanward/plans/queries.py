@@ -15,9 +15,11 @@ from loanward.plans.packs import (
     CATALOGUE, CATALOGUE_SPEC, CHECKS, FOUNDATION, FOUNDATION_SPEC, REDUCED, RUNNER, RUNNER_SPEC)
 from loanward.plans.preparations import PREPARATIONS
 from loanward.plans.profiles import PROFILES
+from loanward.plans.relations import RELATIONS
 from loanward.plans.rule import Pack, Rule
 from loanward.reports import results as rp
 from loanward.sources.footers import Bound, facts_table, judge_bounds
+from loanward.sources.layout import Layout, open_bucketed, shared_folder, write_bucketed
 from loanward.sources.lending_views import lending_frames
 from loanward.sources.tables import Tables, sample_tables, table_stats
 
@@ -140,13 +142,32 @@ def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         judge_bounds(spark, f"{sf_dir}/{t}.parquet", own).withColumn("table_name", F.lit(t)) for t, own in STAR_BOUNDS.items()])
 
 
+def _by_loan(spark: SparkSession, sf_dir: str) -> Layout:
+    """Loan tape and payments written in buckets of their loan, and opened again."""
+    keys, folder = {"loan_tape": "loan_id", "payments": "loan_id"}, shared_folder(spark)
+    write_bucketed(lending(spark, sf_dir), folder, keys, 8, {"loan_tape": ["snapshot_date"]})
+    return open_bucketed(spark, folder, keys, 8)
+
+
+def _bucketed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_loan(spark, sf_dir).relation(RELATIONS["loan_ledger"])
+
+
+def _bucketed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots with the status and balance before them, from a window that moves no rows."""
+    steps = _by_loan(spark, sf_dir).relation(RELATIONS["loan_steps"])
+    return _plain(steps.select("loan_id", "snapshot_date", "loan_status", "prev_loan_status", "prev_current_principal_balance", "_n").groupBy(
+        "loan_id", "snapshot_date", "loan_status", "prev_loan_status", "prev_current_principal_balance").agg(F.sum("_n").alias("copies")))
+
+
 def query_name(rule: Rule) -> str:
     name = rule.id.lower().replace("-", "_")
     return name if rule.variant == "code" or rule.id == "FND-053" else f"{name}_{rule.variant}"
 
 
 def all_queries() -> dict[str, Query]:
-    out: dict[str, Query] = {"io_02_table_stats": _stats, "io_02_column_facts": _facts, "k05_proved_bounds": _bounds}
+    out: dict[str, Query] = {"io_02_table_stats": _stats, "io_02_column_facts": _facts, "k05_proved_bounds": _bounds,
+                             "io_04_bucketed_ledger": _bucketed_ledger, "io_04_bucketed_steps": _bucketed_steps}
     out.update({name: partial(_kind, name) for name in KINDS})
     for pack in (FOUNDATION, RUNNER, CATALOGUE, CHECKS, FOUNDATION_SPEC, RUNNER_SPEC, CATALOGUE_SPEC):
         for rule in pack:

@@ -158,6 +158,8 @@ def ledger(t: Tables, key: str, sources: dict[str, dict[str, str]]) -> DataFrame
     existence, orphan and cardinality rules on a key share one shuffle and no key can be
     too frequent for it.  Null is a key of its own.
     """
+    if len(sources) == 2 and all(t.bucketed.get(table) == key for table in sources):
+        return _bucketed_ledger(t, key, sources)
     names = [m for measures in sources.values() for m in measures]
     frames, selects = {}, []
     for table, measures in sources.items():
@@ -171,6 +173,29 @@ def ledger(t: Tables, key: str, sources: dict[str, dict[str, str]]) -> DataFrame
     return over(frames, f"SELECT {key}, {sums} FROM ({' UNION ALL '.join(selects)}) GROUP BY {key}")
 
 
+def _bucketed_ledger(t: Tables, key: str, sources: dict[str, dict[str, str]]) -> DataFrame:
+    """The ledger of two tables in buckets of the key: each is summed where it lies, and the sums meet there."""
+    def sums(table: str) -> str:
+        cells = ", ".join(f"sum(CAST({e} AS BIGINT)) AS {n}" for n, e in sources[table].items())
+        return f"SELECT {key}, {cells} FROM {{{table}}} WHERE {key} IS NOT NULL GROUP BY {key}"
+
+    one, two = sources
+    names = [(side, n) for side, table in (("a", one), ("b", two)) for n in sources[table]]
+    cells = ", ".join(f"coalesce({side}.{n}, 0L) AS {n}" for side, n in names)
+    kind = dict(t[one].dtypes)[key]
+    frames = {table: t[table] for table in sources}
+    known = over(frames, f"""
+        SELECT /*+ MERGE(b) */ coalesce(a.{key}, b.{key}) AS {key}, {cells}
+        FROM ({sums(one)}) a FULL JOIN ({sums(two)}) b ON a.{key} = b.{key}""")
+    # Null is a key of its own: one row of sums, if it occurs at all.
+    own = {table: ", ".join(f"CAST({sources[table].get(n, '0')} AS BIGINT) AS {n}" for _, n in names) for table in sources}
+    null = over(frames, f"""
+        SELECT CAST(NULL AS {kind}) AS {key}, {', '.join(f'sum({n}) AS {n}' for _, n in names)}
+        FROM (SELECT {own[one]} FROM {{{one}}} WHERE {key} IS NULL UNION ALL SELECT {own[two]} FROM {{{two}}} WHERE {key} IS NULL)
+        HAVING count(1) > 0""")
+    return known.unionByName(null)
+
+
 def _flag(t: Tables, table: str, columns: tuple[str, ...], condition: str) -> str:
     """1 where the condition holds; 0 where a column it reads is absent."""
     known = all(c in t.columns(table) for c in columns)

@@ -44,15 +44,18 @@ class Tables(Mapping[str, DataFrame]):
 
     ``hot(table, key)`` answers which key values are frequent enough to overload one
     task.  The answer steers the plan only; results do not depend on it.  ``declared`` holds
-    the columns each table should have: those given, else those of the lending model.
+    the columns each table should have: those given, else those of the lending model; ``bucketed``
+    the key that a table is laid out by, all such tables having the same number of buckets.
     """
 
     def __init__(self, frames: Mapping[str, DataFrame], as_of: dt.date = DEFAULT_AS_OF,
-                 hot_min_rows: int = HOT_MIN_ROWS, declared: Mapping[str, Sequence[str]] | None = None):
+                 hot_min_rows: int = HOT_MIN_ROWS, declared: Mapping[str, Sequence[str]] | None = None,
+                 bucketed: Mapping[str, str] | None = None):
         self._frames = dict(frames)
         self.as_of = as_of
         self.hot_min_rows = hot_min_rows
         self.declared = {**MODEL, **(declared or {})}
+        self.bucketed = dict(bucketed or {})
         self._hot: dict[tuple[str, str], list] = {}
         self._rows: dict[str, int] = {}
         self._crowded: dict[tuple[str, str, str], list] = {}

@@ -6,6 +6,7 @@ from loanward.plans.bindings import STAR_TABLES
 from oracle import rules as R
 from oracle.footers import FOOTERS
 from oracle.kinds import KINDS
+from oracle.layout import LAYOUT
 from oracle.preparations import PREPARATIONS
 from oracle.profiles import PROFILES
 from oracle.reports import REPORTS
@@ -23,6 +24,7 @@ def all_oracles() -> dict[str, str]:
         f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST({_COLUMNS[t]} AS BIGINT) AS column_count FROM {t}"
         for t in STAR_TABLES)}
     out.update(FOOTERS)
+    out.update(LAYOUT)
     out.update(KINDS)
     for group in (R.FOUNDATION, R.RUNNER, R.CATALOGUE, R.CHECKS):
         out.update({_key(i): R.offenders_sql(e) for i, e in group.items()})
