@@ -69,7 +69,7 @@ class Pieces:
             order = key.argsort()
             self.keys[length] = key[order], np.array(own, dtype=np.int64)[order]
 
-    def groups(self, words: list[str], cells: int = 200_000) -> Iterator[tuple[np.ndarray, int]]:
+    def groups(self, words: list[str], cells: int = 60_000) -> Iterator[tuple[np.ndarray, int]]:
         """Places and the common length (with the mark) of words of one length, a bounded number at a time."""
         size = np.array([len(w) for w in words])
         order = size.argsort(kind="stable")
@@ -334,7 +334,7 @@ def identify(documents: DataFrame, path: str | None = None, sample: int = SAMPLE
         for batch in batches:
             texts = batch.column(within).field("text") if within else batch.column("__text")
             table = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), texts], [*names, "__text"])
-            for part in slices([table], "__text"):
+            for part in slices([table], "__text", 2 << 20):
                 found = list(scorer.predict(part.column("__text").to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names), pa.array([f[0] for f in found], pa.string()),
