@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loanward.operators.quantiles import exact_quantiles
 from loanward.plans.bindings import KINDS, STAR_TABLES, star_tables
 from loanward.plans.evaluate import evaluate, offenders
 from loanward.plans.packs import (
@@ -160,6 +161,23 @@ def _bucketed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "loan_id", "snapshot_date", "loan_status", "prev_loan_status", "prev_current_principal_balance").agg(F.sum("_n").alias("copies")))
 
 
+#: Ranks that a distribution is described by.
+PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+def _line_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the lines' measures by flag and status, as values that occur."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return _rounded(exact_quantiles(lines, ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice", "l_discount"],
+                                    PROBABILITIES, interpolate=False))
+
+
+def _state_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of income, score and debt ratio by state."""
+    return _rounded(exact_quantiles(lending(spark, sf_dir)["applications"], ["address_state"], [
+        "annual_income", "fico_score_at_application", "debt_to_income_ratio"], PROBABILITIES))
+
+
 def query_name(rule: Rule) -> str:
     name = rule.id.lower().replace("-", "_")
     return name if rule.variant == "code" or rule.id == "FND-053" else f"{name}_{rule.variant}"
@@ -167,7 +185,8 @@ def query_name(rule: Rule) -> str:
 
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {"io_02_table_stats": _stats, "io_02_column_facts": _facts, "k05_proved_bounds": _bounds,
-                             "io_04_bucketed_ledger": _bucketed_ledger, "io_04_bucketed_steps": _bucketed_steps}
+                             "io_04_bucketed_ledger": _bucketed_ledger, "io_04_bucketed_steps": _bucketed_steps,
+                             "k24_quantiles": _line_quantiles, "stat_006_quantiles": _state_quantiles}
     out.update({name: partial(_kind, name) for name in KINDS})
     for pack in (FOUNDATION, RUNNER, CATALOGUE, CHECKS, FOUNDATION_SPEC, RUNNER_SPEC, CATALOGUE_SPEC):
         for rule in pack:

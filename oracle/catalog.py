@@ -9,6 +9,7 @@ from oracle.kinds import KINDS
 from oracle.layout import LAYOUT
 from oracle.preparations import PREPARATIONS
 from oracle.profiles import PROFILES
+from oracle.quantiles import QUANTILES
 from oracle.reports import REPORTS
 
 _COLUMNS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
@@ -25,6 +26,7 @@ def all_oracles() -> dict[str, str]:
         for t in STAR_TABLES)}
     out.update(FOOTERS)
     out.update(LAYOUT)
+    out.update(QUANTILES)
     out.update(KINDS)
     for group in (R.FOUNDATION, R.RUNNER, R.CATALOGUE, R.CHECKS):
         out.update({_key(i): R.offenders_sql(e) for i, e in group.items()})
