@@ -174,8 +174,8 @@ FROM (SELECT *, try_divide(matching * 100D, base) AS pct,
 """
 
 
-def _measured(plan: Plan, rules: list[Rule]) -> DataFrame:
-    """Judged result rows of the rules.
+def asked(plan: Plan, rules: list[Rule]) -> tuple[dict[str, dict[tuple, str]], dict[tuple, str], list[str]]:
+    """What the rules sum up: amounts by relation and measure, the measures' names, and the facts behind each judgement.
 
     Measures are asked for once per relation, whatever number of rules use them.
     """
@@ -216,7 +216,17 @@ def _measured(plan: Plan, rules: list[Rule]) -> DataFrame:
                   "minimum": float(tol.minimum), "low": float(tol.low), "high": float(tol.high)}
         fields = ", ".join(f"{literal(x)} AS {n}" for n, x in values.items())
         facts.append(f"struct({fields}, CAST({matching} AS BIGINT) AS matching, {base} AS base)")
+    return wanted, names, facts
+
+
+def judged(values: DataFrame, facts: list[str]) -> DataFrame:
+    """Result rows from the measures' values (measure, value)."""
+    return over({"values": values}, _JUDGE.replace("{facts}", ", ".join(facts)))
 
+
+def _measured(plan: Plan, rules: list[Rule]) -> DataFrame:
+    """Judged result rows of the rules."""
+    wanted, names, facts = asked(plan, rules)
     parts = []
     for relation, columns in wanted.items():
         grains = {full[-1] for full in columns if full[-1]}
@@ -229,7 +239,7 @@ def _measured(plan: Plan, rules: list[Rule]) -> DataFrame:
     # One row per measure: the map below is as large as the list of rules.
     named = {f"part{i}": part for i, part in enumerate(parts)}
     values = over(named, " UNION ALL ".join(f"SELECT measure, value FROM {{{n}}}" for n in named))
-    return over({"values": values}, _JUDGE.replace("{facts}", ", ".join(facts)))
+    return judged(values, facts)
 
 
 def evaluate(rules: Iterable[Rule], tables: Tables, relations=RELATIONS) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from loanward.operators.quantiles import exact_quantiles
 from loanward.plans.bindings import KINDS, STAR_TABLES, star_tables
 from loanward.plans.evaluate import evaluate, offenders
+from loanward.plans.measures import judge_parts, measure_parts, row_rules, save_parts, write_judged
 from loanward.plans.packs import (
     CATALOGUE, CATALOGUE_SPEC, CHECKS, FOUNDATION, FOUNDATION_SPEC, REDUCED, RUNNER, RUNNER_SPEC)
 from loanward.plans.preparations import PREPARATIONS
@@ -113,6 +114,31 @@ def _sign_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.sign_off(evaluate(CATALOGUE, lending(spark, sf_dir)))
 
 
+def _payment_rules() -> list[Rule]:
+    return row_rules([*FOUNDATION, *RUNNER, *CATALOGUE], "payments")
+
+
+def _judged_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments written by month of their due date and judged by their row rules on the way."""
+    tables = lending(spark, sf_dir)
+    dated = tables["payments"].withColumn("month", F.date_format("payment_due_date", "yyyy-MM"))
+    return write_judged(dated, shared_folder(spark), "payments", _payment_rules(), tables, ["month"]).select(
+        "rule_id", "violations", "status")
+
+
+#: Months whose payments come again, repaired.
+LATE_MONTHS = tuple(f"2023-{m:02d}" for m in range(7, 13))
+
+
+def _late_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments judged from saved months, after those of half a year came again without returned ones."""
+    before, rules, path = lending(spark, sf_dir), _payment_rules(), f"{shared_folder(spark)}/state"
+    after = before.replace(payments=before["payments"].filter("NOT returned_flag"))
+    save_parts(measure_parts(rules, before, "payments", "payment_due_date"), path)
+    save_parts(measure_parts(rules, after, "payments", "payment_due_date", LATE_MONTHS), path)
+    return judge_parts(rules, after, "payments", path).select("rule_id", "violations", "status")
+
+
 def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(FOUNDATION, sample_tables(lending(spark, sf_dir), 0.10)).select("rule_id", "violations", "status")
 
@@ -200,6 +226,7 @@ def all_queries() -> dict[str, Query]:
         "pack_specs": _specs, "pack_catalogue": partial(_pack, CATALOGUE), "pack_checks": partial(_pack, CHECKS),
         "rp_05_totals": _totals, "rp_06_failed": _failed, "rp_07_by_severity": _by_severity,
         "rp_08_by_category": _by_category, "rp_11_examples": _examples, "rp_12_versions": _versions,
+        "rp_02_judged_write": _judged_write, "rp_12_late_months": _late_months,
         "rp_13_sign_off": _sign_off, "rp_14_sampled_run": _sampled,
     })
     out.update({name: partial(_prepared, name) for name in PREPARATIONS})

@@ -7,6 +7,7 @@ from oracle import rules as R
 from oracle.footers import FOOTERS
 from oracle.kinds import KINDS
 from oracle.layout import LAYOUT
+from oracle.measures import MEASURES
 from oracle.preparations import PREPARATIONS
 from oracle.profiles import PROFILES
 from oracle.quantiles import QUANTILES
@@ -33,5 +34,6 @@ def all_oracles() -> dict[str, str]:
     out.update({_key(i, v): R.offenders_sql(e) for (i, v), e in R.SPEC.items()})
     out.update({_key(k) + ("_profile" if k.startswith("CHK") else ""): v for k, v in PROFILES.items()})
     out.update(REPORTS)
+    out.update(MEASURES)
     out.update(PREPARATIONS)
     return out
