@@ -20,9 +20,11 @@ from loanward.plans.profiles import PROFILES
 from loanward.plans.relations import RELATIONS
 from loanward.plans.rule import Pack, Rule
 from loanward.reports import results as rp
+from loanward.sources.delimited import read_declared_csv
 from loanward.sources.footers import Bound, facts_table, judge_bounds
 from loanward.sources.layout import Layout, open_bucketed, shared_folder, write_bucketed
 from loanward.sources.lending_views import lending_frames
+from loanward.sources.schemas import DeclaredColumn
 from loanward.sources.tables import Tables, sample_tables, table_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +206,36 @@ def _state_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "annual_income", "fico_score_at_application", "debt_to_income_ratio"], PROBABILITIES))
 
 
+#: The orders' declaration; one column is too short for some values, one is not in the file.
+ORDER_COLUMNS = tuple(DeclaredColumn(*c) for c in (
+    ("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_totalprice", "DECIMAL(12,2)"), ("o_orderdate", "DATE"),
+    ("o_orderpriority", "VARCHAR(8)"), ("o_clerk", "VARCHAR(15)")))
+
+
+def _orders_as_csv(spark: SparkSession, sf_dir: str) -> str:
+    """All orders as CSV lines, of which some have words for prices and dates, or fields too many."""
+    path = f"{shared_folder(spark)}/orders"
+    spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("""concat_ws(',', o_orderkey, o_custkey, o_orderstatus,
+        if(o_orderkey % 97 = 3, 'n/a', CAST(o_totalprice AS STRING)), if(o_orderkey % 89 = 5, 'unknown', CAST(CAST(o_orderdate AS DATE) AS STRING)),
+        concat('"', o_orderpriority, '"'), if(o_orderkey % 101 = 7, 'left,over', NULL)) AS value""").write.text(path)
+    return path
+
+
+def _declared_csv(spark: SparkSession, sf_dir: str):
+    return read_declared_csv(spark, _orders_as_csv(spark, sf_dir), ORDER_COLUMNS, [
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+
+
+def _csv_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the orders' CSV lines lose by their declaration."""
+    return _declared_csv(spark, sf_dir).faults()
+
+
+def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as the declared load gives them, without malformed lines."""
+    return _plain(_declared_csv(spark, sf_dir).rows.filter("_malformed IS NULL").drop("_malformed"))
+
+
 def query_name(rule: Rule) -> str:
     name = rule.id.lower().replace("-", "_")
     return name if rule.variant == "code" or rule.id == "FND-053" else f"{name}_{rule.variant}"
@@ -212,6 +244,7 @@ def query_name(rule: Rule) -> str:
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {"io_02_table_stats": _stats, "io_02_column_facts": _facts, "k05_proved_bounds": _bounds,
                              "io_04_bucketed_ledger": _bucketed_ledger, "io_04_bucketed_steps": _bucketed_steps,
+                             "io_03_declared_faults": _csv_faults, "io_03_declared_rows": _csv_rows,
                              "k24_quantiles": _line_quantiles, "stat_006_quantiles": _state_quantiles}
     out.update({name: partial(_kind, name) for name in KINDS})
     for pack in (FOUNDATION, RUNNER, CATALOGUE, CHECKS, FOUNDATION_SPEC, RUNNER_SPEC, CATALOGUE_SPEC):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loanward.plans.bindings import STAR_TABLES
 from oracle import rules as R
+from oracle.delimited import DELIMITED
 from oracle.footers import FOOTERS
 from oracle.kinds import KINDS
 from oracle.layout import LAYOUT
@@ -26,6 +27,7 @@ def all_oracles() -> dict[str, str]:
         f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST({_COLUMNS[t]} AS BIGINT) AS column_count FROM {t}"
         for t in STAR_TABLES)}
     out.update(FOOTERS)
+    out.update(DELIMITED)
     out.update(LAYOUT)
     out.update(QUANTILES)
     out.update(KINDS)
