@@ -124,3 +124,24 @@ RUNNER_SPEC = Pack("runner_spec", (
          "loan_status LIKE '%DELINQUENT%'", "K02", variant="distinct", category="State Machine", distinct="loan_id",
          count=summed("loan_ledger", "CASE WHEN delinquent > 0 AND (missed = 0 OR loan_id IS NULL) THEN 1 END")),
 ))
+
+#: How far a row is beyond its bound, for rules with a measure: the worst are listed first.
+RUNNER_EXCESS = {
+    "RUN-012": "days_past_due",
+    "RUN-013": "current_principal_balance",
+    "RUN-014": "120 - days_past_due",
+    "RUN-024": "-current_principal_balance",
+    "RUN-026": "current_principal_balance - original_loan_amount",
+    "RUN-028": "greatest(0.01D - original_interest_rate, original_interest_rate - 0.40D)",
+    "RUN-029": "abs(principal_paid + interest_paid - actual_payment_amount)",
+    "RUN-032": "-original_loan_amount",
+    "RUN-034": "actual_payment_amount",
+    "RUN-036": "abs(actual_payment_amount - scheduled_payment_amount_calc)",
+    "RUN-037": "interest_paid - interest_accrued",
+    "RUN-038": "interest_accrued - interest_paid",
+    "RUN-042": "trades_currently_past_due_count - all_trades_count",
+    "RUN-043": "open_trades_count - all_trades_count",
+    "RUN-044": "greatest(-revolving_utilization_ratio, revolving_utilization_ratio - 2)",
+    "RUN-047": "greatest(-identity_verification_score, identity_verification_score - 100)",
+    "RUN-048": "greatest(-fraud_risk_score, fraud_risk_score - 999)",
+}

@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 from loanward.operators.quantiles import exact_quantiles
 from loanward.plans.bindings import KINDS, STAR_TABLES, star_tables
+from loanward.plans.drilldown import worst_offenders
 from loanward.plans.evaluate import evaluate, offenders
 from loanward.plans.measures import judge_parts, measure_parts, row_rules, save_parts, write_judged
 from loanward.plans.packs import (
     CATALOGUE, CATALOGUE_SPEC, CHECKS, FOUNDATION, FOUNDATION_SPEC, REDUCED, RUNNER, RUNNER_SPEC)
+from loanward.plans.packs.runner import RUNNER_EXCESS
 from loanward.plans.preparations import PREPARATIONS
 from loanward.plans.profiles import PROFILES
 from loanward.plans.relations import RELATIONS
@@ -97,6 +99,11 @@ def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worst.select("credit_report_id", "application_id", "open_trades_count", "all_trades_count", "excess")
 
 
+def _worst_of_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten worst offenders of every failing runner rule; these rules allow nothing, so any offender makes one fail."""
+    return worst_offenders(RUNNER, lending(spark, sf_dir), RUNNER_EXCESS).drop("variant")
+
+
 def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written variants, judged like the packs."""
     rules = [*FOUNDATION_SPEC, *RUNNER_SPEC, *CATALOGUE_SPEC]
@@ -258,7 +265,7 @@ def all_queries() -> dict[str, Query]:
         "pack_runner": partial(_pack, RUNNER),
         "pack_specs": _specs, "pack_catalogue": partial(_pack, CATALOGUE), "pack_checks": partial(_pack, CHECKS),
         "rp_05_totals": _totals, "rp_06_failed": _failed, "rp_07_by_severity": _by_severity,
-        "rp_08_by_category": _by_category, "rp_11_examples": _examples, "rp_12_versions": _versions,
+        "rp_08_by_category": _by_category, "rp_11_examples": _examples, "rp_11_worst_of_pack": _worst_of_pack, "rp_12_versions": _versions,
         "rp_02_judged_write": _judged_write, "rp_12_late_months": _late_months,
         "rp_13_sign_off": _sign_off, "rp_14_sampled_run": _sampled,
     })

@@ -5,6 +5,7 @@ from __future__ import annotations
 from loanward.plans.bindings import STAR_TABLES
 from oracle import rules as R
 from oracle.delimited import DELIMITED
+from oracle.drilldown import DRILLDOWN
 from oracle.footers import FOOTERS
 from oracle.kinds import KINDS
 from oracle.layout import LAYOUT
@@ -37,5 +38,6 @@ def all_oracles() -> dict[str, str]:
     out.update({_key(k) + ("_profile" if k.startswith("CHK") else ""): v for k, v in PROFILES.items()})
     out.update(REPORTS)
     out.update(MEASURES)
+    out.update(DRILLDOWN)
     out.update(PREPARATIONS)
     return out
