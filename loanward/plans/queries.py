@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from loanward.operators.quantiles import exact_quantiles
 from loanward.plans.bindings import KINDS, STAR_TABLES, star_tables
 from loanward.plans.drilldown import worst_offenders
+from loanward.plans.estimates import estimates
 from loanward.plans.evaluate import evaluate, offenders
 from loanward.plans.measures import judge_parts, measure_parts, row_rules, save_parts, write_judged
 from loanward.plans.packs import (
@@ -152,6 +153,16 @@ def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(FOUNDATION, sample_tables(lending(spark, sf_dir), 0.10)).select("rule_id", "violations", "status")
 
 
+#: Tables whose row rules are estimated from a sample of families.
+FAMILY_TABLES = ("applications", "loan_tape", "payments", "credit_reports", "credit_tradelines", "fraud_verification")
+
+
+def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foundation rules on single rows, from a tenth of the families, scaled up with intervals."""
+    rules = [r for t in FAMILY_TABLES for r in row_rules(FOUNDATION, t)]
+    return _rounded(estimates(rules, lending(spark, sf_dir), 0.10).drop("variant"), 4)
+
+
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_stats(star_tables(spark, sf_dir))
 
@@ -267,7 +278,7 @@ def all_queries() -> dict[str, Query]:
         "rp_05_totals": _totals, "rp_06_failed": _failed, "rp_07_by_severity": _by_severity,
         "rp_08_by_category": _by_category, "rp_11_examples": _examples, "rp_11_worst_of_pack": _worst_of_pack, "rp_12_versions": _versions,
         "rp_02_judged_write": _judged_write, "rp_12_late_months": _late_months,
-        "rp_13_sign_off": _sign_off, "rp_14_sampled_run": _sampled,
+        "rp_13_sign_off": _sign_off, "rp_14_sampled_run": _sampled, "rp_14_estimates": _estimated,
     })
     out.update({name: partial(_prepared, name) for name in PREPARATIONS})
     return out

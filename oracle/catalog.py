@@ -6,6 +6,7 @@ from loanward.plans.bindings import STAR_TABLES
 from oracle import rules as R
 from oracle.delimited import DELIMITED
 from oracle.drilldown import DRILLDOWN
+from oracle.estimates import ESTIMATES
 from oracle.footers import FOOTERS
 from oracle.kinds import KINDS
 from oracle.layout import LAYOUT
@@ -39,5 +40,6 @@ def all_oracles() -> dict[str, str]:
     out.update(REPORTS)
     out.update(MEASURES)
     out.update(DRILLDOWN)
+    out.update(ESTIMATES)
     out.update(PREPARATIONS)
     return out

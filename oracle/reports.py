@@ -73,15 +73,16 @@ REPAIRED = {"loan_tape": "loan_status NOT IN ('FROZEN')",
             "payments": "NOT (payment_status = 'MISSED' AND actual_payment_amount > 0)"}
 
 
-def _changed(views: dict[str, str]) -> str:
-    """The foundation pack over views that stand in for those named; ``{name}_all`` is what they replace."""
-    text = R.with_views(f"SELECT * FROM ({pack_body(R.FOUNDATION)})")
+def _changed(views: dict[str, str], body: str = f"SELECT * FROM ({pack_body(R.FOUNDATION)})") -> str:
+    """The body over views that stand in for those named; ``{name}_all`` is what they replace."""
+    text = R.with_views(body)
     present = [n for n in R.VIEWS if f"{n} AS (" in text]
     for name in views:
         text = text.replace(f"{name} AS (", f"{name}_all AS (", 1)
     order = sorted((n for n in present if n in views), key=lambda n: n in ("payments", "credit_tradelines"))
     added = ", ".join(f"{n} AS ({views[n]})" for n in order)
-    first = min(text.index(f", {h} AS (") for h in R.HELPERS if f", {h} AS (" in text)
+    helpers = [text.index(f", {h} AS (") for h in R.HELPERS if f", {h} AS (" in text]
+    first = min(helpers) if helpers else text.index(f") {body}") + 1
     return f"{text[:first]}, {added}{text[first:]}"
 
 
@@ -98,13 +99,13 @@ def _versions() -> str:
 _KEPT = "left(md5(CAST(application_id AS VARCHAR) || '|7'), 12) < '19999999999a'"
 
 
-def _sampled() -> str:
+def _sampled(*body: str) -> str:
     views = {n: f"SELECT * FROM {n}_all WHERE {_KEPT}" for n in (
         "applications", "loan_tape", "credit_reports", "fraud_verification", "bank_transactions")}
     for child, parent, key in (("payments", "loan_tape", "loan_id"), ("credit_tradelines", "credit_reports", "credit_report_id")):
         views[child] = (f"SELECT * FROM {child}_all x WHERE NOT EXISTS (SELECT 1 FROM {parent}_all p WHERE p.{key} = x.{key}) "
                         f"OR EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = x.{key})")
-    return _changed(views)
+    return _changed(views, *body)
 
 
 #: Relative tolerances of the written variants; the others allow nothing.
