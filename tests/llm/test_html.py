@@ -1,10 +1,12 @@
 """Main text: the scan against all runs, and pages of many shapes."""
 
 import random
+import time
 
 import pytest
 
-from loanward.llm.html import best_run, extract, fit, main_text
+from loanward.llm import html
+from loanward.llm.html import best_run, extract, fit, main_text, whole_elements
 from tests.llm.conftest import table
 
 WEIGHTS = {"word": 1.0, "link": 0.5, "": -0.02}
@@ -89,3 +91,59 @@ def test_odd_rows(spark):
 ])
 def test_what_is_skipped_ends_without_its_end_tag(page, want):
     assert main_text(page, WEIGHTS) == want
+
+
+#: Weights as a fit gives them: words gain much, and frequent tags of the frame cost as much.
+FITTED = {"word": 3.0, "link": 0.8, "": -0.02, "div": -3.0, "nav": -3.0, "article": -3.0, "body": -3.0, "p": -0.001}
+_HEAVY = ("<table>" + "<tr><td></td><td></td></tr>" * 300 + "</table>", "<ul>" + "<li><i></i></li>" * 400 + "</ul>",
+          "<div><figure><img></figure></div>" * 200)
+
+
+@pytest.mark.parametrize("heavy", _HEAVY)
+@pytest.mark.parametrize("element", ["article", "main"])
+@pytest.mark.parametrize("place", [0, 1, 2])
+def test_nothing_of_a_labelled_element_is_lost_to_heavy_markup(heavy, element, place):
+    parts = ["<p>Short intro.</p>", "<p>The long second part, with more words.</p>"]
+    parts.insert(place, heavy)
+    page = f"<body><div>Menu</div><{element}>{''.join(parts)}</{element}><div>Copyright</div></body>"
+    for weights in (FITTED, WEIGHTS):
+        text = main_text(page, weights).split("\n")
+        assert "Short intro." in text and "The long second part, with more words." in text
+
+
+def test_runs_are_extended_to_the_nearest_element_they_touch():
+    labels = [0, 1, 2, 2, 2, 1, 1, 0, 2, 2]
+    assert whole_elements(labels, 3, 4) == (2, 5)
+    assert whole_elements(labels, 5, 6) == (1, 7)
+    assert whole_elements(labels, 0, 3) == (0, 5)
+    assert whole_elements(labels, 3, 9) == (2, 10)
+    assert whole_elements(labels, 0, 1) == (0, 1)
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<b>" * n + "</i>" * n, lambda n: "<div>" * n + "</p>" * n, lambda n: "<div class=ad>" + "<div>" * n + "</p>" * n,
+    lambda n: "<article class=comment>" * n, lambda n: "<div class=ad>" + "<article>" * n, lambda n: "<b " * n + '"',
+    lambda n: "<a href='x" * n, lambda n: "<ul class=ad>" * n + "<li class=ad><ul>" * n, lambda n: "<p class=ad>" + "<button><p>" * n,
+    lambda n: "<x%d>" * n % tuple(range(n)), lambda n: "<!-- " * n, lambda n: "<script>" * n, lambda n: "</" * n])
+def test_time_is_in_proportion_to_the_page(make):
+    def least(n):
+        page, runs = make(n), []
+        for _ in range(3):
+            start = time.process_time()
+            main_text(page, WEIGHTS)
+            runs.append(time.process_time() - start)
+        return min(runs)
+    assert least(40_000) < 3 * least(20_000) + 0.1
+
+
+def test_a_stray_quote_ends_with_its_tag():
+    assert main_text('<p>a</p><p class="x>b</p><p>c</p>', WEIGHTS) == "a\nb\nc"
+
+
+def test_fit_does_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    rows = [(i % 7 if i % 3 else None, f"<nav>{'m ' * (i % 5)}</nav><article><h1>t</h1><p>{'w ' * i}</p></article><x{i}></x{i}>") for i in range(60)]
+    pages = spark.createDataFrame(rows + rows[:5], "page_id long, html string")
+    fits = [fit(p, 10) for p in (pages, pages.repartition(7), pages.orderBy("html").coalesce(1))]
+    assert fits[0] == fits[1] == fits[2] and fits[0]["word"] > 0
+    monkeypatch.setattr(html, "FEATURES", 4)
+    assert len(fit(pages, 10)) <= 4 + 3 and fit(pages, 10) == fit(pages.repartition(5), 10)
