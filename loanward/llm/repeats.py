@@ -478,30 +478,33 @@ def marked(documents: DataFrame, size: int = SIZE, words: bool = False) -> DataF
 
 
 def removal(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of every row.
 
     Each byte is removed that lies in a string of ``size`` bytes which also starts somewhere else. Null and empty
-    texts have 0 bytes. Repeated rows repeat each other, so that all of their bytes go if there are ``size``. Other
+    texts have 0 bytes. The digest is of the remaining bytes, ``text`` is what they say: a character that lost some of
+    its bytes goes as a whole there. Repeated rows repeat each other, so that all of their bytes go if there are ``size``. Other
     columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sizes, gone, runs, digests = [], [], [], []
+            sizes, gone, runs, digests, texts = [], [], [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = text.encode()
                 cuts = merged(spans, len(data))
                 sizes.append(len(data))
                 gone.append(sum(b - a for a, b in cuts))
                 runs.append(len(cuts))
-                digests.append(hashlib.sha256(remaining(data, cuts)).hexdigest())
+                kept = remaining(data, cuts)
+                digests.append(hashlib.sha256(kept).hexdigest())
+                texts.append(kept.decode(errors="ignore") if cuts else text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array(runs, pa.int64()), pa.array(digests, pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                 pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     return marked(documents.select("doc_id", "text"), size).select(
         F.col("row.doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def without_repeats(documents: DataFrame, size: int = SIZE, words: bool = False) -> DataFrame:

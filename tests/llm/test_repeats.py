@@ -141,3 +141,13 @@ def test_word_passages_match_all_windows(docs, monkeypatch, joined, block):
         data = (text or "").encode()
         left[i] = rp.remaining(data, rp.merged(spans.get(hashlib.md5(data).digest()), len(data))).decode().split()
     assert left == worded(rows)
+
+
+def test_the_text_is_what_the_remaining_bytes_say(docs):
+    plain = rp.removal(docs(passages(5, letters="abcd ")), 100).collect()
+    assert sum(r.n_removed for r in plain) > 0
+    for r in plain:
+        assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 and len(r.text) == r.n_bytes - r.n_removed
+    for r in rp.removal(docs(passages(6)), 100).collect():
+        # A cut may leave one byte of a character of two at each of its ends.
+        assert 0 <= r.n_bytes - r.n_removed - len(r.text.encode()) <= 2 * r.n_spans and "�" not in r.text
