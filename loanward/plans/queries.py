@@ -105,6 +105,23 @@ def _worst_of_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worst_offenders(RUNNER, lending(spark, sf_dir), RUNNER_EXCESS).drop("variant")
 
 
+def _skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runner pack where a table and a column are absent: the rules that read them are skipped, and never pass."""
+    tables = lending(spark, sf_dir)
+    less = {n: f.drop("interest_accrued") if n == "payments" else f for n, f in tables.items() if n != "bank_transactions"}
+    return rp.runner_report(evaluate(RUNNER, Tables(less, tables.as_of))).select(
+        F.col("Check_ID").alias("check_id"), F.col("Violations").alias("violations"), F.col("Status").alias("status"))
+
+
+def _saved_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The foundation report as it stands in its CSV file, with the exit code of the gate beside it."""
+    results, path = rp.settled(_foundation(spark, sf_dir)), f"{shared_folder(spark)}/report"
+    rp.save_csv(rp.foundation_report(results), path)
+    saved = spark.read.option("header", True).schema(
+        "check_id string, check_name string, status string, violations long, tolerance double, details string, severity string").csv(path)
+    return saved.drop("check_name").withColumn("exit_code", F.lit(rp.exit_code(results)).cast("long"))
+
+
 def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written variants, judged like the packs."""
     rules = [*FOUNDATION_SPEC, *RUNNER_SPEC, *CATALOGUE_SPEC]
@@ -277,7 +294,7 @@ def all_queries() -> dict[str, Query]:
         "pack_specs": _specs, "pack_catalogue": partial(_pack, CATALOGUE), "pack_checks": partial(_pack, CHECKS),
         "rp_05_totals": _totals, "rp_06_failed": _failed, "rp_07_by_severity": _by_severity,
         "rp_08_by_category": _by_category, "rp_11_examples": _examples, "rp_11_worst_of_pack": _worst_of_pack, "rp_12_versions": _versions,
-        "rp_02_judged_write": _judged_write, "rp_12_late_months": _late_months,
+        "rp_02_skipped": _skipped, "rp_09_saved_report": _saved_report, "rp_02_judged_write": _judged_write, "rp_12_late_months": _late_months,
         "rp_13_sign_off": _sign_off, "rp_14_sampled_run": _sampled, "rp_14_estimates": _estimated,
     })
     out.update({name: partial(_prepared, name) for name in PREPARATIONS})
