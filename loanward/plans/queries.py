@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanward.operators.quantiles import exact_quantiles
+from loanward.operators.sieve import sieved_holders, sieved_orphans
 from loanward.plans.bindings import KINDS, STAR_TABLES, star_tables
 from loanward.plans.drilldown import worst_offenders
 from loanward.plans.estimates import estimates
@@ -241,6 +242,19 @@ def _state_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "annual_income", "fico_score_at_application", "debt_to_income_ratio"], PROBABILITIES))
 
 
+def _urgent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of large urgent orders, by a filter of these orders' keys in the lines' scan."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderpriority = '1-URGENT' AND o_totalprice > 300000")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    return sieved_holders(lines, orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+
+
+def _orders_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of customers that are not among those in debt."""
+    debtors = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_acctbal < -500").withColumnRenamed("c_custkey", "o_custkey")
+    return sieved_orphans(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), debtors, "o_custkey")
+
+
 #: The orders' declaration; one column is too short for some values, one is not in the file.
 ORDER_COLUMNS = tuple(DeclaredColumn(*c) for c in (
     ("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_totalprice", "DECIMAL(12,2)"), ("o_orderdate", "DATE"),
@@ -280,6 +294,7 @@ def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {"io_02_table_stats": _stats, "io_02_column_facts": _facts, "k05_proved_bounds": _bounds,
                              "io_04_bucketed_ledger": _bucketed_ledger, "io_04_bucketed_steps": _bucketed_steps,
                              "io_03_declared_faults": _csv_faults, "io_03_declared_rows": _csv_rows,
+                             "k32_sieved_holders": _urgent_lines, "k01_sieved_orphans": _orders_outside,
                              "k24_quantiles": _line_quantiles, "stat_006_quantiles": _state_quantiles}
     out.update({name: partial(_kind, name) for name in KINDS})
     for pack in (FOUNDATION, RUNNER, CATALOGUE, CHECKS, FOUNDATION_SPEC, RUNNER_SPEC, CATALOGUE_SPEC):

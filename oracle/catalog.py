@@ -15,6 +15,7 @@ from oracle.preparations import PREPARATIONS
 from oracle.profiles import PROFILES
 from oracle.quantiles import QUANTILES
 from oracle.reports import REPORTS
+from oracle.sieve import SIEVE
 
 _COLUMNS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
             "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
@@ -32,6 +33,7 @@ def all_oracles() -> dict[str, str]:
     out.update(DELIMITED)
     out.update(LAYOUT)
     out.update(QUANTILES)
+    out.update(SIEVE)
     out.update(KINDS)
     for group in (R.FOUNDATION, R.RUNNER, R.CATALOGUE, R.CHECKS):
         out.update({_key(i): R.offenders_sql(e) for i, e in group.items()})
