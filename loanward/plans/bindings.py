@@ -19,7 +19,7 @@ from loanward.operators import profile as pf
 from loanward.operators.joins import joined
 from loanward.operators.pairs import Meeting, match_counts
 from loanward.operators.skew import skew_join, unfold, with_previous
-from loanward.sources.tables import Tables
+from loanward.sources.tables import Tables, size_shuffles
 
 KINDS: dict[str, Callable[[Tables], DataFrame]] = {}
 
@@ -28,7 +28,9 @@ STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 
 
 def star_tables(spark: SparkSession, sf_dir: str, **options) -> Tables:
-    return Tables({n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in STAR_TABLES}, **options)
+    frames = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in STAR_TABLES}
+    size_shuffles(frames.values())
+    return Tables(frames, **options)
 
 
 def kind(name: str):

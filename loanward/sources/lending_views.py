@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loanward.sources.tables import size_shuffles
+
 
 def _orig(k: str) -> str:
     """Origination date of loan number ``k``: one of 48 cohorts, 30 days apart."""
@@ -350,4 +352,5 @@ def lending_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         if view.source not in base:
             base[view.source] = spark.read.parquet(os.path.join(sf_dir, f"{view.source}.parquet"))
         out[name] = view.frame(base[view.source])
+    size_shuffles(base.values())
     return out

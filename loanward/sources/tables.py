@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +38,30 @@ COLUMN_ALIASES = {
 #: Rows of a key on each side from which a join's pairs are counted instead of made.
 CROWD_ROWS = 10_000
 
+#: Rows of all tables together for each shuffle partition.
+ROWS_PER_PARTITION = 500_000
+
 DEFAULT_AS_OF = dt.date(2023, 12, 31)
 
 
+def size_shuffles(frames: Iterable[DataFrame], rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+    """Give the session at least one shuffle partition for so many rows of the frames, and return how many it has.
+
+    A fixed number would let the rows of each task, its memory and what it spills grow with the tables. The session's
+    own number is only raised; adaptive execution still joins partitions of small shuffles. Plain Parquet tables are
+    counted from their footers, in one job.
+    """
+    counts = reduce(DataFrame.unionAll, [df.agg(F.count(F.lit(1)).alias("rows")) for df in frames])
+    conf, needed = counts.sparkSession.conf, -(-sum(r.rows for r in counts.collect()) // rows_per_partition)
+    known = int(conf.get("spark.sql.shuffle.partitions"))
+    if needed <= known:
+        return known
+    conf.set("spark.sql.shuffle.partitions", needed)
+    # Joined partitions are otherwise as large as the advised size in compressed bytes, whatever rows these hold.
+    conf.set("spark.sql.adaptive.coalescePartitions.minPartitionNum", needed)
+    return needed
+
+
 class Tables(Mapping[str, DataFrame]):
     """Named lazy DataFrames plus what the plans need to know about them.
 
@@ -152,6 +175,8 @@ def load_tables(spark: SparkSession, directory: str, names: Iterable[str] = LEND
                 raise
             continue
         frames[name] = add_aliases(typed_nulls(df), name)
+    if frames:
+        size_shuffles(frames.values())
     if schemas:
         options["declared"] = {n: [c.name for c in load_declared(spark, f"{schemas.rstrip('/')}/{n}.csv")] for n in frames}
     return Tables(frames, as_of, **options)
