@@ -26,10 +26,10 @@ from loanward.plans.rule import Pack, Rule
 from loanward.reports import results as rp
 from loanward.sources.delimited import read_declared_csv
 from loanward.sources.footers import Bound, facts_table, judge_bounds
-from loanward.sources.layout import Layout, open_bucketed, shared_folder, write_bucketed
+from loanward.sources.layout import Layout, bucket_count, open_bucketed, shared_folder, write_bucketed
 from loanward.sources.lending_views import lending_frames
 from loanward.sources.schemas import DeclaredColumn
-from loanward.sources.tables import Tables, sample_tables, table_stats
+from loanward.sources.tables import Tables, sample_tables, size_shuffles, table_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -210,8 +210,10 @@ def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _by_loan(spark: SparkSession, sf_dir: str) -> Layout:
     """Loan tape and payments written in buckets of their loan, and opened again."""
     keys, folder = {"loan_tape": "loan_id", "payments": "loan_id"}, shared_folder(spark)
-    write_bucketed(lending(spark, sf_dir), folder, keys, 8, {"loan_tape": ["snapshot_date"]})
-    return open_bucketed(spark, folder, keys, 8)
+    tables = lending(spark, sf_dir)
+    buckets = bucket_count(tables, keys)
+    write_bucketed(tables, folder, keys, buckets, {"loan_tape": ["snapshot_date"]})
+    return open_bucketed(spark, folder, keys, buckets)
 
 
 def _bucketed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +234,7 @@ PROBABILITIES = (0.05, 0.25, 0.5, 0.75, 0.95)
 def _line_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of the lines' measures by flag and status, as values that occur."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    size_shuffles([lines])
     return _rounded(exact_quantiles(lines, ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice", "l_discount"],
                                     PROBABILITIES, interpolate=False))
 

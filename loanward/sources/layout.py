@@ -19,6 +19,9 @@ from loanward.operators.skew import is_hot
 from loanward.plans.rule import Relation
 from loanward.sources.tables import Tables, write_table
 
+#: Rows of the largest table for each bucket, which one task sorts, writes and reads.
+ROWS_PER_BUCKET = 500_000
+
 #: Folders of local sessions that have no spark.checkpoint.dir.
 _OWN: dict[str, str] = {}
 
@@ -46,6 +49,11 @@ class Layout:
         return relation.build(self.bucketed).unionByName(relation.build(self.aside))
 
 
+def bucket_count(tables: Tables, keys: Mapping[str, str], least: int = 8, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets that grow with the largest of the tables, so that what one task reads doesn't."""
+    return max(least, *(-(-tables.row_count(name) // rows_per_bucket) for name in keys))
+
+
 def write_bucketed(tables: Tables, directory: str, keys: Mapping[str, str], buckets: int,
                    order: Mapping[str, Sequence[str]] | None = None) -> None:
     """Write ``{name}_by_{key}`` (buckets) and ``{name}_aside`` below ``directory`` for each table in ``keys``.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanward.plans.relations import RELATIONS
-from loanward.sources.layout import open_bucketed, write_bucketed
+from loanward.sources.layout import bucket_count, open_bucketed, write_bucketed
 from loanward.sources.tables import Tables
 
 KEYS = {"loan_tape": "loan_id", "payments": "loan_id"}
@@ -45,3 +45,11 @@ def test_bucketed_relations_equal_plain_ones(spark, lending, source, tmp_path, h
         assert "Exchange hashpartitioning" in relation.build(lending)._jdf.queryExecution().executedPlan().toString()
     files = spark.read.parquet(f"{folder}/payments_by_loan_id").select(F.input_file_name()).distinct().count()
     assert files <= 8  # one file for each bucket
+
+
+def test_buckets_grow_with_the_largest_table(source):
+    """Four times the rows of a bucket give four buckets, and a small table keeps the least number."""
+    tables = Tables(source)
+    rows = max(tables.row_count(n) for n in KEYS)
+    assert bucket_count(tables, KEYS, least=1, rows_per_bucket=-(-rows // 4)) == 4
+    assert bucket_count(tables, KEYS) == 8
