@@ -25,6 +25,9 @@ SLICES, ACCURACY = 200, 10_000
 BROADCAST_INTERVALS, SPREAD = 5_000, 64
 
 _INTERVAL = ["_g", "_start"]
+#: How many of the sorted cuts a value reaches, in halving steps: a value meets a few cuts instead of all.
+_SLICE = (f"aggregate(array({', '.join(str(1 << i) for i in reversed(range((SLICES - 1).bit_length())))}), 0, (reached, step) -> "
+          "IF(coalesce(get(_cuts, reached + step - 1) <= v, FALSE), reached + step, reached))")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], probabilities: Sequence[float],
@@ -38,15 +41,25 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], pr
     """
     if not probabilities or any(not 0 <= p <= 1 for p in probabilities):
         raise ValueError("probabilities lie between 0 and 1")
-    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
-    rows = df.select(*[F.col(f"`{b}`").alias(f"b{i}") for i, b in enumerate(by)], F.inline(cells)).filter("v IS NOT NULL")
-    # A struct groups and joins nulls as values.
-    folded = rows.groupBy(F.struct(*[f"b{i}" for i in range(len(by))], "c").alias("_g"), "v").agg(F.count(F.lit(1)).alias("_c"))
+    folded = _folded(df, by, columns)
     sizes = folded.groupBy("_g").agg(F.sum("_c").alias("_t"), F.count(F.lit(1)).alias("_m"))
     ready = reduce(DataFrame.unionByName, _narrowed(folded, sizes, probabilities, interpolate, sorted_values))
     return _read_off(ready, by, probabilities, interpolate)
 
 
+def _folded(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Distinct values (_g, v) of every group and column with their rows _c, written once: all passes read them."""
+    flat = [f"b{i}" for i in range(len(by))]
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)])
+    rows = df.select(*[F.col(f"`{b}`").alias(f) for b, f in zip(by, flat, strict=True)], F.inline(cells)).filter("v IS NOT NULL")
+    # Plain columns while rows are many; then a struct, which groups and joins nulls as values.
+    counted = rows.groupBy(*flat, "c", "v").agg(F.count(F.lit(1)).alias("_c"))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("c") + 1)
+    path = f"{shared_folder(df.sparkSession)}/folded"
+    counted.select(F.struct(*flat, name.alias("c")).alias("_g"), "v", "_c").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _ranks(total: Column, probabilities: Sequence[float], interpolate: bool) -> list[tuple[Column, Column, Column]]:
     """For each probability the ranks (from 0) of the two values around it and the weight of the upper one."""
     out = []
@@ -80,10 +93,9 @@ def _narrowed(folded: DataFrame, sizes: DataFrame, probabilities: Sequence[float
         done.append(_meet(part, ids, n_large, "left_anti"))
         crowded = _meet(part, ids, n_large, "left_semi").select(*_INTERVAL, "v", "_c")
         evenly = [i / SLICES for i in range(1, SLICES)]
-        cuts = crowded.groupBy(*_INTERVAL).agg(F.percentile_approx("v", evenly, ACCURACY).alias("_cuts")).join(
+        cuts = crowded.groupBy(*_INTERVAL).agg(F.sort_array(F.percentile_approx("v", evenly, ACCURACY)).alias("_cuts")).join(
             large.select(*_INTERVAL, "_t"), _INTERVAL)
-        sliced = _meet(crowded, cuts, n_large, "inner").withColumn(
-            "_slice", F.size(F.filter("_cuts", lambda c: c <= F.col("v"))))
+        sliced = _meet(crowded, cuts, n_large, "inner").withColumn("_slice", F.expr(_SLICE))
         counted = sliced.groupBy(*_INTERVAL, "_slice").agg(
             F.sum("_c").alias("_rows"), F.count(F.lit(1)).alias("_m"), F.first("_t").alias("_t"))
         # An interval has at most SLICES rows here.

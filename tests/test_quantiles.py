@@ -74,3 +74,24 @@ def test_empty_tables_nan_and_infinity(spark):
     assert math.isnan(exact_quantiles(odd, [], ["v"], [1]).first().quantile)
     with pytest.raises(ValueError):
         exact_quantiles(odd, [], ["v"], [1.5])
+
+
+def test_a_slice_is_found_in_halving_steps(spark):
+    """The number of cuts up to a value, among them equal ones and NaN, is that of looking at all of them."""
+    import loanward.operators.quantiles as q
+    rng = random.Random(4)
+    lists = [[], [1.0], sorted(float(rng.randrange(40)) for _ in range(q.SLICES - 1)), [float(i) for i in range(q.SLICES - 2)] + [math.nan]]
+    rows = [(cuts, v) for cuts in lists for v in [-1.0, 0.0, 1.0, 39.0, 198.0, math.inf, math.nan, *(rng.uniform(-2, 205) for _ in range(60))]]
+    df = spark.createDataFrame(rows, "_cuts array<double>, v double")
+    assert df.selectExpr(f"{q._SLICE} AS got", "size(filter(_cuts, c -> c <= v)) AS want").where("got <> want").count() == 0
+    assert q._SLICE.count("->") == 1 and "filter" not in q._SLICE
+
+
+def test_values_are_folded_once(spark, monkeypatch):
+    """Passes read the folded values; the table itself is aggregated a single time."""
+    import loanward.operators.quantiles as q
+    frames, given = [], q._narrowed
+    monkeypatch.setattr(q, "_narrowed", lambda folded, *a: frames.append(folded) or given(folded, *a))
+    df = spark.createDataFrame(_rows(500, 5), "g string, v double, n int")
+    assert _got(q.exact_quantiles(df, ["g"], ["v", "n"], P), ["g"]) == _want(_rows(500, 5), True, "linear")
+    assert "Aggregate" not in frames[0]._jdf.queryExecution().optimizedPlan().toString()
