@@ -102,6 +102,10 @@ def match_counts(left: DataFrame, right: DataFrame, key: str, tests: Mapping[str
     names = [f"id_{i}" for i in range(len(identity))]
     own = "".join(f", `{c}` AS {n}" for c, n in zip(identity, names, strict=True))
 
+    # A row becomes one for each comparison and few of them fold: a task takes its share of the rows, not a whole split.
+    many_tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(many_tasks), right.repartition(many_tasks)
+
     def rows(side: str, carried: str, many: str) -> str:
         filled = f"filter(array({', '.join(cells[side])}), x -> x IS NOT NULL)"
         return f"SELECT `{key}` AS match_key{carried}, {many}, inline({filled}) FROM {{{side}}} WHERE `{key}` IS NOT NULL"

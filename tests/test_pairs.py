@@ -71,3 +71,14 @@ def test_empty_sides_and_types(spark):
     assert match_counts(row, row, "k", later).first().violations == 1
     with pytest.raises(ValueError, match="cannot compare"):
         match_counts(row, row, "k", {"t": [Meeting(left="t", op="<", right="t")]})
+
+
+def test_sides_are_dealt_out_before_they_multiply(spark):
+    """One file or partition of many rows is not one task's to multiply and fold."""
+    left = spark.range(2000).selectExpr("id % 5 AS k", "id AS a").coalesce(1)
+    right = spark.range(50).selectExpr("id % 5 AS k", "id * 40 AS b").coalesce(1)
+    got = match_counts(left, right, "k", {"less": [Meeting(left="a", op="<", right="b")]})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
+    want = sum(1 for a in range(2000) for b in range(50) if a % 5 == b % 5 and a < b * 40)
+    assert [r.violations for r in got.collect()] == [want]
