@@ -59,6 +59,8 @@ def size_shuffles(frames: Iterable[DataFrame], rows_per_partition: int = ROWS_PE
     conf.set("spark.sql.shuffle.partitions", needed)
     # Joined partitions are otherwise as large as the advised size in compressed bytes, whatever rows these hold.
     conf.set("spark.sql.adaptive.coalescePartitions.minPartitionNum", needed)
+    # A scan's task folds what it reads before the shuffle; keys that hardly repeat would fill and spill its memory.
+    conf.set("spark.sql.files.minPartitionNum", needed)
     return needed
 
 

@@ -68,13 +68,14 @@ def test_empty_set_has_no_stats():
 def test_shuffles_grow_with_the_rows(spark):
     """Partitions follow the rows of all tables and are never fewer than the session's."""
     from loanward.sources.tables import size_shuffles
-    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.minPartitionNum")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.minPartitionNum",
+             "spark.sql.files.minPartitionNum")
     before = {n: spark.conf.get(n, None) for n in names}
     try:
         assert size_shuffles([spark.range(1000)]) == int(before[names[0]])
         assert {n: spark.conf.get(n, None) for n in names} == before
         assert size_shuffles([spark.range(1000), spark.range(501)], 100) == 16
-        assert [spark.conf.get(n) for n in names] == ["16", "16"]
+        assert [spark.conf.get(n) for n in names] == ["16"] * 3
         assert size_shuffles([spark.range(10)], 100) == 16
     finally:
         for n, v in before.items():
