@@ -81,3 +81,28 @@ def test_tasks_keep_their_worst_before_they_meet(lending):
     plan = worst_offenders(RUNNER.select(("RUN-037", "RUN-038", "RUN-034")), lending, RUNNER_EXCESS)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
     assert plan.count("Generate inline") == 1  # the three rules share a scan
+
+
+def test_rows_are_put_together_by_key_before_they_become_one_for_each_rule(lending):
+    plan = worst_offenders(RUNNER.select(("RUN-037", "RUN-038", "RUN-034")), lending, RUNNER_EXCESS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline") < plan.rindex("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("limit", [2, 900])
+def test_rules_that_count_loans_share_the_window_of_those_that_count_snapshots(lending, limit):
+    rules = RUNNER.select(("RUN-023", "RUN-054", "RUN-055", "RUN-056"))
+    ranked = worst_offenders(rules, lending, limit=limit)
+    assert ranked._jdf.queryExecution().executedPlan().toString().count(" Window [") == 2  # the steps and the ranks
+    found = {}
+    for r in sorted(ranked.collect(), key=lambda r: (r.rule_id, r.place)):
+        found.setdefault(r.rule_id, []).append((r.violations, r.who))
+    assert found == {r.id: _named(r, lending)[:limit] for r in rules if _named(r, lending)}
+
+
+def test_null_and_its_text_are_one_name_and_a_rule_given_twice_counts_twice(lending):
+    reports = lending["credit_reports"].filter("open_trades_count > all_trades_count").limit(3)
+    named = reports.withColumn("credit_report_id", F.expr("CASE WHEN application_id IS NULL THEN NULL ELSE 'null' END"))
+    tables = lending.replace(credit_reports=named.unionByName(named.withColumn("credit_report_id", F.lit(None).cast("string"))))
+    rule = RUNNER.rule("RUN-043")
+    assert [(r.who, r.violations) for r in worst_offenders([rule], tables).collect()] == [("credit_report_id=null", 6)]
+    assert [(r.who, r.violations) for r in worst_offenders([rule, rule], tables).collect()] == [("credit_report_id=null", 12)]
