@@ -292,15 +292,17 @@ def loan_marks(t: Tables, sides: tuple[str, ...] = ("payment", "total")) -> Data
             rows.append(f"struct('{side}' AS side, {mark} AS mark, "
                         + ", ".join(f"{e} AS {n}" for n, e in cells.items()) + ")")
     if rows:
-        if "total" in sides:
-            used["opened"] = "loan_status <> 'CHARGED_OFF'" if "loan_status" in present else "FALSE"
-        picked = ", ".join(f"{e} AS {n}" for n, e in used.items())
+        picked = ", ".join(used)
+        opened = "max(loan_status <> 'CHARGED_OFF')" if "loan_status" in present else "FALSE"
         parts.append(f"""
             SELECT {keys}, CAST(NULL AS DATE) AS first_seen, CAST(NULL AS DATE) AS last_seen
-            FROM (SELECT DISTINCT loan_id, inline(array({', '.join(rows)})), CAST(NULL AS STRING) AS mark_status
-                  FROM (SELECT DISTINCT loan_id, {picked} FROM {{loans}}))
+            FROM (SELECT loan_id, inline(array({', '.join(rows)})), CAST(NULL AS STRING) AS mark_status
+                  FROM (SELECT loan_id, {picked}, {opened} AS opened FROM {{loans}} GROUP BY loan_id, {picked}))
             WHERE mark IS NOT NULL""")
-    return over({"loans": t[L]}, " UNION ALL ".join(parts))
+    # Marks are placed where payments look for them and made distinct there, in one move; a hot loan's payments look
+    # for them in other places.
+    placed = "" if t.hot(P, "loan_id") else "/*+ REPARTITION(loan_id, side) */"
+    return over({"loans": t[L]}, f"SELECT DISTINCT * FROM (SELECT {placed} * FROM ({' UNION ALL '.join(parts)}))")
 
 
 _PAYMENT_MARK = ["payment_id", "loan_id", "payment_received_date", "actual_payment_amount",
