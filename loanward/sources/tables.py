@@ -41,6 +41,10 @@ CROWD_ROWS = 10_000
 #: Rows of all tables together for each shuffle partition.
 ROWS_PER_PARTITION = 500_000
 
+#: Shuffled bytes of a partition up to which a join hashes it instead of sorting both sides; Spark asks for at least
+#: the advised size of a partition.
+HASHED_JOIN_BYTES = 64 << 20
+
 DEFAULT_AS_OF = dt.date(2023, 12, 31)
 
 
@@ -61,6 +65,8 @@ def size_shuffles(frames: Iterable[DataFrame], rows_per_partition: int = ROWS_PE
     conf.set("spark.sql.adaptive.coalescePartitions.minPartitionNum", needed)
     # A scan's task folds what it reads before the shuffle; keys that hardly repeat would fill and spill its memory.
     conf.set("spark.sql.files.minPartitionNum", needed)
+    # Partitions of so many rows fit a task's memory, so that joins need not sort them.
+    conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", HASHED_JOIN_BYTES)
     return needed
 
 

@@ -1,10 +1,12 @@
-"""How the marks of loans are placed."""
+"""How the marks of loans are placed, and how joins of sized shuffles run."""
 
 import datetime as dt
 import re
 
+from pyspark.sql import functions as F
+
 from loanward.plans.relations import RELATIONS, loan_marks
-from loanward.sources.tables import Tables
+from loanward.sources.tables import Tables, size_shuffles
 
 
 def test_marks_are_made_distinct_where_payments_look_for_them(lending):
@@ -26,3 +28,12 @@ def test_a_loan_has_each_mark_once(spark):
     own = {"a": every + opened + [("payment", "status", s) for s in ("", "CHARGED_OFF", "CURRENT")],
            "b": every + [("payment", "status", "CHARGED_OFF")], "": every + opened + [("payment", "status", "CURRENT")]}
     assert found == sorted((loan, *mark) for loan, marks in own.items() for mark in marks)
+
+
+def test_joins_of_sized_partitions_are_hashed(spark):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    size_shuffles([session.range(100)], 5)
+    joined = session.range(100).join(session.range(50).withColumn("x", F.lit(1)), "id")
+    assert len(joined.collect()) == 50
+    assert "ShuffledHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
