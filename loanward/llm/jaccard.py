@@ -1,12 +1,14 @@
 """Operator 3: n-gram Jaccard join by prefix filter. It replaces a token-group matrix, which is not built.
 
 Texts are sets of hashed 5-word shingles; equal sets are one node. Nodes that share a min-hash are held against a
-leader, and exact links to leaders make the groups. Each node then has a cell for each token by which it can be found
-at all (its prefix under a global order, rare tokens first). Nodes of different groups that share such tokens make
-pairs; pairs whose shared tokens allow a link are compared, whole set with whole set. So every link between different
-groups is found, and links inside a group, which cannot change the components, are not enumerated. No union of a
-group's tokens is formed and no group is ruled out as a whole: where many sets of different groups share prefix
-tokens, their pairs are enumerated, which grows with the square of their number.
+leader, the one with the fewest tokens of its own, and exact links to leaders make the groups. Each node then has a
+cell for each token by which it can be found at all (its prefix under a global order, rare tokens first). Nodes of
+different groups make a pair where they share a token that stands early enough in both for their sizes; pairs with
+enough such tokens are compared, whole set with whole set. So every link between different groups is found, and links
+inside a group, which cannot change the components, are not enumerated. A copy that is too far from its leader has so
+many tokens of its own that these fill the places where a link would have to show, and makes no pairs. No group is
+ruled out as a whole: where many sets of different groups share early tokens, their pairs are enumerated, which grows
+with the square of their number.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ PERCENT = 75
 #: Min-hashes by which leaders are chosen, and how many must agree. They decide how much is left to the cells, not
 #: the result.
 HASHES, AGREE = 5, 2
+#: Tokens that a linked pair must share in the first places of both sets, if their sizes allow to ask for so many.
+EARLY = 3
 #: One document in this many is counted for the token order, which decides speed, not results.
 ORDER_SAMPLE = 16
 #: Sampled documents that make a token frequent, and most tokens so ranked (8 bytes each, broadcast).
@@ -143,6 +147,14 @@ class Order:
         rank[np.lexsort((tokens, counts))] = np.arange(len(tokens))
         self.rank = rank[by]
 
+    def known(self, tokens: np.ndarray) -> int:
+        """How many of the tokens are ranked."""
+        if not len(self.tokens):
+            return 0
+        at = np.searchsorted(self.tokens, tokens)
+        at[at == len(self.tokens)] = 0
+        return int((self.tokens[at] == tokens).sum())
+
     def first(self, tokens: np.ndarray, many: int) -> np.ndarray:
         if not len(self.tokens):
             return tokens[:many]
@@ -177,21 +189,22 @@ def _signatures(rows: DataFrame, order: Order) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = _mix(np.arange(1, HASHES + 1, dtype=np.uint64))
         for batch in slices(batches, "text"):
-            sizes, keys, least, prefixes = [], [], [], []
+            sizes, known, keys, least, prefixes = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingler().shingles(text)
                 sizes.append(len(tokens))
+                known.append(sent.value.known(tokens))
                 keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 least.append([int(_mix(tokens ^ s).min().view(np.int64)) for s in salts] if len(tokens) else [])
                 prefixes.append(sent.value.first(tokens, prefix_size(len(tokens))).view(np.int64)
                                 if len(tokens) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()),
-                 pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64())),
+                 pa.array(known, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64())),
                  pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n", "set_key", "least", "prefix"])
+                ["doc_id", "text_key", "n", "known", "set_key", "least", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id long, text_key binary, n long, set_key binary, least array<long>, "
+    return rows.mapInArrow(run, "doc_id long, text_key binary, n long, known long, set_key binary, least array<long>, "
                                 "prefix array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
@@ -242,17 +255,19 @@ def _dealt(cells: DataFrame, frequent: DataFrame) -> DataFrame:
     pieces = cells.join(frequent, F.col("token") == F.col("often"), "left").withColumn(
         "piece", F.pmod(F.xxhash64("node", F.lit("piece")), "pieces"))
     other = F.explode(F.expr("if(pieces is null, array(cast(null as long)), sequence(0l, pieces - 1))")).alias("other")
-    pieces = pieces.select("token", "comp", "node", "n", "piece", other)
+    place = [c for c in cells.columns if c == "place"]
+    pieces = pieces.select("token", "comp", "node", "n", *place, "piece", other)
     key = F.xxhash64("token", F.least("piece", "other"), F.greatest("piece", "other"))
     side = F.when(F.col("piece") < F.col("other"), 1).when(F.col("piece") > F.col("other"), 2).otherwise(0)
     return pieces.select(F.when(F.col("other").isNull(), F.col("token")).otherwise(key).alias("token"), "comp", "node",
-                         "n", side.alias("side"))
+                         "n", *place, side.alias("side"))
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token: pairs of nodes of different groups, and how many tokens of the batch they share.
 
-    Rows of the last token wait for the next batch. Only sets within the size bound meet.
+    Rows of the last token wait for the next batch. Only sets within the size bound meet, and where rows have a
+    ``place`` only at a token that is early enough in both.
     """
     rest: pa.Table | None = None
     for batch in batches:
@@ -270,44 +285,72 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _met(rest)
 
 
+def overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Tokens that linked sets of n and m have in common at least."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
+def early(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Tokens that linked sets of n and m share at least among the first n - overlap + early of one and m - overlap +
+    early of the other.
+
+    The last of their first few common tokens is followed by the rest of the overlap in both. No more than EARLY, and
+    so few that these places are in the prefixes.
+    """
+    most = np.maximum(n, m)
+    return np.minimum(EARLY, overlap(n, m) + (-PERCENT * most // 100) + 1)
+
+
 def _met(table: pa.Table, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     token, comp, node, size = (table.column(c).to_numpy() for c in ("token", "comp", "node", "n"))
-    side = table.column("side").to_numpy() if "side" in table.column_names else np.zeros(len(token), np.int32)
     edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
     mixed = np.minimum.reduceat(comp, edges[:-1]) < np.maximum.reduceat(comp, edges[:-1])
+    order = np.lexsort((size, token))
+    keep = np.repeat(mixed, np.diff(edges))[order]
+    order = order[keep]
+    end = np.repeat(np.cumsum(np.diff(edges)[mixed]), np.diff(edges)[mixed])
+    n, c, d = size[order], comp[order], node[order]
+    s = table.column("side").to_numpy()[order] if "side" in table.column_names else None
+    p = table.column("place").to_numpy()[order] if "place" in table.column_names else None
     found: list[np.ndarray] = []
-    held = 0
-    for start, end in zip(edges[:-1][mixed].tolist(), edges[1:][mixed].tolist(), strict=True):
-        order = start + size[start:end].argsort(kind="stable")
-        n, c, d, s = size[order], comp[order], node[order], side[order]
-        for k in range(1, len(order)):
-            low = int(np.searchsorted(n, -(-PERCENT * n[k] // 100)))
-            at = low + np.flatnonzero((c[low:k] != c[k]) & ((s[low:k] != s[k]) | (s[k] == 0)))
-            if len(at):
-                swap = d[at] > d[k]
-                found.append(np.stack([np.where(swap, d[at], d[k]), np.where(swap, d[k], d[at]),
-                                       np.where(swap, n[at], n[k]), np.where(swap, n[k], n[at])]))
-                held += len(at)
-            if held > most:
-                yield _counted(found)
-                found, held = [], 0
+    held, step, low = 0, 0, np.arange(len(order))
+    while len(low):  # each row with the next one of its token, then the next but one; sizes only get further apart
+        step += 1
+        low = low[low + step < end[low]]
+        low = low[100 * n[low] >= PERCENT * n[low + step]]
+        high = low + step
+        meet = c[low] != c[high]
+        if s is not None:
+            meet &= (s[low] != s[high]) | (s[low] == 0)
+        if p is not None:
+            spare = early(n[low], n[high]) - overlap(n[low], n[high])
+            meet &= (p[low] < n[low] + spare) & (p[high] < n[high] + spare)
+        a, b = low[meet], high[meet]
+        if len(a):
+            swap = d[a] > d[b]
+            found.append(np.stack([np.where(swap, d[a], d[b]), np.where(swap, d[b], d[a]),
+                                   np.where(swap, n[a], n[b]), np.where(swap, n[b], n[a])]))
+            held += len(a)
+        if held > most:
+            yield _counted(found)
+            found, held = [], 0
     if found:
         yield _counted(found)
 
 
 def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs, shared = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in pairs), pa.array(shared)], ["u", "v", "nu", "nv", "shared"])
+    pairs = np.concatenate(found, axis=1)
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+    first = np.flatnonzero(np.concatenate([[True], (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)]))
+    shared = np.diff(np.append(first, pairs.shape[1]))
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in pairs[:, first]), pa.array(shared)],
+                                      ["u", "v", "nu", "nv", "shared"])
 
 
 def _can_link(nu: Column, nv: Column, shared: Column) -> Column:
-    """Whether sets that share so many tokens of their prefixes can overlap enough.
-
-    Up to the earlier of the two prefix ends, all common tokens are counted; behind it the set whose prefix ends
-    there has no more than its other tokens.
-    """
-    rest = F.greatest(*[n - (n - F.ceil(PERCENT * n / 100) + 1) for n in (nu, nv)])
-    return shared + rest >= F.ceil(PERCENT * (nu + nv) / (100 + PERCENT))
+    """Whether sets that share so many early tokens can overlap enough (``early``)."""
+    least = F.ceil(PERCENT * (nu + nv) / (100 + PERCENT)) - F.ceil(PERCENT * F.greatest(nu, nv) / 100) + 1
+    return shared >= F.least(F.lit(EARLY), least)
 
 
 def components(documents: DataFrame) -> DataFrame:
@@ -330,11 +373,14 @@ def labelled(documents: DataFrame) -> DataFrame:
     full = signed.where("n > 0")
     nodes = scratch.put("nodes", full.groupBy("set_key").agg(
         F.min("row").alias("node"), F.min_by(F.struct("doc_id", "text_key"), "row").alias("one"),
-        F.min_by("least", "row").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"]
-        .alias("least_id")).select("set_key", "node", "one.doc_id", "one.text_key", "least", "least_id"))
-    # Leaders: the first node of each min-hash; pairs that agree in one alone are mostly chance.
-    hashed = nodes.select("node", F.posexplode("least").alias("which", "value"))
-    leaders = hashed.groupBy("which", "value").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
+        F.min_by("least", "row").alias("least"), F.min(F.struct(-F.col("known") / F.col("n"), -F.col("known")))
+        .alias("own"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"]
+        .alias("least_id")).select("set_key", "node", "one.doc_id", "one.text_key", "least", "own", "least_id"))
+    # Leaders: of each min-hash the node with the largest share of ranked tokens, which is nearest to the most others
+    # of a large group, or the first; pairs that agree in one min-hash alone are mostly chance.
+    hashed = nodes.select("node", "own", F.posexplode("least").alias("which", "value"))
+    leaders = hashed.groupBy("which", "value").agg(
+        F.min(F.struct("own", "node"))["node"].alias("leader"), F.count(F.lit(1)).alias("n"))
     close = hashed.join(leaders.where("n > 1"), ["which", "value"]).where("node <> leader").groupBy(
         F.col("node").alias("u"), F.col("leader").alias("v")).agg(F.count(F.lit(1)).alias("agree"))
     close = scratch.put("close", close.where(F.col("agree") >= AGREE).select("u", "v"))
@@ -342,7 +388,7 @@ def labelled(documents: DataFrame) -> DataFrame:
     forest = stars(links, scratch, "groups")
     # Cells: tokens of each node's prefix with its group. Groups meet where a token stands in several.
     cells = signed.select(F.col("row").alias("node"), "n", "prefix").join(_grouped(nodes, forest), "node").select(
-        F.explode("prefix").alias("token"), "comp", "node", "n")
+        F.posexplode("prefix").alias("place", "token"), "comp", "node", "n")
     frequent = scratch.put("frequent", cells.groupBy(F.col("token").alias("often")).count().where(
         F.col("count") > HELD).select("often", F.ceil(2 * F.col("count") / HELD).alias("pieces")))
     if frequent.count() <= BROADCAST_ROWS:

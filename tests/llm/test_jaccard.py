@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -171,3 +172,50 @@ def test_pairs_of_one_token_are_written_out_in_bounded_parts():
                      ["token", "comp", "node", "n"])
     parts = [b.num_rows for b in j._met(table, most=1000)]
     assert sum(parts) == n * (n - 1) // 2 and max(parts) <= 1000 + n
+
+
+def test_linked_pairs_share_enough_tokens_in_early_places():
+    r = random.Random(11)
+    seen = 0
+    for _ in range(600):
+        n = r.randrange(1, 90)
+        a = set(r.sample(range(1000), n))
+        b = (a - set(r.sample(sorted(a), r.randrange(n // 4 + 1)))) | set(r.sample(range(1000, 2000), r.randrange(n // 4 + 1)))
+        both = len(a & b)
+        if 100 * both < 75 * len(a | b):
+            continue
+        rank = list(range(2000))
+        r.shuffle(rank)
+        sizes = np.array([len(a)]), np.array([len(b)])
+        least, most = int(j.early(*sizes)[0]), int(j.overlap(*sizes)[0])
+        assert 1 <= least <= j.EARLY and both >= most
+        places = [len(x) - most + least for x in (a, b)]
+        assert all(k <= j.prefix_size(len(x)) for k, x in zip(places, (a, b), strict=True))
+        heads = [set(sorted(x, key=rank.__getitem__)[:k]) for k, x in zip(places, (a, b), strict=True)]
+        assert len(heads[0] & heads[1]) >= least
+        seen += least > 1
+    assert seen > 50
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, docs, monkeypatch):
+    """Copies of one text that are mostly too far from each other: what meets does not grow with their square."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(1, 301):
+        words = list(base)
+        for k, at in enumerate(r.sample(range(150), r.choice([2, 3, 10, 12]))):
+            words[at] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    rows.insert(200, (0, " ".join(base)))
+    monkeypatch.setattr(j, "ORDER_SAMPLE", 1)
+    made, meetings = spark.sparkContext.accumulator(0), j._meetings
+
+    def counted(batches):
+        for batch in meetings(batches):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(j, "_meetings", counted)
+    assert got(docs(rows)) == plain(rows)
+    assert made.value < 10 * len(rows)
