@@ -398,6 +398,8 @@ def labelled(documents: DataFrame) -> DataFrame:
     met = met.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
     candidates = scratch.put("candidates", met.where(_can_link(F.col("nu"), F.col("nv"), F.col("shared"))).select(
         "u", "v", "shared"))
+    sized = scratch.put("sized", signed.select("doc_id", "text_key", "n", "set_key"))
+    scratch.drop("signed")  # prefixes are most of what is on disk
     for turn in range(2):  # for two groups the most promising pair first, then what still lies between groups
         side = _grouped(nodes, forest)
         open_pairs = (candidates.join(side.withColumnsRenamed({"node": "u", "comp": "cu"}), "u")
@@ -411,10 +413,11 @@ def labelled(documents: DataFrame) -> DataFrame:
         more = verified(tried, nodes, rows, scratch, f"open-{turn}-checked")
         links = scratch.put(f"links-{turn}", links.unionByName(more).distinct())
         forest = stars(links, scratch, f"merged-{turn}")
+    scratch.drop("candidates")
     group = nodes.select("set_key", "node", "least_id").join(_grouped(nodes, forest), "node")
     least = group.groupBy("comp").agg(F.min("least_id").alias("component"))
     named = group.join(least, "comp").select(F.col("set_key").alias("of"), "component", "comp")
-    return signed.select("doc_id", "text_key", "n", "set_key").join(
+    return sized.join(
         named, (F.col("set_key") == F.col("of")) & (F.col("n") > 0), "left").select(
         "doc_id", "text_key", "comp", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -290,13 +290,14 @@ def _crowded(contexts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     return agreed.unionByName(single).groupBy("gram", "context").agg(F.min("a").alias("a"), F.max("b").alias("b"))
 
 
-def occurrences(documents: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+def occurrences(documents: DataFrame, size: int = SIZE, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """What stands more than once in the corpus: (text_key, copies) of whole texts, and repeats in different texts.
 
     The second frame has text_key, gram, a, b: bytes a..b of the text are an occurrence of a repeat through that
     gram. Occurrences of a repeat in all texts are rows with the same gram; those in copies of a text are given once.
+    ``scratch`` holds what both read: texts, found, classes and spans.
     """
-    scratch, near = Scratch(documents.sparkSession, "repeats"), size - SEED
+    scratch, near = scratch or Scratch(documents.sparkSession, "repeats"), size - SEED
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,6 +330,7 @@ def occurrences(documents: DataFrame, size: int = SIZE) -> tuple[DataFrame, Data
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("gram", "context", "contexts", "place")).alias("wanted"))
     wanted = scratch.put("wanted", wanted.join(anchored.select("row", "doc_id", "text_key"), "row").select(
         F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "wanted"))
+    scratch.drop("anchored")
     some = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,6 +351,7 @@ def occurrences(documents: DataFrame, size: int = SIZE) -> tuple[DataFrame, Data
     contexts = rows.join(some, (F.col("doc_id").eqNullSafe(F.col("id"))) & (_text_key() == F.col("key"))).select(
         "text", "wanted").mapInArrow(cut, "gram long, context long, contexts long, right binary, left binary")
     contexts = scratch.put("contexts", contexts)
+    scratch.drop("wanted")
     sorted_suffixes = contexts.where(F.col("contexts") <= CROWD).repartition("gram").sortWithinPartitions(
         "gram", "right", "left")
     spans = sorted_suffixes.mapInArrow(_scan(size), _CLASS)
@@ -357,14 +360,17 @@ def occurrences(documents: DataFrame, size: int = SIZE) -> tuple[DataFrame, Data
         crowd = scratch.put("crowd", crowd.dropDuplicates(["gram", "context"]))
         spans = spans.unionByName(_crowded(crowd, size, scratch))
     spans = scratch.put("spans", spans)
-    hit = found.join(spans, ["gram", "context"]).select(
-        "text_key", "gram", (F.col("place") + F.col("a")).alias("a"), (F.col("place") + F.col("b")).alias("b"))
+    for name in ("contexts", "crowd", "cores", "windows"):
+        scratch.drop(name)
     # A context that stands twice is a repeat as a whole.
+    whole = classes.where("n > 1").select(
+        "gram", "context", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
     before, behind = F.least(F.col("place"), F.lit(near)), F.least(F.col("n_bytes") - F.col("place"), F.lit(size))
-    whole = found.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"]).where(
-        before + behind >= size).select(
-        "text_key", "gram", (F.col("place") - before).alias("a"), (F.col("place") + behind).alias("b"))
-    return texts.where("copies > 1").select("text_key", "copies"), hit.unionByName(whole)
+    hit = found.join(spans.unionByName(whole), ["gram", "context"]).where(
+        F.col("a").isNotNull() | (before + behind >= size)).select(
+        "text_key", "gram", (F.col("place") + F.coalesce("a", -before)).alias("a"),
+        (F.col("place") + F.coalesce("b", behind)).alias("b"))
+    return texts.where("copies > 1").select("text_key", "copies"), hit
 
 
 def passage_anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -386,13 +392,17 @@ def passage_anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passages(documents: DataFrame) -> DataFrame:
-    """text_key, a, b: bytes a..b of the text are a passage of WORDS + 1 words that stands more than once.
+    """text_key, a, b: bytes a..b of the text are a passage of WORDS + 1 words that stands more than once."""
+    return _passages(documents, Scratch(documents.sparkSession, "passages")).distinct()
+
+
+def _passages(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """The passages, once for each row that has the text.
 
     Words are what stands between ASCII spaces; which spaces, and how many, makes no difference. Only passages whose
     anchor's gram stands twice are written out, and their digests (128 bits) counted. Rows with equal text repeat
-    each other.
+    each other. ``scratch`` holds what the result reads: each and twice.
     """
-    scratch = Scratch(documents.sparkSession, "passages")
     rows = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(
         F.octet_length("text") > 2 * WORDS).withColumn("text_key", _text_key())
 
@@ -411,6 +421,8 @@ def passages(documents: DataFrame) -> DataFrame:
     some = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
     wanted = scratch.put("wanted", anchored.join(some, "gram").distinct().groupBy(F.col("text_key").alias("key")).agg(
         F.collect_list("gram").alias("grams")))
+    scratch.drop("anchored")
+    scratch.drop("shared")
     some = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,9 +443,10 @@ def passages(documents: DataFrame) -> DataFrame:
 
     each = scratch.put("each", rows.join(some, F.col("text_key") == F.col("key")).select(
         "text_key", "text", "grams").mapInArrow(cut, "text_key binary, a long, b long, digest binary"))
+    scratch.drop("wanted")
     twice = scratch.put("twice", each.groupBy("digest").count().where("count > 1").select("digest"))
     some = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    return each.join(some, "digest").select("text_key", "a", "b").distinct()
+    return each.join(some, "digest").select("text_key", "a", "b")
 
 
 def merged(spans: list[dict] | None, n_bytes: int) -> list[tuple[int, int]]:
@@ -461,16 +474,19 @@ def marked(documents: DataFrame, size: int = SIZE, words: bool = False) -> DataF
     A text that stands in several rows is one span if it has ``size`` bytes. Shorter texts have none, but for the
     passages of over WORDS words that are marked too with ``words``.
     """
-    copies, hit = occurrences(documents, size)
+    scratch, bytewise, wordwise = (Scratch(documents.sparkSession, x) for x in ("marks", "repeats", "passages"))
+    copies, hit = occurrences(documents, size, bytewise)
     hit = hit.select("text_key", "a", "b")
-    if words:
-        hit = hit.unionByName(passages(documents))
-    scratch = Scratch(documents.sparkSession, "marks")
+    if words:  # a text that stands in several rows gives its passages as often
+        hit = hit.unionByName(_passages(documents, wordwise))
     marks = hit.select("text_key", F.struct("a", "b").alias("s"), F.lit(False).alias("copied")).unionByName(
         copies.select("text_key", F.struct(F.lit(0).cast("long").alias("a"), F.lit((1 << 62)).alias("b")).alias("s"),
                       F.lit(True).alias("copied")))
     marks = scratch.put("marks", marks.groupBy(F.col("text_key").alias("key")).agg(
-        F.when(F.max("copied"), F.array(F.max(F.when(F.col("copied"), F.col("s"))))).otherwise(F.collect_list("s")).alias("spans")))
+        F.when(F.max("copied"), F.array(F.max(F.when(F.col("copied"), F.col("s"))))).otherwise(F.collect_set("s")).alias("spans")))
+    for own, names in ((bytewise, ("texts", "found", "classes", "spans")), (wordwise, ("each", "twice"))):
+        for name in names:
+            own.drop(name)
     some = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
                             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

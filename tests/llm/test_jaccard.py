@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from loanward.llm import common
 from loanward.llm import jaccard as j
 from loanward.llm.components import stars
 from loanward.llm.common import Scratch
@@ -219,3 +220,12 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, docs, monkeypatch):
     monkeypatch.setattr(j, "_meetings", counted)
     assert got(docs(rows)) == plain(rows)
     assert made.value < 10 * len(rows)
+
+
+def test_prefixes_do_not_stay_on_disk(docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    rows = near_copies(7)
+    frame = j.components(docs(rows))
+    left = {p.name for p in tmp_path.glob("jaccard-*/*")}
+    assert "sized" in left and not left & {"signed", "candidates"}
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in frame.collect()) == plain(rows)

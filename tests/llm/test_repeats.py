@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from loanward.llm import common
 from loanward.llm import repeats as rp
 from tests.llm.conftest import table
 
@@ -151,3 +152,14 @@ def test_the_text_is_what_the_remaining_bytes_say(docs):
     for r in rp.removal(docs(passages(6)), 100).collect():
         # A cut may leave one byte of a character of two at each of its ends.
         assert 0 <= r.n_bytes - r.n_removed - len(r.text.encode()) <= 2 * r.n_spans and "�" not in r.text
+
+
+def test_only_the_marks_stay_on_disk(docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    r = random.Random(13)
+    shared = [f"s{k}" for k in range(70)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(r.randrange(9))] + shared * (i % 3 > 0))) for i in range(20)]
+    rows += [(30, rows[1][1]), (31, None), (32, "")]
+    frame = rp.without_repeats(docs(rows), words=True)
+    assert {f"{p.parent.name.split('-')[0]}/{p.name}" for p in tmp_path.glob("*/*")} == {"marks/marks"}
+    assert {x.doc_id: (x.text or "").split() for x in frame.collect()} == worded(rows)
