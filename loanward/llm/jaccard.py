@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,20 +52,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Those of the base and of its inverse, which all shinglers of a worker share."""
+    base = 0x9E3779B97F4A7C15
+    inverse = pow(base, -1, 1 << 64)
+    up, down = np.full(_BLOCK + 1, base, dtype=np.uint64), np.full(_BLOCK + 1, inverse, dtype=np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 class Shingler:
-    """Word and shingle hashes of whole texts, by prefix sums over blocks of bytes."""
+    """Word and shingle hashes of whole texts, by prefix sums over blocks of bytes; with ``fold`` A-Z are as a-z."""
 
-    def __init__(self) -> None:
+    def __init__(self, fold: bool = True) -> None:
         letters = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-        letters[65:91] = letters[97:123]  # A-Z as a-z
-        self.letters = letters
+        if fold:
+            letters[65:91] = letters[97:123]
+        self.letters, self.fold = letters, fold
         self.space = np.zeros(256, dtype=bool)
         self.space[[32, *range(9, 14)]] = True
-        base = 0x9E3779B97F4A7C15
-        inverse = pow(base, -1, 1 << 64)
-        up, down = np.full(_BLOCK + 1, base, dtype=np.uint64), np.full(_BLOCK + 1, inverse, dtype=np.uint64)
-        up[0] = down[0] = 1
-        self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        self.up, self.down = _powers()
         self.factors = _mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | _U(1)
 
     def words(self, text: bytes) -> np.ndarray:
@@ -81,7 +89,8 @@ class Shingler:
                     rest = np.frombuffer(text, np.uint8, len(text) - at, at)
                     stop = np.flatnonzero(self.space[rest])
                     end = at + (int(stop[0]) if len(stop) else len(rest))
-                    raw = hashlib.blake2b(text[at:end].lower(), digest_size=8).digest()
+                    word = text[at:end].lower() if self.fold else text[at:end]
+                    raw = hashlib.blake2b(word, digest_size=8).digest()
                     out.append(np.frombuffer(raw, "<u8"))
                     at = end
                     continue

@@ -8,6 +8,8 @@ visits the intervals of the common-prefix tree from the leaves. When intervals j
 compared in sorted order: where they agree far enough, prefix and left extension together are a repeat, and every
 member that has such a partner is an occurrence. Equal contexts are counted once and never gathered. A gram with too
 many different contexts for one task is split by window hashes instead (``_crowded``).
+
+Repeated passages of words are found in the same way, with words in place of bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanward.llm.common import Scratch, slices
-from loanward.llm.jaccard import shingler
+from loanward.llm.jaccard import Shingler
 
 #: Bytes of a string that counts as repeated.
 SIZE = 400
@@ -35,6 +37,10 @@ CROWD = 40_000
 WORDS = 50
 #: Words of the gram that anchors a passage.
 WORD_SEED = 8
+#: Bytes of a word up to which contexts hold the word itself; of a longer one they hold a digest.
+WORD_BYTES = 32
+#: Bytes of the numbers that stand for words while contexts are scanned.
+NUMBER = 4
 #: Offsets of a window's anchor that are hashed together first, for crowded grams.
 RANGE = 21
 #: Texts up to this many are broadcast to their documents; beyond, documents are joined by a shuffle.
@@ -77,13 +83,14 @@ class Hasher:
         return _mix(h)
 
 
-_HASHERS: dict[int, Hasher] = {}
+_HASHERS: list[Hasher] = []
 
 
 def hasher(most: int) -> Hasher:
-    if most not in _HASHERS:
-        _HASHERS[most] = Hasher(most)
-    return _HASHERS[most]
+    """One for ranges up to ``most``, with 16 bytes for each place of the longest one asked for."""
+    if not _HASHERS or len(_HASHERS[0].up) <= most:
+        _HASHERS[:] = [Hasher(1 << max(16, most.bit_length()))]
+    return _HASHERS[0]
 
 
 def least_places(h: np.ndarray, window: int) -> np.ndarray:
@@ -104,9 +111,8 @@ def anchors(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndar
     it on, as far as the text goes.
     """
     near = size - SEED
-    own = hasher(BLOCK + 4 * size)
     for text in texts:
-        found = []
+        found, own = [], hasher(min(len(text), BLOCK + 4 * size))
         for at in range(0, max(0, len(text) - size + 1), BLOCK):
             # Strings that start at at..at+BLOCK-1, with what their anchors' contexts need around them.
             low, high = max(0, at - near), min(len(text), at + BLOCK + near + size)
@@ -128,6 +134,40 @@ def anchors(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndar
             yield place[once], gram[once], context[once]
 
 
+_SHINGLER: list[Shingler] = []
+
+
+def shingler() -> Shingler:
+    """That of words as they are written."""
+    if not _SHINGLER:
+        _SHINGLER.append(Shingler(fold=False))
+    return _SHINGLER[0]
+
+
+def word_anchors(data: bytes, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of words, places of the anchors of passages of ``size`` words, hashes of grams and contexts.
+
+    The anchor is the least hashed WORD_SEED-word gram, so equal passages have equal anchors. Words are what stands
+    between ASCII spaces; which spaces, and how many, makes no difference.
+    """
+    words, near = shingler().words(data), size - WORD_SEED
+    many = len(words) - size + 1
+    if many <= 0:
+        return len(words), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    grams = np.zeros(len(words) - WORD_SEED + 1, dtype=np.uint64)
+    for k in range(WORD_SEED):
+        grams += words[k:k + len(grams)] * _U(pow(_B, k, 1 << 64))
+    grams = _mix(grams)
+    places = np.concatenate([at + least_places(grams[at:min(at + BLOCK, many) + near], near + 1)
+                             for at in range(0, many, BLOCK)])
+    places = places[np.concatenate([[True], places[1:] != places[:-1]])]
+    own = hasher(len(words))
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * own.up[:len(words)], out=sums[1:])
+    context = own.ranges(sums, np.maximum(places - near, 0), np.minimum(places + size, len(words)))
+    return len(words), places, grams[places], context
+
+
 def common(a: bytes, b: bytes) -> int:
     """Length of the longest common prefix."""
     n = min(len(a), len(b))
@@ -137,10 +177,11 @@ def common(a: bytes, b: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
-def interval_spans(right: list[bytes], left: list[bytes], size: int) -> list[tuple[int, int] | None]:
+def interval_spans(right: list[bytes], left: list[bytes], size: int, unit: int = 1) -> list[tuple[int, int] | None]:
     """Bytes around each suffix's start that lie in repeats through it: (from, to), relative to it.
 
-    All repeats through a suffix's gram overlap there, so they cover one stretch.
+    All repeats through a suffix's gram overlap there, so they cover one stretch. Where ``unit`` bytes stand for a
+    word, prefixes and extensions are cut to whole words.
 
     ``right`` are the suffixes in sorted order, ``left`` what stands before them, backwards. A stack holds, for each
     open interval of the common-prefix tree, its prefix length and its members by rank of their left contexts. When
@@ -164,7 +205,7 @@ def interval_spans(right: list[bytes], left: list[bytes], size: int) -> list[tup
             if prefix + len(left[by_left[r]]) >= size:
                 for other in a[max(0, at - 1):at + 1]:
                     i, j = by_left[r], by_left[other]
-                    extension = common(left[i], left[j])
+                    extension = common(left[i], left[j]) // unit * unit
                     if prefix + extension >= size:
                         for x in (i, j):
                             longest[x] = max(longest[x], prefix)
@@ -174,7 +215,7 @@ def interval_spans(right: list[bytes], left: list[bytes], size: int) -> list[tup
 
     stack: list[tuple[int, list[int]]] = []
     for i in range(many):
-        prefix = common(right[i], right[i + 1]) if i + 1 < many else -1
+        prefix = common(right[i], right[i + 1]) // unit * unit if i + 1 < many else -1
         members = [rank[i]]
         while stack and stack[-1][0] >= prefix:
             length, before = stack.pop()
@@ -197,17 +238,27 @@ def _classes(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
                                       ["gram", "context", "a", "b"])
 
 
-def _scan(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _numbered(texts: list[bytes], numbers: dict[bytes, int]) -> list[bytes]:
+    """The texts with NUMBER bytes for each word, which keeps texts with equal first words together."""
+    return [b"".join([numbers.setdefault(w, len(numbers)).to_bytes(NUMBER, "big") for w in t.split()]) for t in texts]
+
+
+def _scan(size: int, words: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Spans of contexts that come sorted by gram and following bytes; a gram's contexts are held together."""
+    unit = NUMBER if words else 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, group = None, []
 
         def close() -> Iterator[tuple[int, int, int, int]]:
             if len(group) > 1:
-                found = interval_spans([g[1] for g in group], [g[2] for g in group], size)
-                for (context, _, _), own in zip(group, found, strict=True):
+                right, left = [g[1] for g in group], [g[2] for g in group]
+                if words:
+                    numbers: dict[bytes, int] = {}
+                    right, left = _numbered(right, numbers), _numbered(left, numbers)
+                for (context, _, _), own in zip(group, interval_spans(right, left, size * unit, unit), strict=True):
                     if own:
-                        yield gram, context, *own
+                        yield gram, context, own[0] // unit, own[1] // unit
 
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
@@ -290,37 +341,71 @@ def _crowded(contexts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     return agreed.unionByName(single).groupBy("gram", "context").agg(F.min("a").alias("a"), F.max("b").alias("b"))
 
 
-def occurrences(documents: DataFrame, size: int = SIZE, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def _crowded_words(contexts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """``_crowded`` for contexts of words: digests (128 bits) of all their passages of ``size`` words are counted."""
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gram, context, right, left in zip(*(batch.column(c).to_pylist() for c in (
+                    "gram", "context", "right", "left")), strict=True):
+                before = left.split()[::-1]
+                words, mid = before + right.split(), len(before)
+                offset = [o for o in range(size - WORD_SEED + 1) if o <= mid and mid - o + size <= len(words)]
+                digests = [hashlib.blake2b(b" ".join(words[mid - o:mid - o + size]), digest_size=16).digest() for o in offset]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([gram] * len(offset), pa.int64()), pa.array([context] * len(offset), pa.int64()),
+                     pa.array(offset, pa.int32()), pa.array(digests, pa.binary())], ["gram", "context", "offset", "window"])
+
+    each = scratch.put("windows", contexts.mapInArrow(windows, "gram long, context long, offset int, window binary"))
+    twice = each.groupBy("gram", "offset", "window").count().where("count > 1").drop("count")
+    return each.join(twice, ["gram", "offset", "window"]).groupBy("gram", "context").agg(
+        (-F.max("offset")).alias("a"), (F.lit(size) - F.min("offset")).alias("b"))
+
+
+def _context(data: bytes, places: list[int], size: int, words: bool) -> list[tuple[bytes, bytes]]:
+    """What follows each place, and what stands before it, backwards. A space follows each word."""
+    if not words:
+        return [(data[at:at + size], data[max(0, at - size + SEED):at][::-1]) for at in places]
+    parts = [w if len(w) <= WORD_BYTES else b"\1" + hashlib.blake2b(w, digest_size=16).hexdigest().encode() for w in data.split()]
+    return [(b" ".join([*parts[at:at + size], b""]), b" ".join([*parts[max(0, at - size + WORD_SEED):at][::-1], b""]))
+            for at in places]
+
+
+def occurrences(documents: DataFrame, size: int = SIZE, scratch: Scratch | None = None,
+                words: bool = False) -> tuple[DataFrame, DataFrame]:
     """What stands more than once in the corpus: (text_key, copies) of whole texts, and repeats in different texts.
 
     The second frame has text_key, gram, a, b: bytes a..b of the text are an occurrence of a repeat through that
     gram. Occurrences of a repeat in all texts are rows with the same gram; those in copies of a text are given once.
-    ``scratch`` holds what both read: texts, found, classes and spans.
+    With ``words``, ``size`` is a number of words, and words a..b are given. ``scratch`` holds what both read (TABLES).
     """
-    scratch, near = scratch or Scratch(documents.sparkSession, "repeats"), size - SEED
+    scratch, near = scratch or Scratch(documents.sparkSession, "repeats"), size - (WORD_SEED if words else SEED)
+    least = 2 * size - 1 if words else size  # bytes of that many words
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            found = list(anchors(texts, size))
+            if words:
+                found = [word_anchors(t, size) for t in texts]
+            else:
+                found = [(len(t), *own) for t, own in zip(texts, anchors(texts, size), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                 pa.array([f[1].view(np.int64) for f in found], pa.list_(pa.int64())),
-                 pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n_bytes", "place", "gram", "context"])
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([f[0] for f in found], pa.int64()),
+                 pa.array([f[1] for f in found], pa.list_(pa.int64())),
+                 pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64())),
+                 pa.array([f[3].view(np.int64) for f in found], pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "extent", "place", "gram", "context"])
 
-    anchored = scratch.put("anchored", rows.where(F.octet_length("text") >= size).withColumn("text_key", _text_key()).select(
+    anchored = scratch.put("anchored", rows.where(F.octet_length("text") >= least).withColumn("text_key", _text_key()).select(
         "doc_id", "text_key", "text").mapInArrow(
-        find, "doc_id long, text_key binary, n_bytes long, place array<long>, gram array<long>, context array<long>")
-        .withColumn("row", F.monotonically_increasing_id()))
+        find, "doc_id long, text_key binary, extent long, place array<long>, gram array<long>, context array<long>")
+        .where(F.col("extent") >= size).withColumn("row", F.monotonically_increasing_id()))
     # One row stands for all copies of a text.
     texts = scratch.put("texts", anchored.groupBy("text_key").agg(
         F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")))
     found = anchored.join(texts.select("row"), "row").select(
-        "row", "doc_id", "text_key", "n_bytes", F.explode(F.arrays_zip("place", "gram", "context")).alias("x")).select(
-        "row", "doc_id", "text_key", "n_bytes", "x.*")
+        "row", "doc_id", "text_key", "extent", F.explode(F.arrays_zip("place", "gram", "context")).alias("x")).select(
+        "row", "doc_id", "text_key", "extent", "x.*")
     found = scratch.put("found", found)
     classes = scratch.put("classes", found.groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("one")))
@@ -337,11 +422,8 @@ def occurrences(documents: DataFrame, size: int = SIZE, scratch: Scratch | None
         for batch in slices(batches, "text", 1 << 20):
             out = []
             for text, own in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                data = text.encode()
-                for w in own:
-                    at = w["place"]
-                    out.append((w["gram"], w["context"], w["contexts"], data[at:at + size],
-                                data[max(0, at - near):at][::-1]))
+                around = _context(text.encode(), [w["place"] for w in own], size, words)
+                out += [(w["gram"], w["context"], w["contexts"], *x) for w, x in zip(own, around, strict=True)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(columns, (
@@ -354,18 +436,18 @@ def occurrences(documents: DataFrame, size: int = SIZE, scratch: Scratch | None
     scratch.drop("wanted")
     sorted_suffixes = contexts.where(F.col("contexts") <= CROWD).repartition("gram").sortWithinPartitions(
         "gram", "right", "left")
-    spans = sorted_suffixes.mapInArrow(_scan(size), _CLASS)
+    spans = sorted_suffixes.mapInArrow(_scan(size, words), _CLASS)
     crowd = contexts.where(F.col("contexts") > CROWD)
     if not crowd.isEmpty():
         crowd = scratch.put("crowd", crowd.dropDuplicates(["gram", "context"]))
-        spans = spans.unionByName(_crowded(crowd, size, scratch))
+        spans = spans.unionByName((_crowded_words if words else _crowded)(crowd, size, scratch))
     spans = scratch.put("spans", spans)
     for name in ("contexts", "crowd", "cores", "windows"):
         scratch.drop(name)
     # A context that stands twice is a repeat as a whole.
     whole = classes.where("n > 1").select(
         "gram", "context", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
-    before, behind = F.least(F.col("place"), F.lit(near)), F.least(F.col("n_bytes") - F.col("place"), F.lit(size))
+    before, behind = F.least(F.col("place"), F.lit(near)), F.least(F.col("extent") - F.col("place"), F.lit(size))
     hit = found.join(spans.unionByName(whole), ["gram", "context"]).where(
         F.col("a").isNotNull() | (before + behind >= size)).select(
         "text_key", "gram", (F.col("place") + F.coalesce("a", -before)).alias("a"),
@@ -373,80 +455,31 @@ def occurrences(documents: DataFrame, size: int = SIZE, scratch: Scratch | None
     return texts.where("copies > 1").select("text_key", "copies"), hit
 
 
-def passage_anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Of each passage of WORDS + 1 words, in order: the place of its anchor and the hash of the gram there.
-
-    The anchor is the least hashed WORD_SEED-word gram, so equal passages have equal anchors.
-    """
-    words = shingler().words(data)
-    many = len(words) - WORDS
-    if many <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = np.zeros(len(words) - WORD_SEED + 1, dtype=np.uint64)
-    for k in range(WORD_SEED):
-        grams += words[k:k + len(grams)] * _U(pow(_B, k, 1 << 64))
-    grams, window = _mix(grams), WORDS + 2 - WORD_SEED
-    places = np.concatenate([at + least_places(grams[at:min(at + BLOCK, many) + window - 1], window)
-                             for at in range(0, many, BLOCK)])
-    return places, grams[places].view(np.int64)
+#: What the results of ``occurrences`` read.
+TABLES = "texts", "found", "classes", "spans"
 
 
 def passages(documents: DataFrame) -> DataFrame:
-    """text_key, a, b: bytes a..b of the text are a passage of WORDS + 1 words that stands more than once."""
-    return _passages(documents, Scratch(documents.sparkSession, "passages")).distinct()
+    """text_key, a, b: bytes a..b of the text are words that stand in repeated passages of over WORDS words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for text, key, own in zip(*(batch.column(c).to_pylist() for c in ("text", "text_key", "passages")), strict=True):
+                spans = word_spans(text.encode(), own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(spans), pa.binary()), pa.array([x["a"] for x in spans], pa.int64()),
+                     pa.array([x["b"] for x in spans], pa.int64())], ["text_key", "a", "b"])
 
+    return marked(documents, None, words=True).select("text", _text_key().alias("text_key"), "passages").mapInArrow(
+        run, "text_key binary, a long, b long").distinct()
 
-def _passages(documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """The passages, once for each row that has the text.
 
-    Words are what stands between ASCII spaces; which spaces, and how many, makes no difference. Only passages whose
-    anchor's gram stands twice are written out, and their digests (128 bits) counted. Rows with equal text repeat
-    each other. ``scratch`` holds what the result reads: each and twice.
-    """
-    rows = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(
-        F.octet_length("text") > 2 * WORDS).withColumn("text_key", _text_key())
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            grams = []
-            for text in batch.column("text").to_pylist():
-                place, gram = passage_anchors(text.encode())
-                grams.append(gram[np.concatenate([[True], place[1:] != place[:-1]])] if len(gram) else gram)
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(grams, pa.list_(pa.int64()))],
-                                             ["text_key", "grams"])
-
-    anchored = scratch.put("anchored", rows.select("text_key", "text").mapInArrow(
-        find, "text_key binary, grams array<long>").select("text_key", F.explode("grams").alias("gram")))
-    shared = scratch.put("shared", anchored.groupBy("gram").count().where("count > 1").select("gram"))
-    some = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    wanted = scratch.put("wanted", anchored.join(some, "gram").distinct().groupBy(F.col("text_key").alias("key")).agg(
-        F.collect_list("gram").alias("grams")))
-    scratch.drop("anchored")
-    scratch.drop("shared")
-    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = shingler().space
-        for batch in slices(batches, "text", 1 << 20):
-            for text, key, grams in zip(*(batch.column(c).to_pylist() for c in ("text", "text_key", "grams")), strict=True):
-                data = text.encode()
-                gap = np.concatenate([[True], space[np.frombuffer(data, np.uint8)], [True]])
-                starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-                words = data.split()
-                at = np.flatnonzero(np.isin(passage_anchors(data)[1], np.array(grams, dtype=np.int64)))
-                for low in range(0, len(at), 1 << 16):
-                    own = at[low:low + (1 << 16)]
-                    digests = [hashlib.blake2b(b" ".join(words[i:i + WORDS + 1]), digest_size=16).digest() for i in own.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(own), pa.binary()), pa.array(starts[own]), pa.array(ends[own + WORDS]),
-                         pa.array(digests, pa.binary())], ["text_key", "a", "b", "digest"])
-
-    each = scratch.put("each", rows.join(some, F.col("text_key") == F.col("key")).select(
-        "text_key", "text", "grams").mapInArrow(cut, "text_key binary, a long, b long, digest binary"))
-    scratch.drop("wanted")
-    twice = scratch.put("twice", each.groupBy("digest").count().where("count > 1").select("digest"))
-    some = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    return each.join(some, "digest").select("text_key", "a", "b")
+def word_spans(data: bytes, passages: list[dict] | None) -> list[dict]:
+    """The bytes of passages that are given by words."""
+    if not passages:
+        return []
+    gap = np.concatenate([[True], shingler().space[np.frombuffer(data, np.uint8)], [True]])
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]).tolist(), np.flatnonzero(~gap[:-1] & gap[1:]).tolist()
+    return [{"a": starts[p["a"]], "b": ends[min(p["b"], len(ends)) - 1]} for p in passages]
 
 
 def merged(spans: list[dict] | None, n_bytes: int) -> list[tuple[int, int]]:
@@ -454,7 +487,7 @@ def merged(spans: list[dict] | None, n_bytes: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s in sorted((s["a"], s["b"]) for s in spans or ()):
         if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
+            out[-1][1] = max(out[-1][1], min(s[1], n_bytes))
         else:
             out.append([s[0], min(s[1], n_bytes)])
     return [(a, b) for a, b in out]
@@ -468,43 +501,53 @@ def remaining(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def marked(documents: DataFrame, size: int = SIZE, words: bool = False) -> DataFrame:
-    """``row`` (a struct of all columns), ``text`` (null: empty) and ``spans``: bytes of the text that repeat.
+def marked(documents: DataFrame, size: int | None = SIZE, words: bool = False) -> DataFrame:
+    """``row`` (a struct of all columns), ``text`` (null: empty) and what of the text repeats: ``spans``, ``passages``.
 
-    A text that stands in several rows is one span if it has ``size`` bytes. Shorter texts have none, but for the
-    passages of over WORDS words that are marked too with ``words``.
+    Spans are of bytes that lie in repeated strings of ``size`` bytes (None: not looked for). Passages are of words
+    that lie in repeated passages of over WORDS words, however few bytes these have; they are looked for with
+    ``words``. A text that stands in several rows is one span, or one passage, if it has that many bytes or words.
     """
-    scratch, bytewise, wordwise = (Scratch(documents.sparkSession, x) for x in ("marks", "repeats", "passages"))
-    copies, hit = occurrences(documents, size, bytewise)
-    hit = hit.select("text_key", "a", "b")
-    if words:  # a text that stands in several rows gives its passages as often
-        hit = hit.unionByName(_passages(documents, wordwise))
-    marks = hit.select("text_key", F.struct("a", "b").alias("s"), F.lit(False).alias("copied")).unionByName(
-        copies.select("text_key", F.struct(F.lit(0).cast("long").alias("a"), F.lit((1 << 62)).alias("b")).alias("s"),
-                      F.lit(True).alias("copied")))
+    scratch, parts = Scratch(documents.sparkSession, "marks"), []
+    for name, worded, least in (("repeats", False, size), ("passages", True, WORDS + 1 if words else None)):
+        if least is not None:
+            own = Scratch(documents.sparkSession, name)
+            copies, hit = occurrences(documents, least, own, worded)
+            found = hit.select("text_key", F.struct("a", "b").alias("s"), F.lit(False).alias("copied")).unionByName(
+                copies.select("text_key", F.struct(F.lit(0).cast("long").alias("a"), F.lit(1 << 62).alias("b")).alias("s"),
+                              F.lit(True).alias("copied")))
+            parts.append(scratch.put(name, found).withColumn("worded", F.lit(worded)))
+            for table in TABLES:
+                own.drop(table)
+
+    def together(worded: bool) -> Column:
+        whole = F.max(F.when((F.col("worded") == worded) & F.col("copied"), F.col("s")))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.collect_set(F.when(F.col("worded") == worded, F.col("s"))))
+
+    marks = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     marks = scratch.put("marks", marks.groupBy(F.col("text_key").alias("key")).agg(
-        F.when(F.max("copied"), F.array(F.max(F.when(F.col("copied"), F.col("s"))))).otherwise(F.collect_set("s")).alias("spans")))
-    for own, names in ((bytewise, ("texts", "found", "classes", "spans")), (wordwise, ("each", "twice"))):
-        for name in names:
-            own.drop(name)
+        together(False).alias("spans"), together(True).alias("passages")))
+    scratch.drop("repeats")
+    scratch.drop("passages")
     some = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
                             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.join(some, _text_key() == F.col("key"), "left").select("row", "text", "spans")
+    return rows.join(some, _text_key() == F.col("key"), "left").select("row", "text", "spans", "passages")
 
 
-def removal(documents: DataFrame, size: int = SIZE) -> DataFrame:
+def removal(documents: DataFrame, size: int = SIZE, words: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of every row.
 
     Each byte is removed that lies in a string of ``size`` bytes which also starts somewhere else. Null and empty
     texts have 0 bytes. The digest is of the remaining bytes, ``text`` is what they say: a character that lost some of
     its bytes goes as a whole there. Repeated rows repeat each other, so that all of their bytes go if there are ``size``. Other
-    columns are ignored.
+    columns are ignored. With ``words`` there is also ``clean_text``, which lacks repeated passages of over WORDS
+    words too, however few bytes they have; the other columns don't count these.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sizes, gone, runs, digests, texts = [], [], [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            sizes, gone, runs, digests, texts, clean = [], [], [], [], [], []
+            for text, spans, passages in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "passages")), strict=True):
                 data = text.encode()
                 cuts = merged(spans, len(data))
                 sizes.append(len(data))
@@ -513,14 +556,23 @@ def removal(documents: DataFrame, size: int = SIZE) -> DataFrame:
                 kept = remaining(data, cuts)
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept.decode(errors="ignore") if cuts else text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+                clean.append(_without(text, data, spans, passages) if passages and kept else texts[-1])
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()),
+                       pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()),
+                       pa.array(clean, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns[:len(names)], names)
 
-    return marked(documents.select("doc_id", "text"), size).select(
-        F.col("row.doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+    schema += ", clean_text string" if words else ""
+    names = [column.split()[0] for column in schema.split(", ")]
+    return marked(documents.select("doc_id", "text"), size, words).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), "text", "spans", "passages").mapInArrow(run, schema)
+
+
+def _without(text: str, data: bytes, spans: list[dict] | None, passages: list[dict] | None) -> str:
+    """The text without its spans and passages; a cut character goes as a whole."""
+    cuts = merged([*(spans or ()), *word_spans(data, passages)], len(data))
+    return remaining(data, cuts).decode(errors="ignore") if cuts else text
 
 
 def without_repeats(documents: DataFrame, size: int = SIZE, words: bool = False) -> DataFrame:
@@ -535,9 +587,8 @@ def without_repeats(documents: DataFrame, size: int = SIZE, words: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data = text.encode()
-                texts.append(remaining(data, cuts).decode(errors="ignore") if (cuts := merged(spans, len(data))) else text)
+            for text, spans, passages in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "passages")), strict=True):
+                texts.append(_without(text, text.encode(), spans, passages))
             columns = batch.column("row").flatten()
             columns[place] = pa.compute.if_else(columns[place].is_null(), columns[place], pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)

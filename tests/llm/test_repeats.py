@@ -163,3 +163,39 @@ def test_only_the_marks_stay_on_disk(docs, monkeypatch, tmp_path):
     frame = rp.without_repeats(docs(rows), words=True)
     assert {f"{p.parent.name.split('-')[0]}/{p.name}" for p in tmp_path.glob("*/*")} == {"marks/marks"}
     assert {x.doc_id: (x.text or "").split() for x in frame.collect()} == worded(rows)
+
+
+def test_short_passages_of_many_words_leave_the_clean_text_only(docs):
+    r = random.Random(14)
+    words = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 7))) for _ in range(k))
+    passage, fifty, long, short = words(51), words(50), words(120), words(60)
+    assert len(passage) < rp.SIZE < len(long) and len(short) < rp.SIZE
+    texts = [f"{words(9)} {passage} {words(9)}", f"{words(30)}\n{passage.replace(' ', '  ')} é", f"{words(9)} {passage.upper()}",
+             f"{words(9)} {fifty} {words(9)}", f"{words(3)} {fifty} {words(3)}", f"{words(9)} {long} {words(9)}",
+             f"{words(2)} {long}", short, short, words(80), None, ""]
+    rows = list(enumerate(texts)) + [(None, f"{passage} {words(5)}")]
+    found = rp.removal(docs(rows), words=True).collect()
+    columns = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found)
+    assert columns == plain(rows, rp.SIZE) == got(docs(rows), rp.SIZE)
+    left, want = {x.doc_id: (x.text, x.clean_text.split()) for x in found}, worded(rows)
+    assert all(left[i][1] == want[i] for i, _ in rows)
+    assert passage in left[0][0] and passage not in " ".join(left[0][1]) and left[7] == (short, [])
+    assert left[2][1] == texts[2].split() and left[3][1] == texts[3].split() and left[9][1] == texts[9].split()
+
+
+@pytest.mark.parametrize("crowd, letters", [(2, "ab"), (40_000, "aAé"), (2, "a漢")])
+def test_passages_in_crowded_grams_and_of_long_words(docs, monkeypatch, crowd, letters):
+    monkeypatch.setattr(rp, "CROWD", crowd)
+    monkeypatch.setattr(rp, "BROADCAST_ROWS", 0)
+    r = random.Random(crowd)
+    word = lambda: r.choice(letters) * r.choice([1, 2, 3, 32, 33, 40])
+    shared = [[word() for _ in range(k)] for k in (50, 51, 52, 70, 130)] + [["x", "y"] * 60]
+    rows = []
+    for i in range(50):
+        words = [word() for _ in range(r.randrange(30))]
+        for _ in range(r.randrange(4)):
+            p = r.choice(shared)
+            words += p[r.choice([0, 0, 1, 15]):] + [word() for _ in range(r.randrange(20))]
+        rows.append((i, " ".join(words)))
+    left = {x.doc_id: x.clean_text.split() for x in rp.removal(docs(rows).repartition(3), 1 << 20, words=True).collect()}
+    assert left == worded(rows)
