@@ -62,3 +62,20 @@ def test_bounds_hold():
 def test_whole_table(spark, small):
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in table(spark, small, "embeddings").collect()]
     assert _got(table(spark, small, "embeddings")) == _plain(rows, 50, 5)
+
+
+def test_queries_are_never_broadcast(spark):
+    """Repeated for every piece they are many times what their shuffle shows; no join may gather them."""
+    rows = [(i, [float(i % 7), float(i % 11), 1.0][:2 + i % 2]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    near = search(frame, every=10, size=16, queries=3, piece=32)
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in near.collect()} == _plain(rows, 10, 5)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_are_dealt_over_pieces(spark):
+    """Equal rows, ids included, are candidates each and do not make one piece."""
+    rows = [(50 + i % 2, [1.0, 2.0]) for i in range(600)] + [(100, [3.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    # A repeated query row is one query, so each query has five different places.
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in search(frame, size=8, queries=2, piece=40).collect()) == sorted(_plain(rows, 50, 5))
