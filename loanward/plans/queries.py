@@ -135,7 +135,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = before.replace(
         loan_tape=before["loan_tape"].filter("loan_status <> 'FROZEN'"),
         payments=before["payments"].filter("NOT (payment_status = 'MISSED' AND actual_payment_amount > 0)"))
-    return _rounded(rp.compare({"v1": evaluate(FOUNDATION, before), "v2": evaluate(FOUNDATION, after)}))
+    return _rounded(rp.compare({"v1": evaluate(FOUNDATION, before, apart=True), "v2": evaluate(FOUNDATION, after, apart=True)}))
 
 
 def _sign_off(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,45 +264,40 @@ def loan_marks(t: Tables, sides: tuple[str, ...] = ("payment", "total")) -> Data
     amounts and statuses, a status with the dates at which it was first and last seen.
 
     ``side`` tells whether single payments or a loan's totals are compared with the mark.
-    Statuses change over a loan's life and the other attributes hardly do, so each is
-    folded on its own; the few attribute rows then become one row per distinct mark.
+    Rows of the tape move once, narrow, to where their loan is: there they are folded, become one
+    row for each mark and are made distinct. With hot loans they are folded before each move instead.
     """
     present = set(t.columns(L))
-    keys = "loan_id, side, mark, mark_date, mark_amount, mark_status"
-    parts = []
-    if "payment" in sides and "loan_status" in present:
-        seen = "snapshot_date" if "snapshot_date" in present else "CAST(NULL AS DATE)"
-        parts.append(f"""
-            SELECT loan_id, 'payment' AS side, 'status' AS mark, CAST(NULL AS DATE) AS mark_date,
-                   CAST(NULL AS DOUBLE) AS mark_amount, loan_status AS mark_status,
-                   min({seen}) AS first_seen, max({seen}) AS last_seen
-            FROM {{loans}} GROUP BY loan_id, loan_status""")
+    seen = "snapshot_date" if "snapshot_date" in present else "CAST(NULL AS DATE)"
+    never = "CAST(NULL AS DATE)"
+    opened = "loan_status <> 'CHARGED_OFF'" if "loan_status" in present else "FALSE"
     marks = (
+        ("payment", "'status'", "loan_status", "mark_status"),
         ("payment", "'origination'", "origination_date", "mark_date"),
         ("payment", "'first_due'", "first_payment_due_date", "mark_date"),
         ("total", "'origination'", "origination_date", "mark_date"),
-        ("total", "CASE WHEN opened THEN 'open_origination' END", "origination_date", "mark_date"),
+        ("total", f"CASE WHEN {opened} THEN 'open_origination' END", "origination_date", "mark_date"),
         ("total", "'amount'", "original_loan_amount", "mark_amount"),
     )
-    rows, used = [], {}
+    rows, used = [], {"loan_status": "loan_status"} if "loan_status" in present else {}
     for side, mark, column, target in marks:
         if side in sides and column in present:
             used[column] = column
-            cells = {"mark_date": "CAST(NULL AS DATE)", "mark_amount": "CAST(NULL AS DOUBLE)", target: column}
+            cells = {"mark_date": "CAST(NULL AS DATE)", "mark_amount": "CAST(NULL AS DOUBLE)",
+                     "mark_status": "CAST(NULL AS STRING)", "first_seen": never, "last_seen": never, target: column}
+            if target == "mark_status":
+                cells |= {"first_seen": "first_seen", "last_seen": "last_seen"}
             rows.append(f"struct('{side}' AS side, {mark} AS mark, "
                         + ", ".join(f"{e} AS {n}" for n, e in cells.items()) + ")")
-    if rows:
-        picked = ", ".join(used)
-        opened = "max(loan_status <> 'CHARGED_OFF')" if "loan_status" in present else "FALSE"
-        parts.append(f"""
-            SELECT {keys}, CAST(NULL AS DATE) AS first_seen, CAST(NULL AS DATE) AS last_seen
-            FROM (SELECT loan_id, inline(array({', '.join(rows)})), CAST(NULL AS STRING) AS mark_status
-                  FROM (SELECT loan_id, {picked}, {opened} AS opened FROM {{loans}} GROUP BY loan_id, {picked}))
-            WHERE mark IS NOT NULL""")
-    # Marks are placed where payments look for them and made distinct there, in one move; a hot loan's payments look
-    # for them in other places.
-    placed = "" if t.hot(P, "loan_id") else "/*+ REPARTITION(loan_id, side) */"
-    return over({"loans": t[L]}, f"SELECT DISTINCT * FROM (SELECT {placed} * FROM ({' UNION ALL '.join(parts)}))")
+    picked = ", ".join(used)
+    placed = "" if t.hot(L, "loan_id") or t.hot(P, "loan_id") else "/*+ REPARTITION(loan_id) */"
+    return over({"loans": t[L]}, f"""
+        SELECT loan_id, side, mark, mark_date, mark_amount, mark_status, min(first_seen) AS first_seen, max(last_seen) AS last_seen
+        FROM (SELECT loan_id, inline(array({', '.join(rows)}))
+              FROM (SELECT loan_id, {picked}, min(seen) AS first_seen, max(seen) AS last_seen
+                    FROM (SELECT {placed} loan_id, {picked}, {seen} AS seen FROM {{loans}}) GROUP BY loan_id, {picked}))
+        WHERE mark IS NOT NULL
+        GROUP BY loan_id, side, mark, mark_date, mark_amount, mark_status""")
 
 
 _PAYMENT_MARK = ["payment_id", "loan_id", "payment_received_date", "actual_payment_amount",
@@ -328,13 +323,17 @@ def payment_marks(t: Tables) -> DataFrame:
     """
     paid = t.project(P, _PAYMENT_MARK).withColumn("side", F.lit("payment"))
     both = paid.unionByName(_payment_totals(t), allowMissingColumns=True)
-    return skew_join(both, loan_marks(t), ["loan_id", "side"], "inner", t.hot(P, "loan_id"))
+    if t.hot(P, "loan_id") or t.hot(L, "loan_id"):
+        return skew_join(both, loan_marks(t), ["loan_id", "side"], "inner", t.hot(P, "loan_id"))
+    # Marks lie by loan alone; an equality of the sides would be a key of the join and move them.
+    marks = loan_marks(t).withColumnRenamed("side", "_side")
+    return both.join(marks, "loan_id").filter("instr(side, _side) = 1").drop("_side")
 
 
 @relation("loan_totals", {P: ("loan_id",), L: ("loan_id",)}, "loan_id")
 def loan_totals(t: Tables) -> DataFrame:
     """Marks of a loan with its first payment dates and the sum paid."""
-    return loan_marks(t, ("total",)).join(_payment_totals(t), ["loan_id", "side"])
+    return loan_marks(t, ("total",)).join(_payment_totals(t).drop("side"), "loan_id")
 
 
 @relation("latest_snapshot", {L: ("loan_id", "snapshot_date"),

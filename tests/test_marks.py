@@ -14,6 +14,12 @@ def test_marks_are_made_distinct_where_payments_look_for_them(lending):
     assert not re.search(r"hashpartitioning\(loan_id#\d+, side#\d+, mark#", plan)
 
 
+def test_the_tape_moves_once_for_the_marks_of_a_loan(lending):
+    """Statuses and attributes are folded and made marks where their loan is, and payments go there."""
+    plan = RELATIONS["payment_marks"].build(lending)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(loan_id#\d+, [a-z_]+#", plan)
+
+
 def test_a_loan_has_each_mark_once(spark):
     day = dt.date(2020, 1, 1)
     rows = [("a", day, day, 5.0, "CURRENT"), ("a", day, day, 5.0, "CHARGED_OFF"), ("a", day, day, 5.0, None),
