@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanward.functions.sqltext import literal, over
-from loanward.plans.evaluate import FEW, Plan
+from loanward.plans.evaluate import FEW, Plan, kept
 from loanward.plans.relations import RELATIONS
 from loanward.plans.rule import FAIL, Rule
 from loanward.sources.tables import Tables
@@ -88,7 +88,7 @@ def _offenders(frame: DataFrame, rules: Mapping[int, Rule], keys: Sequence[str],
 
 
 def worst_offenders(rules: Iterable[Rule], tables: Tables, excess: Mapping[str, str] | None = None, limit: int = 10,
-                    results: DataFrame | None = None, relations=RELATIONS) -> DataFrame:
+                    results: DataFrame | None = None, relations=RELATIONS, apart: bool = False) -> DataFrame:
     """rule_id, variant, place, who, excess, violations: the ``limit`` worst offenders of every rule, a top-k report.
 
     Who is bad is told by the relation's identity, ``name=value`` (null: ``null``), or by the key that the rule counts.
@@ -99,6 +99,8 @@ def worst_offenders(rules: Iterable[Rule], tables: Tables, excess: Mapping[str,
 
     Each relation is read once for up to ``RULES_PER_PASS`` rules that tell who is bad by the same keys. Its rows are
     put together by these keys, on the map side first, and every task keeps its ``limit`` worst per rule before these meet.
+    With ``apart`` the worst of each pass are found at once, by a job of its own, and kept, ``limit`` rows a rule: the
+    disk holds what one pass shuffles, not what all do.
     """
     # A method that tests many rules on derived columns is beyond what the JVM compiles (8,000 bytes) and would be
     # interpreted row by row; beyond this limit Spark generates several smaller ones.
@@ -152,7 +154,11 @@ def worst_offenders(rules: Iterable[Rule], tables: Tables, excess: Mapping[str,
     if parts:
         whole.append(over({"found": reduce(DataFrame.unionByName, parts)}, _MERGED).filter("violations > 0"))
     names = ", ".join(f"struct({literal(i)} AS rule_id, {literal(v)} AS variant)" for i, v in numbers)
-    ranked = over({"found": reduce(DataFrame.unionByName, whole)}, _RANKED.replace("{limit}", str(int(limit))).replace("{names}", names))
+    text = _RANKED.replace("{limit}", str(int(limit))).replace("{names}", names)
+    if apart:  # a rule is in one of them
+        ranked = reduce(DataFrame.unionByName, [kept(over({"found": found}, text)) for found in whole])
+    else:
+        ranked = over({"found": reduce(DataFrame.unionByName, whole)}, text)
     if results is None:
         return ranked
     failing = results.filter(F.col("status") == FAIL).select("rule_id", "variant")

@@ -5,8 +5,10 @@ import time
 
 import pytest
 
+from loanward.plans.drilldown import worst_offenders
 from loanward.plans.evaluate import CLEAN_SHUFFLES, evaluate
-from loanward.plans.packs import FOUNDATION
+from loanward.plans.packs import FOUNDATION, RUNNER
+from loanward.plans.packs.runner import RUNNER_EXCESS
 from loanward.plans.queries import all_queries
 
 
@@ -29,7 +31,7 @@ def _left_behind(spark, before: dict[str, int], most: int) -> int:
     return left
 
 
-@pytest.mark.parametrize("name", ["rp_12_versions"])
+@pytest.mark.parametrize("name", ["rp_12_versions", "rp_11_worst_of_pack"])
 def test_a_report_leaves_no_shuffles_of_its_parts(spark, small, name):
     before = _shuffled(spark)
     frame = all_queries()[name](spark, small)
@@ -43,3 +45,10 @@ def test_relations_measured_apart_give_the_same_results(spark, lending):
     assert sorted(map(tuple, evaluate(rules, lending, apart=True).collect())) == sorted(map(tuple, evaluate(rules, lending).collect()))
     assert spark.conf.get(CLEAN_SHUFFLES, None) == settings
     assert evaluate([], lending, apart=True).collect() == []
+
+
+def test_passes_ranked_apart_give_the_same_offenders(lending):
+    rules = [*RUNNER.select(("RUN-001", "RUN-023", "RUN-037", "RUN-043", "RUN-058")), RUNNER.rule("RUN-043")]
+    once, apart = (worst_offenders(rules, lending, RUNNER_EXCESS, apart=a) for a in (False, True))
+    assert once.schema == apart.schema and sorted(map(str, once.collect())) == sorted(map(str, apart.collect()))
+    assert worst_offenders([], lending, apart=True).collect() == []
